@@ -8,15 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import written
+from docketlake.llm.bpe import bpe_digests
+from docketlake.llm.common import fold, written
 from docketlake.llm.exact_dedup import exact_dedup
+from docketlake.llm.language_id import identify_language, train_languages
 from docketlake.llm.packing import pack_pieces, token_pieces
+from docketlake.llm.pii import find_pii, span_digests
+from docketlake.llm.quality import score_quality, train_quality
+from docketlake.llm.token_counts import token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +34,35 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(written(digests, "pieces"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir), WORD_BPE)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_pii(documents(spark, sf_dir)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="max")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learn = labels.filter(fold("doc_id", 3) != 1).join(docs, "doc_id")
+    scored = score_quality(docs, train_quality(learn))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    field = train_languages(docs.filter(fold("doc_id", 4) != 2))
+    return identify_language(docs, field).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), WORD_BPE)
+
+
 OP6_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -43,7 +77,12 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op4_bpe": op4_bpe,
+        "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
+        "op9_token_counts": op9_token_counts,
     }
 
 

@@ -12,8 +12,8 @@ from array import array
 from collections.abc import Iterator
 
 #: White space of Unicode, as the tokenizer's normalizer and splitter know it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_ODD = re.compile("[\x1c-\x1f̀-ͯ]")
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = re.compile("[\x1c-\x1f\u0300-\u036f]")
 _CUT = re.compile("[\t\n\r ]+")
 
 

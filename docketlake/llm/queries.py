@@ -12,6 +12,7 @@ from docketlake.llm.bpe import bpe_digests
 from docketlake.llm.common import fold, written
 from docketlake.llm.exact_dedup import exact_dedup
 from docketlake.llm.language_id import identify_language, train_languages
+from docketlake.llm.ngram_join import similar_components
 from docketlake.llm.packing import pack_pieces, token_pieces
 from docketlake.llm.pii import find_pii, span_digests
 from docketlake.llm.quality import score_quality, train_quality
@@ -28,6 +29,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(documents(spark, sf_dir), WORD_BPE)
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -76,6 +81,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
         "op4_bpe": op4_bpe,
         "op5_pii": op5_pii,

@@ -70,7 +70,8 @@ class DigestIndex:
 
     def _write(self, table: DataFrame, level: int, runs: int) -> None:
         path = new_path(self.spark, f"lsm-l{level}")
-        (table.sortWithinPartitions("run", "digest").write.partitionBy("run").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path))
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}  # sized by what each file holds
+        table.sortWithinPartitions("run", "digest").write.partitionBy("run").options(**filters).parquet(path)
         self.levels.setdefault(level, []).extend(f"{path}/run={k}" for k in range(runs))
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -114,7 +115,7 @@ def block_filter(entries: DataFrame) -> DataFrame:
     return entries.groupBy(_block(F.col("digest")).alias("block")).agg(F.bit_or(_bits(F.col("digest"))).alias("mask"))
 
 
-def _passing(rows: DataFrame, filt: DataFrame, passing: bool) -> DataFrame:
+def passing(rows: DataFrame, filt: DataFrame, passing: bool) -> DataFrame:
     cols = rows.columns
     joined = rows.withColumn("_block", _block(F.col("digest"))).join(F.broadcast(filt.select(F.col("block").alias("_block"), F.col("mask").alias("_mask"))), "_block", "left")
     held = F.coalesce(F.col("_mask").bitwiseAND(_bits(F.col("digest"))) == _bits(F.col("digest")), F.lit(False))
@@ -124,7 +125,7 @@ def _passing(rows: DataFrame, filt: DataFrame, passing: bool) -> DataFrame:
 def _verified(docs: DataFrame, copies: DataFrame, filt: DataFrame, id_col: str, text_col: str, salt_rows: int) -> DataFrame:
     """Digests of which some row's text differs from that of the row that stays."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", digest_of(F.col("text")))
-    hits = _passing(rows, filt, True)
+    hits = passing(rows, filt, True)
     salts = (F.col("group_size") / salt_rows).cast("int")
     stay = (
         hits.join(copies, "digest").filter(F.col("id").eqNullSafe(F.col("keep_id")))
@@ -184,8 +185,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     tagged = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)], digest_of(F.col(text_col)).alias("digest"))
     at = f"c_{names.index(id_col)}"
-    single = _passing(tagged, filt, False)
-    joined = _passing(tagged, filt, True).join(copies, "digest", "left")
+    single = passing(tagged, filt, False)
+    joined = passing(tagged, filt, True).join(copies, "digest", "left")
     once = F.col("group_size").isNull() | (F.col(at).eqNullSafe(F.col("keep_id")) & (F.col("keep_rows") == 1))
     parts = [single, joined.filter(once).select(*tagged.columns)]
     if not copies.filter("keep_rows > 1").isEmpty():

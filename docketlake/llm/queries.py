@@ -17,6 +17,7 @@ from docketlake.llm.packing import pack_pieces, token_pieces
 from docketlake.llm.pii import find_pii, span_digests
 from docketlake.llm.quality import score_quality, train_quality
 from docketlake.llm.token_counts import token_counts
+from docketlake.llm.top_k import top_inner_products
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +40,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(written(digests, "pieces"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), WORD_BPE)
 
@@ -79,10 +84,28 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
+        "op3_top_k": op3_top_k,
         "op4_bpe": op4_bpe,
         "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
@@ -93,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL}

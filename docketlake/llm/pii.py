@@ -384,6 +384,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span in the text replaced by its kind; all columns stay.
+
+    Null texts stay null, texts without spans stay as they are.
+    """
+    field = trained_field()
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in text_slices(batch, text_col):
+                part = batch.slice(at, len(texts))
+                there = part.column(at_text).is_valid().to_pylist()
+                clean = [redact(x, find_spans(x, field)[1]) if ok else None for x, ok in zip(texts, there)]
+                yield part.set_column(at_text, part.schema.field(at_text), pa.array(clean, part.schema.field(at_text).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans as text."""
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -12,6 +12,7 @@ from docketlake.llm.bpe import bpe_digests
 from docketlake.llm.common import fold, written
 from docketlake.llm.exact_dedup import exact_dedup
 from docketlake.llm.language_id import identify_language, train_languages
+from docketlake.llm.lm_scoring import lm_scores
 from docketlake.llm.ngram_join import similar_components
 from docketlake.llm.packing import pack_pieces, token_pieces
 from docketlake.llm.pii import find_pii, span_digests
@@ -84,6 +85,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(documents(spark, sf_dir), fold("doc_id", 10) != 0, WORD_BPE)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP3_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
@@ -112,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op9_token_counts": op9_token_counts,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 

@@ -22,8 +22,7 @@ from docketlake.llm.queries import WORD_BPE
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the network, fitted on the labelled ones, scores under 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    learn = labels.filter(fold("doc_id", 3) != 1).join(docs.select("doc_id", "text"), "doc_id")
-    return keep_quality(docs, train_quality(learn))
+    return keep_quality(docs, train_quality(docs, labels.filter(fold("doc_id", 3) != 1)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,15 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` has left in the shared folder.
+
+    Call it once the results that read them are written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docketlake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null for a null id)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

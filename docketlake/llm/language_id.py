@@ -184,13 +184,13 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A field over the non-null languages of ``docs``; None where there are none.
 
     Fitted on at most ``train_docs`` rows a language, those with the smallest hash
-    of their id.
+    of id and text.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     near = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= train_docs).select("lang", "h")
     cut = near.groupBy("lang").agg(F.max("h").alias("cut"))
     texts: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(cut), "lang").filter("h <= cut").orderBy("lang", "h", "text").collect():
+    for r in rows.join(F.broadcast(cut), "lang").filter("h <= cut").dropDuplicates(["lang", "h"]).orderBy("lang", "h", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     return LanguageField(sorted(texts)).fit(texts) if texts else None
 

@@ -148,14 +148,18 @@ def _grouped(parts: list[np.ndarray], most: int = 512):
         yield np.concatenate(held)
 
 
-def train_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 2000) -> ByteConvNet:
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 2000) -> ByteConvNet:
     """A network fitted on at most ``train_docs`` rows, taken by a hash of the id.
 
-    Rows with a null label play no part, null texts count as empty. Without rows
-    every score is 0.5, with one label all scores are near its side.
+    The labels are picked first, so only that many texts are looked for. Rows with a
+    null label play no part, null texts count as empty. Without rows every score is
+    0.5, with one label all scores are near its side.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sample = rows.orderBy("h", "text", "label").limit(train_docs).collect()
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"), h.alias("h"))
+    picked = known.orderBy("h", "label").limit(train_docs)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "_id")
+    sample = rows.select("h", "text", "label").orderBy("h", "text", "label").limit(train_docs).collect()
     return ByteConvNet().fit([r["text"] for r in sample], [min(1, max(0, r["label"])) for r in sample])
 
 

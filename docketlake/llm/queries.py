@@ -59,8 +59,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    learn = labels.filter(fold("doc_id", 3) != 1).join(docs, "doc_id")
-    scored = score_quality(docs, train_quality(learn))
+    scored = score_quality(docs, train_quality(docs, labels.filter(fold("doc_id", 3) != 1)))
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

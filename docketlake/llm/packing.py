@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketlake.llm.common import text_slices, written
+from docketlake.llm.common import text_slices
+from docketlake.llm.subwords import chunk_encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 800_000) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit).
 
     Null and empty texts give the end id alone. Every id lies in exactly one
@@ -34,9 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_i
         raise ValueError("length must be positive")
 
     def cut(batches):
-        from docketlake.llm.subwords import ChunkEncoder
-
-        encoder = ChunkEncoder(tokenizer_path, memo)
+        encoder = chunk_encoder(tokenizer_path, memo)
         end, step = array("I", [end_id]).tobytes(), 4 * length
         for batch in batches:
             ids = batch.column(0)

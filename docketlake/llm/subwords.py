@@ -7,9 +7,12 @@ chunk is encoded once and then taken from a memo of bounded size.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 #: White space of Unicode, as the tokenizer's normalizer and splitter know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,6 +44,11 @@ def segments(text: str, chars: int = 1_000_000) -> Iterator[str]:
     yield text[at:]
 
 
+def oldest_half(held: dict) -> dict:
+    """The entries of a memo that came first, mostly the frequent ones."""
+    return dict(islice(held.items(), len(held) // 2))
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -49,8 +57,6 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, memo: int = 400_000, longest: int = 64):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -76,7 +82,11 @@ class ChunkEncoder:
             if len(c) > self.longest:
                 del held[c]
         if len(held) > self.memo:
-            self.held = {c: held[c] for c in seen if c in held}
-            if len(self.held) > self.memo:
-                self.held = {}
+            self.held = oldest_half(held)
         return out
+
+
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str, memo: int) -> ChunkEncoder:
+    """One encoder a Python worker, so that its memo serves task after task."""
+    return ChunkEncoder(path, memo)

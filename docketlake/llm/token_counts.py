@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.bpe import WORDS, BpeModel, byte_alphabet
 from docketlake.llm.common import text_slices
-from docketlake.llm.subwords import chunks_of, segments
+from docketlake.llm.subwords import chunks_of, oldest_half, segments
 
 LAST = 0x1000  # added to the code of a word's last symbol where the vocabulary marks word ends
 
@@ -89,7 +89,7 @@ class TokenCounter:
     cover counts as one unknown token.
     """
 
-    def __init__(self, path: str, memo: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 64):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         suffix = model.get("end_of_word_suffix") or ""
@@ -123,7 +123,7 @@ class TokenCounter:
                 tokens += b
                 unknown += c
             if len(held) > self.memo:
-                self.held = {}
+                self.held = oldest_half(held)
         return words, tokens, unknown
 
 

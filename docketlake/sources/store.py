@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,32 +22,37 @@ class SnapshotStore:
 
     def _log(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema("version long").parquet(f"{self.path}/{table}/_versions")
+            return self.spark.read.schema("version long, folder string").parquet(f"{self.path}/{table}/_versions")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], "version long")
+            return self.spark.createDataFrame([], "version long, folder string")
+
+    def _current(self, table: str) -> tuple[int, str | None]:
+        best = self._log(table).agg(F.max(F.struct("version", "folder"))).first()[0]
+        return (best["version"], best["folder"]) if best else (0, None)
 
     def version(self, table: str) -> int:
-        return self._log(table).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self._current(table)[0]
 
     def read(self, table: str) -> DataFrame:
         """The current snapshot, by the table's own schema; none yet: no rows."""
-        v = self.version(table)
-        if not v:
+        _, folder = self._current(table)
+        if folder is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/v{v}")
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{folder}")
 
     def write(self, table: str, rows: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Checks the rows, writes them as the next snapshot and returns it."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
         v = self.version(table) + 1
-        out = f"{self.path}/{table}/v{v}"
+        folder = f"v{v}-{uuid.uuid4().hex}"  # a snapshot that fails its checks is never named current
+        out = f"{self.path}/{table}/{folder}"
         writer = rows.write.partitionBy(partition_by) if partition_by else rows.write
         writer.parquet(out)
         if faults := self.faults(table, self.spark.read.schema(rows.schema).parquet(out)):
             raise ValueError(f"{table}: {'; '.join(faults)}")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/_versions")
+        self.spark.range(1).select(F.lit(v).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/_versions")
         return self.read(table)
 
     def faults(self, table: str, rows: DataFrame) -> list[str]:

@@ -215,3 +215,17 @@ def test_embedding(spark):
     assert embed_query("a b", e) == pytest.approx(rows[0]["embedding"])
     with pytest.raises(ValueError):
         embed_query("  ", e)
+
+
+def test_word_files_and_replies(spark):
+    from docketlake.sources.produce import with_docx, with_reply
+
+    rows = spark.createDataFrame([("a & b\n\nc", "s"), (None, "t")], "text string, s string")
+    out = with_docx(rows).collect()
+    assert docx_text(bytes(out[0]["docx"]))[0] == "a & b\n\nc\n\n" and docx_text(bytes(out[1]["docx"]))[0] == ""
+
+    def model(systems, questions):
+        return [[("thinking", "hm"), ("text", f"{s}:{q}")] if q else [] for s, q in zip(systems, questions)]
+
+    got = with_reply(rows, model, "s", "text", default="{}").collect()
+    assert [r["reply"] for r in got] == ["s:a & b\n\nc", "{}"]

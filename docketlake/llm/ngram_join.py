@@ -18,6 +18,8 @@ How the work is kept down without losing a link:
   sets of each posting list, chosen by hash) connect most of a group with a linear
   number of pairs. The last round compares every pair of a posting list that is not
   connected yet, so the components are exact.
+* A pair comes from a common token only if it could be the pair's first: what stands
+  before it in the first order counts as not shared.
 """
 
 from __future__ import annotations
@@ -213,8 +215,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(shared).withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
 
 
-def _by_size(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can link if places i and j hold their first common token.
+
+    What stands before it in the order is not shared. A linked pair passes at its
+    first common token, so it may fail at all others.
+    """
+    return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, pivots: int = 3, rounds: int = 3, tokens_per_bucket: int = 1_000_000) -> DataFrame:
@@ -266,7 +273,7 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
     least = F.ceil(F.col("n") * percent / 100)
     # tokens that no other set has come first in the order and use up the prefix
     prefix = ranked.filter((F.col("held") >= least) & (F.col("rank") <= F.col("held") - least + 1))
-    prefix = written(prefix.select("token", "id", "n"), "prefixes")
+    prefix = written(prefix.select("token", "id", "n", (F.col("n") - F.col("held") + F.col("rank") - 1).alias("pos"), ((F.col("n") - F.col("held")) / F.col("n")).alias("alone")), "prefixes")
 
     links = comps = None
     for step in range(rounds + 1):
@@ -276,14 +283,16 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
         open_lists = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
         rows = rows.join(open_lists, "token")
         if step < rounds:
-            pick = [F.min(F.struct(F.xxhash64("id", F.lit(step * pivots + j)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias(f"p{j}") for j in range(pivots)]
+            # the set with the smallest share of tokens of its own is near most others; more by hash
+            order = [F.struct("alone", F.xxhash64("id", F.lit(step)))] + [F.struct(F.lit(0.0), F.xxhash64("id", F.lit(step * pivots + j))) for j in range(1, pivots)]
+            pick = [F.min_by(F.struct("id", "n", "pos", "comp"), o).alias(f"p{j}") for j, o in enumerate(order)]
             chosen = rows.groupBy("token").agg(*pick)
-            joined = rows.join(chosen, "token").select("id", "n", "comp", F.explode(F.array(*[F.col(f"p{j}") for j in range(pivots)])).alias("p"))
-            joined = joined.filter((F.col("p.comp") != F.col("comp")) & _by_size(F.col("p.n"), F.col("n"), percent))
+            joined = rows.join(chosen, "token").select("id", "n", "pos", "comp", F.explode(F.array(*[F.col(f"p{j}") for j in range(pivots)])).alias("p"))
+            joined = joined.filter((F.col("p.comp") != F.col("comp")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
             pairs = joined.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            joined = rows.join(other, "token").filter((F.col("comp") < F.col("other")) & _by_size(F.col("m"), F.col("n"), percent))
+            other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"))
+            joined = rows.join(other, "token").filter((F.col("comp") < F.col("other")) & _may_link(F.col("m"), F.col("q"), F.col("n"), F.col("pos"), percent))
             pairs = joined.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
         pairs = pairs.distinct()
         if links is not None:

@@ -170,12 +170,13 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
                 need.append(float(ratio.min()) * (1 - 1e-9 if ratio.min() > 0 else 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(need, pa.float64())], names=["group", "need"])
 
-    needs = [(r["group"], r["need"]) for r in asked.select("group", "ids", "data").mapInArrow(least, "group long, need double").collect()]
-    if not needs:
+    # one small row for each group of queries
+    needs = written(asked.select("group", "ids", "data").mapInArrow(least, "group long, need double"), "needs")
+    n_groups = needs.count()
+    if not n_groups:
         return spark.createDataFrame([], schema)
     slices = max(1, -(-blocks.count() // 16))
-    groups = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(x).alias("need")) for g, x in needs])
-    sent = blocks.select(F.explode(F.filter(groups, lambda x: x["need"] <= F.col("length"))).alias("x"), "length", "ids", "data").select(F.col("x.g").alias("group"), F.pmod(F.xxhash64("ids"), F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "length", "ids", "data")
+    sent = blocks.join(needs, F.col("length") >= F.col("need")).select("group", F.pmod(F.xxhash64("ids"), F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "length", "ids", "data")
     questions = asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("kind"), "length", "ids", "data")
 
     def search(batches):
@@ -192,7 +193,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
         if best is not None:
             yield best.found()
 
-    dealt = sent.unionByName(questions).repartition(len(needs) * slices, "group", "slice").sortWithinPartitions("group", "slice", "kind", F.desc("length"))
+    dealt = sent.unionByName(questions).repartition(n_groups * slices, "group", "slice").sortWithinPartitions("group", "slice", "kind", F.desc("length"))
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import text_slices
-from docketlake.llm.subwords import WHITE, chunks_of, segments
+from docketlake.llm.subwords import WHITE, chunks_of, oldest_half, segments
 
 #: The splitting pattern of the vocabulary, without its white space.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -83,23 +83,17 @@ class BpeModel:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merge list applied: always the lowest rank, leftmost first."""
-        rank = self.rank.get
-        n = len(symbols)
-        if n < 2:
-            return symbols
-        none = 1 << 60
+        rank, none = self.rank.get, 1 << 60
         ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
+        while ranks and (low := min(ranks)) != none:
             k = ranks.index(low)
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            joined = symbols[k] + symbols.pop(k + 1)
+            symbols[k] = joined
             del ranks[k]
             if k:
-                ranks[k - 1] = rank((symbols[k - 1], symbols[k]), none)
+                ranks[k - 1] = rank((symbols[k - 1], joined), none)
             if k < len(ranks):
-                ranks[k] = rank((symbols[k], symbols[k + 1]), none)
+                ranks[k] = rank((joined, symbols[k + 1]), none)
         return symbols
 
     def transduce(self, symbols: Iterable[str], step: int | None = None) -> Iterator[str]:
@@ -145,28 +139,37 @@ class BpeModel:
         if last is not None:
             yield last + self.suffix
 
-    def word_ids(self, word: str) -> Iterator[int]:
-        ids = self.ids
-        for t in self.transduce(self.symbols(word)):
-            yield ids[t]
+    def word_ids(self, word: str) -> list[int]:
+        data = word.encode("utf-8")
+        if len(data) > self.lookahead:
+            return [self.ids[t] for t in self.transduce(self.symbols(word))]
+        # a word within the lookahead is decided by its end alone
+        alphabet = self.alphabet
+        symbols = [alphabet[b] for b in data]
+        symbols[-1] += self.suffix
+        return [self.ids[t] for t in self.merged(symbols)]
 
     def normalised(self, text: str) -> str:
         """Composed and lower-cased letter by letter (no final-sigma rule)."""
+        if text.isascii():
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
-    def chunk_ids(self, chunk: str) -> Iterator[int]:
+    def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a chunk without white-space cuts inside; special tokens count as such."""
-        at = 0
-        for m in self.special_cut.finditer(chunk) if self.special_cut and "<" in chunk else ():
-            yield from self._plain(chunk[at : m.start()])
-            yield self.special[m[0]]
+        if not self.special_cut or "<" not in chunk:
+            return self._plain(chunk)
+        at, out = 0, []
+        for m in self.special_cut.finditer(chunk):
+            out += self._plain(chunk[at : m.start()])
+            out.append(self.special[m[0]])
             at = m.end()
-        yield from self._plain(chunk[at:])
+        return out + self._plain(chunk[at:])
 
-    def _plain(self, chunk: str) -> Iterator[int]:
-        for m in WORDS.finditer(self.normalised(chunk)):
-            yield from self.word_ids(m[0])
+    def _plain(self, chunk: str) -> list[int]:
+        words = WORDS.findall(self.normalised(chunk))
+        return self.word_ids(words[0]) if len(words) == 1 else [k for w in words for k in self.word_ids(w)]
 
 
 class TextDecoder:
@@ -180,9 +183,9 @@ class TextDecoder:
         self.open = b""
 
     def feed(self, data: bytes, final: bool = False) -> str:
-        data = self.open + data
+        data = self.open + data if self.open else data
         cut = len(data)
-        if not final:
+        if not final and not data.isascii():
             for back in range(1, min(4, len(data)) + 1):
                 b = data[-back]
                 if b >= 0xC0:
@@ -199,7 +202,7 @@ class TextDecoder:
 class BpeCodec:
     """Encodes and decodes whole texts with a memo of bounded size."""
 
-    def __init__(self, path: str, memo: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 64):
         self.model = BpeModel(path)
         self.memo, self.longest = memo, longest
         self.held: dict[str, tuple[bytes, bytes]] = {}
@@ -207,7 +210,7 @@ class BpeCodec:
         self.shown = {k: v.encode("utf-8") for k, v in self.model.pieces.items()}
 
     def _entry(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = list(self.model.chunk_ids(chunk))
+        ids = self.model.chunk_ids(chunk)
         return array("I", ids).tobytes(), self.decode(ids).encode("utf-8")
 
     def stream(self, text: str) -> Iterator[tuple[bytes, bytes]]:
@@ -224,7 +227,7 @@ class BpeCodec:
                 found = [held[c] if c in held else self._entry(c) for c in chunks]
             yield b"".join([a for a, _ in found]), b" ".join([b for _, b in found if b])
             if len(held) > self.memo:
-                self.held = {c: held[c] for c in set(chunks) if c in held}
+                self.held = oldest_half(held)
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, digest of the decoded text."""
@@ -242,11 +245,8 @@ class BpeCodec:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The pieces joined by spaces, as for a vocabulary without a decoder."""
-        state, out = TextDecoder(), []
-        for n, k in enumerate(ids):
-            if k in self.shown:
-                out.append(state.feed((b" " if out else b"") + self.shown[k]))
-        return "".join(out) + state.feed(b"", True)
+        state, shown = TextDecoder(), self.shown
+        return " ".join([state.feed(shown[k]) for k in ids if k in shown]) + state.feed(b"", True)
 
     def text(self, ids: Iterable[int]) -> str:
         """The running text: pieces' bytes, a space after each end of word."""

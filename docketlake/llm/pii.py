@@ -91,7 +91,7 @@ LONGEST = 20  # tokens in a segment
 _TRIGGER = re.compile(r"[0-9](?:[ ()\[\].-]{0,3}[0-9]){6,}+|@|[\[(] ?(?:at|AT) ?[\])]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _AT = re.compile(r"@|[\[(] ?(?:at|AT) ?[\])]")
-_DOT = re.compile(r"(?:\.|[\[(] ?(?:dot|DOT) ?[\])])[A-Za-z]{2,10}$")
+_DOT = re.compile(r"(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z]{2,10}$")
 _QUAD = re.compile(r"[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}$")
 _RUNS = re.compile(r"[0-9]+")
 N_FEATURES = 48

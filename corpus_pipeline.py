@@ -41,8 +41,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' pieces into sequences of at most 2048 ids."""
-    pieces = token_pieces(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    """Packs the documents' pieces into sequences of at most 2048 ids.
+
+    The memo of chunks is smaller than by default: the workers still hold what the
+    stages before have left in them.
+    """
+    pieces = token_pieces(docs, WORD_BPE, memo=300_000).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack_pieces(written(pieces, "pieces"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import fold, written
+from docketlake.llm.common import fold, small_batches, written
 from docketlake.llm.exact_dedup import drop_exact_copies
 from docketlake.llm.ngram_join import keep_one_of_each
 from docketlake.llm.packing import pack_pieces, token_pieces
@@ -21,6 +21,7 @@ from docketlake.llm.queries import WORD_BPE
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the network, fitted on the labelled ones, scores under 0.5."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return keep_quality(docs, train_quality(docs, labels.filter(fold("doc_id", 3) != 1)))
 
@@ -32,21 +33,24 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component of similar ones."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows the new text."""
+    small_batches(spark)
     return redact_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' pieces into sequences of at most 2048 ids.
 
-    The memo of chunks is smaller than by default: the workers still hold what the
-    stages before have left in them.
+    The memo of chunks is smaller than by default: the workers are shared with the
+    other stages, and a memo stays with its worker.
     """
-    pieces = token_pieces(docs, WORD_BPE, memo=300_000).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    small_batches(spark)
+    pieces = token_pieces(docs, WORD_BPE, memo=50_000).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack_pieces(written(pieces, "pieces"))
 
 

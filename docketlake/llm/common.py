@@ -50,6 +50,15 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to ``size``.
+
+    Batches of long texts are held outside the heap and in the Python worker at once,
+    for every core. Results are the same at any limit.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null for a null id)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

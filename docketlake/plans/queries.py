@@ -274,6 +274,14 @@ def history_with_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("thread_id", F.array_join(F.transform("history", lambda x: x["role"]), ",").alias("roles"), F.size("history").cast("long").alias("n_turns"))
 
 
+def _drafts(spark: SparkSession, sf_dir: str, matters: DataFrame) -> DataFrame:
+    v = view(spark, sf_dir, "document_versions")
+    parties = v.filter("version_number <= 2").select(F.col("matter_document_id").alias("matter_id"), F.format_string("Party %06d", "l_partkey").alias("name"), F.lit("seller").alias("role"))
+    precedents = v.select(F.col("matter_document_id").alias("matter_id"), F.struct("version_number", "l_partkey").alias("ord"), F.concat(F.lit("clause "), F.col("version_number").cast("string")).alias("content"))
+    return M.draft_context(matters, view(spark, sf_dir, "clients"), parties, precedents)
+
+
+# draft_context shows the first matters only, as its SQL does; draft_context_all has every matter
 @query("draft_context", """
 WITH p AS (SELECT matter_document_id AS matter_id, string_agg(concat('- Party ', lpad(CAST(l_partkey AS VARCHAR), 6, '0'), ' (seller)'), chr(10) ORDER BY l_partkey) AS parties FROM document_versions WHERE version_number <= 2 GROUP BY 1),
 k AS (SELECT matter_document_id AS matter_id, version_number AS ord, row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number, l_partkey) AS n FROM document_versions),
@@ -284,11 +292,20 @@ SELECT m.id, concat('Matter: ', m.name, CASE WHEN c.name IS NOT NULL THEN concat
   CASE WHEN r.precedents IS NOT NULL THEN concat(chr(10), chr(10), 'PRECEDENT:', chr(10), r.precedents) ELSE '' END) AS context
 FROM matters m LEFT JOIN clients c ON c.id = m.client_id LEFT JOIN p ON p.matter_id = m.id LEFT JOIN r ON r.matter_id = m.id WHERE m.id < 1000""")
 def draft_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = view(spark, sf_dir, "document_versions")
-    parties = v.filter("version_number <= 2").select(F.col("matter_document_id").alias("matter_id"), F.format_string("Party %06d", "l_partkey").alias("name"), F.lit("seller").alias("role"))
-    precedents = v.select(F.col("matter_document_id").alias("matter_id"), F.struct("version_number", "l_partkey").alias("ord"), F.concat(F.lit("clause "), F.col("version_number").cast("string")).alias("content"))
-    matters = view(spark, sf_dir, "matters").filter("id < 1000")
-    return M.draft_context(matters, view(spark, sf_dir, "clients"), parties, precedents)
+    return _drafts(spark, sf_dir, view(spark, sf_dir, "matters").filter("id < 1000"))
+
+
+@query("draft_context_all", """
+WITH p AS (SELECT matter_document_id AS matter_id, string_agg(concat('- Party ', lpad(CAST(l_partkey AS VARCHAR), 6, '0'), ' (seller)'), chr(10) ORDER BY l_partkey) AS parties FROM document_versions WHERE version_number <= 2 GROUP BY 1),
+k AS (SELECT matter_document_id AS matter_id, version_number AS ord, row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number, l_partkey) AS n FROM document_versions),
+r AS (SELECT matter_id, string_agg(concat('[Precedent ', n, ']', chr(10), 'clause ', ord), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY n) AS precedents FROM k GROUP BY 1)
+SELECT m.id, concat('Matter: ', m.name, CASE WHEN c.name IS NOT NULL THEN concat(' (client: ', c.name, ')') ELSE '' END,
+  CASE WHEN m.description <> '' THEN concat(chr(10), chr(10), 'Description:', chr(10), m.description) ELSE '' END,
+  CASE WHEN p.parties IS NOT NULL THEN concat(chr(10), chr(10), 'KNOWN PARTIES:', chr(10), p.parties) ELSE '' END,
+  CASE WHEN r.precedents IS NOT NULL THEN concat(chr(10), chr(10), 'PRECEDENT:', chr(10), r.precedents) ELSE '' END) AS context
+FROM matters m LEFT JOIN clients c ON c.id = m.client_id LEFT JOIN p ON p.matter_id = m.id LEFT JOIN r ON r.matter_id = m.id""")
+def draft_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drafts(spark, sf_dir, view(spark, sf_dir, "matters"))
 
 
 # --- replies, redlines, search -----------------------------------------------------

@@ -64,6 +64,36 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def positions(rows: DataFrame, keys: Sequence[Column], as_: str = "position", rows_per_bucket: int = 20_000) -> DataFrame:
+    """All rows with their position from 1 in the ascending order of ``keys``.
+
+    Keys are compared as a struct, so nulls come first; for nulls last, put
+    ``isNull()`` before the key, and for a falling number its negative. Rows are cut
+    into ranges at a sample of the keys, numbered within their range, and the counts
+    of the ranges before are added: no task meets more than some ranges, and the
+    driver sees about 20 keys and one count a range. A row's range depends on its
+    keys alone; ``rows`` is read more than once. Rows with equal keys are in
+    arbitrary order, so keys should tell rows apart.
+    """
+    key = F.struct(*[c.alias(f"k{n}") for n, c in enumerate(keys)])
+    step = max(1, rows_per_bucket // 20)
+    sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).orderBy("k").select(F.to_json("k").alias("j"), "k")
+    cuts = [r["j"] for r in sample.select("j").collect()][20::20]
+    kind = f"array<{sample.schema['k'].dataType.simpleString()}>"
+    bounds = F.from_json(F.lit(f"[{','.join(cuts)}]"), kind)
+    # binary search for the number of bounds that are not above the key
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    bucket = F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(bounds, at + n - 1) <= key, at + n).otherwise(at))
+    tagged = rows.withColumn("_bucket", bucket)
+    counts = {r["_bucket"]: r["n"] for r in tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0]
+    for n in range(len(cuts)):
+        before.append(before[-1] + counts.get(n, 0))
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    offset = F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_bucket"))
+    return tagged.withColumn(as_, local + offset).drop("_bucket")
+
+
 def next_number(parents: DataFrame, children: DataFrame, on: str, key: str = "id") -> DataFrame:
     """id, next_version: one more than the number of children (not the largest number)."""
     n = children.groupBy(F.col(on).alias("_key")).agg(F.count(F.lit(1)).alias("n"))

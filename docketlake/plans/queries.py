@@ -154,6 +154,13 @@ def matters_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "status", F.col("client.name").alias("client_name"), F.col("lead_partner.full_name").alias("lead_partner"), F.col("opened_date").cast("string").alias("opened_date"), "position")
 
 
+@query("matters_list_all", f"SELECT m.id, m.status, c.name AS client_name, p.full_name AS lead_partner, CAST(m.opened_date AS VARCHAR) AS opened_date, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS position {_MATTER_JOINS}")
+def matters_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = F.col("created_at") - F.lit("1970-01-01").cast(view(spark, sf_dir, "matters").schema["created_at"].dataType)
+    m = R.positions(_matters(spark, sf_dir), [since.isNull(), -since, F.col("id")])
+    return m.select("id", "status", F.col("client.name").alias("client_name"), F.col("lead_partner.full_name").alias("lead_partner"), F.col("opened_date").cast("string").alias("opened_date"), "position")
+
+
 @query("matter_detail", f"SELECT m.id, m.name, m.matter_type, c.name AS client_name, p.full_name AS lead_partner {_MATTER_JOINS} WHERE m.id = 42")
 def matter_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matters(spark, sf_dir).filter("id = 42").select("id", "name", "matter_type", F.col("client.name").alias("client_name"), F.col("lead_partner.full_name").alias("lead_partner"))
@@ -180,6 +187,11 @@ def clients_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("position", F.row_number().over(Window.orderBy("name", "id")).cast("long"))
 
 
+@query("clients_sorted_all", "SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM clients")
+def clients_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.positions(view(spark, sf_dir, "clients").select("id", "name"), [F.col("name"), F.col("id")])
+
+
 @query("profiles_nulls_last", "SELECT id, full_name, row_number() OVER (ORDER BY full_name ASC NULLS LAST, id) AS position FROM profiles QUALIFY position <= 1000")
 def profiles_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.asc_nulls_last("full_name"), F.asc("id")]
@@ -187,6 +199,11 @@ def profiles_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+@query("profiles_nulls_last_all", "SELECT id, full_name, row_number() OVER (ORDER BY full_name ASC NULLS LAST, id) AS position FROM profiles")
+def profiles_nulls_last_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.positions(view(spark, sf_dir, "profiles"), [F.col("full_name").isNull(), F.col("full_name"), F.col("id")])
+
+
 @query("profiles_with_role", "SELECT p.id, p.full_name, (SELECT r.role FROM user_roles r WHERE r.user_id = p.id ORDER BY list_position(['admin', 'partner', 'associate', 'paralegal'], r.role) LIMIT 1) AS role FROM profiles p")
 def profiles_with_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.profiles_with_role(view(spark, sf_dir, "profiles"), view(spark, sf_dir, "user_roles")).select("id", "full_name", "role")

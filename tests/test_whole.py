@@ -1,5 +1,9 @@
 """Queries over whole tables: every row is in the result, however large the table."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from docketlake.operators import relational as R
 from docketlake.plans.queries import QUERIES
 from docketlake.plans.views import view
 
@@ -14,3 +18,23 @@ def test_every_matter_gets_a_context(spark):
     got = QUERIES["draft_context_all"](spark, SF)
     assert ids(got) == ids(view(spark, SF, "matters"))
     assert got.filter("id >= 1000").count() > 0 and got.filter("context IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("name, table", [("matters_list_all", "matters"), ("clients_sorted_all", "clients"), ("profiles_nulls_last_all", "profiles")])
+def test_every_row_has_a_position(spark, name, table):
+    got = QUERIES[name](spark, SF)
+    assert ids(got) == ids(view(spark, SF, table))
+    assert ids(got, "position") == list(range(1, got.count() + 1))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [20, 60, 100_000])
+def test_positions_like_sorting(spark, rows_per_bucket):
+    names = [None if i % 7 == 0 else f'n{i * 7919 % 50}"é,' if i % 3 else "" for i in range(600)]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(5)
+    got = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name").isNull(), F.col("name"), -F.col("id")], rows_per_bucket=rows_per_bucket).collect()}
+    want = sorted(range(600), key=lambda i: (names[i] is None, (names[i] or "").encode(), -i))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+    first = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name"), F.col("id")], rows_per_bucket=rows_per_bucket).collect()}
+    want = sorted(range(600), key=lambda i: (names[i] is not None, (names[i] or "").encode(), i))
+    assert first == {i: n for n, i in enumerate(want, 1)}
+    assert R.positions(rows.filter("id < 0"), [F.col("id")]).count() == 0

@@ -227,13 +227,22 @@ def matter_documents_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.col("type.name").alias("type_name"), F.array_join(numbers, ",").alias("versions"), F.size("versions").alias("n_versions"))
 
 
-@query("version_context", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id WHERE v.version_number = 1")
-def version_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _version_context(spark: SparkSession, sf_dir: str, versions: DataFrame) -> DataFrame:
     d = R.lookup(view(spark, sf_dir, "matter_documents"), view(spark, sf_dir, "document_types"), "document_type_id", "type", ["name", "category"])
-    v = R.lookup(view(spark, sf_dir, "document_versions").filter("version_number = 1"), d, "matter_document_id", "doc", ["matter_id", "type"])
+    v = R.lookup(versions, d, "matter_document_id", "doc", ["matter_id", "type"])
     return v.select("matter_document_id", "version_number", "l_partkey", "l_suppkey", "doc.matter_id", F.col("doc.type.name").alias("type_name"), F.col("doc.type.category").alias("category"))
 
 
+@query("version_context", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id WHERE v.version_number = 1")
+def version_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _version_context(spark, sf_dir, view(spark, sf_dir, "document_versions").filter("version_number = 1"))
+
+
+@query("version_context_all", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id")
+def version_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _version_context(spark, sf_dir, view(spark, sf_dir, "document_versions"))
+
+
 @query("latest_version", "SELECT matter_document_id, version_number, l_partkey, l_suppkey, created_at FROM document_versions QUALIFY row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number DESC, l_partkey, l_suppkey, created_at, l_extendedprice) = 1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("version_number"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("created_at"), F.asc("l_extendedprice")]
@@ -440,14 +449,26 @@ def replace_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.replace_role(view(spark, sf_dir, "user_roles"), 3, spark.range(1).select(F.lit(3).cast("long").alias("user_id"), F.lit("paralegal").alias("role")))
 
 
+def _find_or_create(spark: SparkSession, sf_dir: str, clients: DataFrame) -> DataFrame:
+    have = view(spark, sf_dir, "matter_documents").filter("document_type_id = 5").select("matter_id", "document_type_id", "status")
+    wanted = clients.select(F.col("id").alias("matter_id"), F.lit(5).cast("long").alias("document_type_id"))
+    return C.find_or_create(have, wanted, ["matter_id", "document_type_id"], {"status": F.lit("drafting")})
+
+
 @query("find_or_create", """
 WITH w AS (SELECT DISTINCT c_custkey AS matter_id, CAST(5 AS BIGINT) AS document_type_id FROM customer WHERE c_custkey < 300)
 SELECT matter_id, document_type_id, status FROM matter_documents WHERE document_type_id = 5
 UNION ALL SELECT w.matter_id, w.document_type_id, 'drafting' FROM w WHERE NOT EXISTS (SELECT 1 FROM matter_documents d WHERE d.matter_id = w.matter_id AND d.document_type_id = w.document_type_id)""")
 def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = view(spark, sf_dir, "matter_documents").filter("document_type_id = 5").select("matter_id", "document_type_id", "status")
-    wanted = view(spark, sf_dir, "clients").filter("id < 300").select(F.col("id").alias("matter_id"), F.lit(5).cast("long").alias("document_type_id"))
-    return C.find_or_create(have, wanted, ["matter_id", "document_type_id"], {"status": F.lit("drafting")})
+    return _find_or_create(spark, sf_dir, view(spark, sf_dir, "clients").filter("id < 300"))
+
+
+@query("find_or_create_all", """
+WITH w AS (SELECT DISTINCT c_custkey AS matter_id, CAST(5 AS BIGINT) AS document_type_id FROM customer)
+SELECT matter_id, document_type_id, status FROM matter_documents WHERE document_type_id = 5
+UNION ALL SELECT w.matter_id, w.document_type_id, 'drafting' FROM w WHERE NOT EXISTS (SELECT 1 FROM matter_documents d WHERE d.matter_id = w.matter_id AND d.document_type_id = w.document_type_id)""")
+def find_or_create_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _find_or_create(spark, sf_dir, view(spark, sf_dir, "clients"))
 
 
 @query("insert_missing", "SELECT id, name FROM document_types UNION ALL SELECT c.id, c.name FROM clients c WHERE NOT EXISTS (SELECT 1 FROM document_types t WHERE t.id = c.id)")
@@ -479,8 +500,16 @@ def signup_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.profile_of_signup(e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"), F.col("props").alias("raw_user_meta_data")))
 
 
+def _upload_paths(versions: DataFrame) -> DataFrame:
+    path = C.upload_path(F.col("matter_document_id").cast("string"), F.col("l_partkey").cast("string"), F.col("version_number"), F.lit("draft.docx"))
+    return versions.select("matter_document_id", "version_number", "l_partkey", path.alias("path"), T.extension(path).alias("file_type"))
+
+
 @query("upload_paths", "SELECT matter_document_id, version_number, l_partkey, concat(matter_document_id, '/', l_partkey, '/v', version_number, '-', 'draft.docx') AS path, 'docx' AS file_type FROM document_versions WHERE version_number = 2")
 def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = view(spark, sf_dir, "document_versions").filter("version_number = 2")
-    path = C.upload_path(F.col("matter_document_id").cast("string"), F.col("l_partkey").cast("string"), F.col("version_number"), F.lit("draft.docx"))
-    return v.select("matter_document_id", "version_number", "l_partkey", path.alias("path"), T.extension(path).alias("file_type"))
+    return _upload_paths(view(spark, sf_dir, "document_versions").filter("version_number = 2"))
+
+
+@query("upload_paths_all", "SELECT matter_document_id, version_number, l_partkey, concat(matter_document_id, '/', l_partkey, '/v', version_number, '-', 'draft.docx') AS path, 'docx' AS file_type FROM document_versions")
+def upload_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upload_paths(view(spark, sf_dir, "document_versions"))

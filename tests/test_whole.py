@@ -38,3 +38,16 @@ def test_positions_like_sorting(spark, rows_per_bucket):
     want = sorted(range(600), key=lambda i: (names[i] is not None, (names[i] or "").encode(), i))
     assert first == {i: n for n, i in enumerate(want, 1)}
     assert R.positions(rows.filter("id < 0"), [F.col("id")]).count() == 0
+
+
+def test_every_client_is_looked_up(spark):
+    sf_dir = "/root/testdata/sf0.01"  # more than 300 clients
+    got = QUERIES["find_or_create_all"](spark, sf_dir)
+    assert set(ids(view(spark, sf_dir, "clients"))) <= set(ids(got, "matter_id"))
+
+
+@pytest.mark.parametrize("name", ["version_context_all", "upload_paths_all"])
+def test_every_version_is_taken(spark, name):
+    held = ("matter_document_id", "version_number")
+    got, want = QUERIES[name](spark, SF).select(*held), view(spark, SF, "document_versions").select(*held)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -88,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
 # --- the semi-Markov field -------------------------------------------------
 
 LONGEST = 20  # tokens in a segment
-_TRIGGER = re.compile(r"[0-9](?:[ ()\[\].-]{0,3}[0-9]){6,}+|@|[\[(] ?(?:at|AT) ?[\])]")
+_TRIGGER = re.compile(r"[0-9](?:[ ()\[\].-]{0,3}[0-9]){6,}+|(?<![0-9])[0-9]{1,3}(?:(?: ?\[\.\] ?|\.| \. )[0-9]{1,3}){3}(?![0-9])|@|[\[(] ?(?:at|AT) ?[\])]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _AT = re.compile(r"@|[\[(] ?(?:at|AT) ?[\])]")
 _DOT = re.compile(r"(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z]{2,10}$")
@@ -286,7 +286,8 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
     def ip() -> str:
         sep = r.choice((".", ".", "[.]", " . "))
-        return sep.join(str(r.randint(10, 255)) for _ in range(4))
+        top = r.choice((9, 99, 255, 255))  # short addresses too
+        return sep.join(str(r.randint(0, top)) for _ in range(4))
 
     def junk() -> str:
         x = d(16)

@@ -23,17 +23,26 @@ from pyspark.sql import functions as F
 from docketlake.llm.common import text_slices
 
 BUCKETS = 1 << 15
+LONGEST = 32  # letters in a word of the chain
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of a text, lower-cased."""
-    return _WORD.findall(text.lower())
+    """The runs of letters of a text, lower-cased.
+
+    A run of over ``LONGEST`` letters becomes pieces of that many, each with the last
+    two letters of the one before, so every letter and 3-gram counts and the language
+    can switch within a run.
+    """
+    words = _WORD.findall(text.lower())
+    if all(len(w) <= LONGEST for w in words):
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - 2), LONGEST - 2)]
 
 
 def features(word: str) -> list[int]:
     """Table rows of a word: prefixes, suffixes, 2- and 3-grams with borders, the word."""
-    w = f"<{word[:32]}>"
+    w = f"<{word}>"
     parts = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [w]
     parts += [w[k : k + 2] for k in range(len(w) - 1)] + [w[k : k + 3] for k in range(len(w) - 2)]
     return [crc32(x.encode()) % BUCKETS for x in parts]
@@ -221,7 +230,7 @@ def identify_language(docs: DataFrame, field: LanguageField | None, id_col: str
 
 
 def label_words(docs: DataFrame, field: LanguageField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per word: id, n (from 0), word, lang, score."""
+    """One row per word or piece (see ``words_of``): id, n (from 0), word, lang, score."""
 
     def run(batches):
         labeller = Labeller(field)

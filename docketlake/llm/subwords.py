@@ -24,10 +24,11 @@ def chunks_of(text: str) -> list[str]:
     """The chunks of a text; A-Z are lower-cased where that changes no id.
 
     ``str.split`` also cuts at U+001C to U+001F, which are no white space to the
-    tokenizer, and lower-casing before composition can matter before combining
-    marks; texts with either are cut plainly.
+    tokenizer, lower-casing before composition can matter before combining marks,
+    and special tokens such as <|endoftext|> are matched before lower-casing; texts
+    with any of these are cut plainly.
     """
-    if _ODD.search(text):
+    if "<|" in text or _ODD.search(text):
         return [c for c in _CUT.split(text) if c]
     return (text.lower() if text.isascii() else text.encode("utf-8", "replace").lower().decode("utf-8")).split()
 

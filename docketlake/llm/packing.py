@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from array import array
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,20 +58,23 @@ def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[list[int]
     open_packs: dict[int, list[tuple[list[int], int]]] = defaultdict(list)  # by room left
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        placed: list[tuple[int, list[int], int]] = []
-        for room in sorted((r for r in open_packs if r >= size), reverse=True):
-            packs = open_packs[room]
-            while packs and left:
-                pattern, n = packs.pop()
-                used = min(n, left)
-                if n > used:
-                    packs.append((pattern, n - used))
-                placed.append((room - size, [*pattern, size], used))
-                left -= used
-            if not left:
-                break
-        for room, pattern, n in placed:
-            open_packs[room].append((pattern, n))
+        rooms = [-r for r in open_packs if r >= size]
+        heapify(rooms)
+        while rooms and left:  # the largest room first; a pack stays open under its new room
+            room = -rooms[0]
+            if not open_packs[room]:
+                heappop(rooms)
+                del open_packs[room]
+                continue
+            pattern, n = open_packs[room].pop()
+            used = min(n, left)
+            if n > used:
+                open_packs[room].append((pattern, n - used))
+            rest = room - size
+            if rest >= size and rest not in open_packs:
+                heappush(rooms, -rest)
+            open_packs[rest].append(([*pattern, size], used))
+            left -= used
         while left:  # new packs, each filled with this length as far as the count goes
             each = length // size
             full, rest = divmod(left, each)

@@ -55,14 +55,18 @@ def match_documents(chunks: DataFrame, query: Sequence[float], match_threshold:
     return scored.orderBy(F.desc("similarity"), "id").limit(match_count).select(*names, "similarity")
 
 
-def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int = 64) -> DataFrame:
+def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int | None = None, rows_per_slice: int = 200) -> DataFrame:
     """Top matches of many query rows (query_id, embedding): query_id, id, similarity, rank.
 
     Every chunk meets every query, in blocks: queries are dealt to ``slices`` hash
     groups and chunks are sent once to each, so a task holds one slice of queries and
-    streams chunks past it. Ties go to the smaller id. Norms are computed once a row.
+    streams chunks past it. Unless given, the number of slices grows with the queries,
+    about ``rows_per_slice`` to each. Ties go to the smaller id. Norms are computed once
+    a row.
     """
     _checked(match_threshold, match_count)
+    if slices is None:
+        slices = max(8, -(-queries.count() // rows_per_slice))
     q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
     q = q.groupBy("slice").agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("asked"))
     c = chunks.select("id", "embedding", norm(F.col("embedding")).alias("norm"))

@@ -66,7 +66,7 @@ r AS (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER B
 SELECT query_id, id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def match_documents_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "vectors")
-    found = M.match_documents_batch(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 0.2, 5, slices=8)
+    found = M.match_documents_batch(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 0.2, 5)
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -271,8 +271,7 @@ def precedent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precedent_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "chunks").filter("is_precedent").withColumn("document_type_id", F.when(F.col("id") % 7 != 0, F.col("document_type_id")))
     c = R.lookup(c.select("id", "document_type_id"), view(spark, sf_dir, "document_types"), "document_type_id", "type", ["name"])
-    out = R.grouped_lists(c, F.coalesce("type.name", F.lit("Unassigned")), "type_name", F.col("id"), [F.col("id")], "ids")
-    return out.select("type_name", "n", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return c.groupBy(F.coalesce("type.name", F.lit("Unassigned")).alias("type_name")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("recent_precedents", "SELECT id, created_at FROM chunks WHERE document_type_id = 4 AND is_precedent ORDER BY created_at DESC, storage_path NULLS FIRST, id LIMIT 5")

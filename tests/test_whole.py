@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketlake.operators import relational as R
+from docketlake.operators import retrieval as M
 from docketlake.plans.queries import QUERIES
 from docketlake.plans.views import view
 
@@ -51,3 +52,15 @@ def test_every_version_is_taken(spark, name):
     held = ("matter_document_id", "version_number")
     got, want = QUERIES[name](spark, SF).select(*held), view(spark, SF, "document_versions").select(*held)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_slices_grow_with_the_queries(spark):
+    rows = spark.range(900).selectExpr("id", "array(double(id % 7 + 1), double(id % 5)) AS embedding")
+    queries = rows.selectExpr("id AS query_id", "embedding")
+    few, many = (M.match_documents_batch(rows, queries, 0.2, 2, **given) for given in ({"slices": 1}, {"rows_per_slice": 30}))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert "cast(29 as bigint)" in many._jdf.queryExecution().analyzed().toString()
+
+
+def test_precedents_by_type_gather_no_ids(spark):
+    assert "collect_list" not in QUERIES["precedent_by_type"](spark, SF)._jdf.queryExecution().analyzed().toString()

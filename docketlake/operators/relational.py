@@ -64,19 +64,21 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def positions(rows: DataFrame, keys: Sequence[Column], as_: str = "position", rows_per_bucket: int = 20_000) -> DataFrame:
+def positions(rows: DataFrame, keys: Sequence[Column], as_: str = "position", rows_per_bucket: int = 20_000, most_buckets: int = 2_000) -> DataFrame:
     """All rows with their position from 1 in the ascending order of ``keys``.
 
     Keys are compared as a struct, so nulls come first; for nulls last, put
     ``isNull()`` before the key, and for a falling number its negative. Rows are cut
     into ranges at a sample of the keys, numbered within their range, and the counts
-    of the ranges before are added: no task meets more than some ranges, and the
-    driver sees about 20 keys and one count a range. A row's range depends on its
-    keys alone; ``rows`` is read more than once. Rows with equal keys are in
-    arbitrary order, so keys should tell rows apart.
+    of the ranges before are added: no task meets more than some ranges. A range has
+    about ``rows_per_bucket`` rows, more where that would make over ``most_buckets``
+    ranges; the driver sees about 20 keys and one count a range, so at most 20 times
+    ``most_buckets`` keys however large the table. A row's range depends on its keys
+    alone; ``rows`` is read more than once. Rows with equal keys are in arbitrary
+    order, so keys should tell rows apart.
     """
     key = F.struct(*[c.alias(f"k{n}") for n, c in enumerate(keys)])
-    step = max(1, rows_per_bucket // 20)
+    step = max(1, max(rows_per_bucket, -(-rows.count() // most_buckets)) // 20)
     sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).orderBy("k").select(F.to_json("k").alias("j"), "k")
     cuts = [r["j"] for r in sample.select("j").collect()][20::20]
     kind = f"array<{sample.schema['k'].dataType.simpleString()}>"

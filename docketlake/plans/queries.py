@@ -146,16 +146,8 @@ def _matters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lookup(m, view(spark, sf_dir, "profiles"), "lead_partner_id", "lead_partner", ["full_name"])
 
 
-@query("matters_list", f"SELECT m.id, m.status, c.name AS client_name, p.full_name AS lead_partner, CAST(m.opened_date AS VARCHAR) AS opened_date, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS position {_MATTER_JOINS} QUALIFY position <= 500")
+@query("matters_list", f"SELECT m.id, m.status, c.name AS client_name, p.full_name AS lead_partner, CAST(m.opened_date AS VARCHAR) AS opened_date, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS position {_MATTER_JOINS}")
 def matters_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = view(spark, sf_dir, "matters").orderBy(F.desc("created_at"), "id").limit(500)
-    m = m.withColumn("position", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"))
-    m = R.lookup(R.lookup(m, view(spark, sf_dir, "clients"), "client_id", "client", ["name"]), view(spark, sf_dir, "profiles"), "lead_partner_id", "lead_partner", ["full_name"])
-    return m.select("id", "status", F.col("client.name").alias("client_name"), F.col("lead_partner.full_name").alias("lead_partner"), F.col("opened_date").cast("string").alias("opened_date"), "position")
-
-
-@query("matters_list_all", f"SELECT m.id, m.status, c.name AS client_name, p.full_name AS lead_partner, CAST(m.opened_date AS VARCHAR) AS opened_date, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS position {_MATTER_JOINS}")
-def matters_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = F.col("created_at") - F.lit("1970-01-01").cast(view(spark, sf_dir, "matters").schema["created_at"].dataType)
     m = R.positions(_matters(spark, sf_dir), [since.isNull(), -since, F.col("id")])
     return m.select("id", "status", F.col("client.name").alias("client_name"), F.col("lead_partner.full_name").alias("lead_partner"), F.col("opened_date").cast("string").alias("opened_date"), "position")
@@ -181,26 +173,13 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.conditional_counts(view(spark, sf_dir, "matters"), active=F.col("status") == "active", other=F.col("status") != "active")
 
 
-@query("clients_sorted", "SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM clients QUALIFY position <= 1000")
+@query("clients_sorted", "SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM clients")
 def clients_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = view(spark, sf_dir, "clients").select("id", "name").orderBy("name", "id").limit(1000)
-    return c.withColumn("position", F.row_number().over(Window.orderBy("name", "id")).cast("long"))
-
-
-@query("clients_sorted_all", "SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM clients")
-def clients_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positions(view(spark, sf_dir, "clients").select("id", "name"), [F.col("name"), F.col("id")])
 
 
-@query("profiles_nulls_last", "SELECT id, full_name, row_number() OVER (ORDER BY full_name ASC NULLS LAST, id) AS position FROM profiles QUALIFY position <= 1000")
+@query("profiles_nulls_last", "SELECT id, full_name, row_number() OVER (ORDER BY full_name ASC NULLS LAST, id) AS position FROM profiles")
 def profiles_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.asc_nulls_last("full_name"), F.asc("id")]
-    p = view(spark, sf_dir, "profiles").orderBy(*order).limit(1000)
-    return p.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
-@query("profiles_nulls_last_all", "SELECT id, full_name, row_number() OVER (ORDER BY full_name ASC NULLS LAST, id) AS position FROM profiles")
-def profiles_nulls_last_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positions(view(spark, sf_dir, "profiles"), [F.col("full_name").isNull(), F.col("full_name"), F.col("id")])
 
 
@@ -233,13 +212,8 @@ def _version_context(spark: SparkSession, sf_dir: str, versions: DataFrame) -> D
     return v.select("matter_document_id", "version_number", "l_partkey", "l_suppkey", "doc.matter_id", F.col("doc.type.name").alias("type_name"), F.col("doc.type.category").alias("category"))
 
 
-@query("version_context", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id WHERE v.version_number = 1")
+@query("version_context", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id")
 def version_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _version_context(spark, sf_dir, view(spark, sf_dir, "document_versions").filter("version_number = 1"))
-
-
-@query("version_context_all", "SELECT v.matter_document_id, v.version_number, v.l_partkey, v.l_suppkey, d.matter_id, t.name AS type_name, t.category FROM document_versions v LEFT JOIN matter_documents d ON d.id = v.matter_document_id LEFT JOIN document_types t ON t.id = d.document_type_id")
-def version_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _version_context(spark, sf_dir, view(spark, sf_dir, "document_versions"))
 
 
@@ -306,30 +280,16 @@ def _drafts(spark: SparkSession, sf_dir: str, matters: DataFrame) -> DataFrame:
     return M.draft_context(matters, view(spark, sf_dir, "clients"), parties, precedents)
 
 
-# draft_context shows the first matters only, as its SQL does; draft_context_all has every matter
 @query("draft_context", """
 WITH p AS (SELECT matter_document_id AS matter_id, string_agg(concat('- Party ', lpad(CAST(l_partkey AS VARCHAR), 6, '0'), ' (seller)'), chr(10) ORDER BY l_partkey) AS parties FROM document_versions WHERE version_number <= 2 GROUP BY 1),
 k AS (SELECT matter_document_id AS matter_id, version_number AS ord, row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number, l_partkey) AS n FROM document_versions),
 r AS (SELECT matter_id, string_agg(concat('[Precedent ', n, ']', chr(10), 'clause ', ord), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY n) AS precedents FROM k GROUP BY 1)
-SELECT m.id, concat('Matter: ', m.name, CASE WHEN c.name IS NOT NULL THEN concat(' (client: ', c.name, ')') ELSE '' END,
-  CASE WHEN m.description <> '' THEN concat(chr(10), chr(10), 'Description:', chr(10), m.description) ELSE '' END,
-  CASE WHEN p.parties IS NOT NULL THEN concat(chr(10), chr(10), 'KNOWN PARTIES:', chr(10), p.parties) ELSE '' END,
-  CASE WHEN r.precedents IS NOT NULL THEN concat(chr(10), chr(10), 'PRECEDENT:', chr(10), r.precedents) ELSE '' END) AS context
-FROM matters m LEFT JOIN clients c ON c.id = m.client_id LEFT JOIN p ON p.matter_id = m.id LEFT JOIN r ON r.matter_id = m.id WHERE m.id < 1000""")
-def draft_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir, view(spark, sf_dir, "matters").filter("id < 1000"))
-
-
-@query("draft_context_all", """
-WITH p AS (SELECT matter_document_id AS matter_id, string_agg(concat('- Party ', lpad(CAST(l_partkey AS VARCHAR), 6, '0'), ' (seller)'), chr(10) ORDER BY l_partkey) AS parties FROM document_versions WHERE version_number <= 2 GROUP BY 1),
-k AS (SELECT matter_document_id AS matter_id, version_number AS ord, row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number, l_partkey) AS n FROM document_versions),
-r AS (SELECT matter_id, string_agg(concat('[Precedent ', n, ']', chr(10), 'clause ', ord), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY n) AS precedents FROM k GROUP BY 1)
 SELECT m.id, concat('Matter: ', m.name, CASE WHEN c.name IS NOT NULL THEN concat(' (client: ', c.name, ')') ELSE '' END,
   CASE WHEN m.description <> '' THEN concat(chr(10), chr(10), 'Description:', chr(10), m.description) ELSE '' END,
   CASE WHEN p.parties IS NOT NULL THEN concat(chr(10), chr(10), 'KNOWN PARTIES:', chr(10), p.parties) ELSE '' END,
   CASE WHEN r.precedents IS NOT NULL THEN concat(chr(10), chr(10), 'PRECEDENT:', chr(10), r.precedents) ELSE '' END) AS context
 FROM matters m LEFT JOIN clients c ON c.id = m.client_id LEFT JOIN p ON p.matter_id = m.id LEFT JOIN r ON r.matter_id = m.id""")
-def draft_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def draft_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drafts(spark, sf_dir, view(spark, sf_dir, "matters"))
 
 
@@ -455,18 +415,10 @@ def _find_or_create(spark: SparkSession, sf_dir: str, clients: DataFrame) -> Dat
 
 
 @query("find_or_create", """
-WITH w AS (SELECT DISTINCT c_custkey AS matter_id, CAST(5 AS BIGINT) AS document_type_id FROM customer WHERE c_custkey < 300)
-SELECT matter_id, document_type_id, status FROM matter_documents WHERE document_type_id = 5
-UNION ALL SELECT w.matter_id, w.document_type_id, 'drafting' FROM w WHERE NOT EXISTS (SELECT 1 FROM matter_documents d WHERE d.matter_id = w.matter_id AND d.document_type_id = w.document_type_id)""")
-def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _find_or_create(spark, sf_dir, view(spark, sf_dir, "clients").filter("id < 300"))
-
-
-@query("find_or_create_all", """
 WITH w AS (SELECT DISTINCT c_custkey AS matter_id, CAST(5 AS BIGINT) AS document_type_id FROM customer)
 SELECT matter_id, document_type_id, status FROM matter_documents WHERE document_type_id = 5
 UNION ALL SELECT w.matter_id, w.document_type_id, 'drafting' FROM w WHERE NOT EXISTS (SELECT 1 FROM matter_documents d WHERE d.matter_id = w.matter_id AND d.document_type_id = w.document_type_id)""")
-def find_or_create_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _find_or_create(spark, sf_dir, view(spark, sf_dir, "clients"))
 
 
@@ -504,11 +456,6 @@ def _upload_paths(versions: DataFrame) -> DataFrame:
     return versions.select("matter_document_id", "version_number", "l_partkey", path.alias("path"), T.extension(path).alias("file_type"))
 
 
-@query("upload_paths", "SELECT matter_document_id, version_number, l_partkey, concat(matter_document_id, '/', l_partkey, '/v', version_number, '-', 'draft.docx') AS path, 'docx' AS file_type FROM document_versions WHERE version_number = 2")
+@query("upload_paths", "SELECT matter_document_id, version_number, l_partkey, concat(matter_document_id, '/', l_partkey, '/v', version_number, '-', 'draft.docx') AS path, 'docx' AS file_type FROM document_versions")
 def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _upload_paths(view(spark, sf_dir, "document_versions").filter("version_number = 2"))
-
-
-@query("upload_paths_all", "SELECT matter_document_id, version_number, l_partkey, concat(matter_document_id, '/', l_partkey, '/v', version_number, '-', 'draft.docx') AS path, 'docx' AS file_type FROM document_versions")
-def upload_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upload_paths(view(spark, sf_dir, "document_versions"))

@@ -16,12 +16,12 @@ def ids(df, column="id"):
 
 
 def test_every_matter_gets_a_context(spark):
-    got = QUERIES["draft_context_all"](spark, SF)
+    got = QUERIES["draft_context"](spark, SF)
     assert ids(got) == ids(view(spark, SF, "matters"))
     assert got.filter("id >= 1000").count() > 0 and got.filter("context IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("name, table", [("matters_list_all", "matters"), ("clients_sorted_all", "clients"), ("profiles_nulls_last_all", "profiles")])
+@pytest.mark.parametrize("name, table", [("matters_list", "matters"), ("clients_sorted", "clients"), ("profiles_nulls_last", "profiles")])
 def test_every_row_has_a_position(spark, name, table):
     got = QUERIES[name](spark, SF)
     assert ids(got) == ids(view(spark, SF, table))
@@ -43,11 +43,11 @@ def test_positions_like_sorting(spark, rows_per_bucket):
 
 def test_every_client_is_looked_up(spark):
     sf_dir = "/root/testdata/sf0.01"  # more than 300 clients
-    got = QUERIES["find_or_create_all"](spark, sf_dir)
+    got = QUERIES["find_or_create"](spark, sf_dir)
     assert set(ids(view(spark, sf_dir, "clients"))) <= set(ids(got, "matter_id"))
 
 
-@pytest.mark.parametrize("name", ["version_context_all", "upload_paths_all"])
+@pytest.mark.parametrize("name", ["version_context", "upload_paths"])
 def test_every_version_is_taken(spark, name):
     held = ("matter_document_id", "version_number")
     got, want = QUERIES[name](spark, SF).select(*held), view(spark, SF, "document_versions").select(*held)

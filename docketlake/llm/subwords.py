@@ -33,16 +33,28 @@ def chunks_of(text: str) -> list[str]:
     return (text.lower() if text.isascii() else text.encode("utf-8", "replace").lower().decode("utf-8")).split()
 
 
+def parts_of(text: str, chars: int = 1_000_000) -> Iterator[tuple[int, int, bool]]:
+    """(begin, end, cut) of parts of about ``chars``, each ending at white space or the end.
+
+    ``cut`` is False for a longer stretch that has no white space to be cut at.
+    """
+    at, n = 0, len(text)
+    while n - at > chars:
+        end = 1 + max(text.rfind(c, at, at + chars) for c in " \n\t\r")
+        if end:
+            yield at, end, True
+        else:
+            m = _CUT.search(text, at + chars)
+            end = m.start() if m else n
+            yield at, end, False
+        at = end
+    if at < n or not n:
+        yield at, n, True
+
+
 def segments(text: str, chars: int = 1_000_000) -> Iterator[str]:
     """The text in segments cut at white space, of about ``chars`` where it has any."""
-    at = 0
-    while len(text) - at > chars:
-        cut = _CUT.search(text, at + chars)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
+    return (text[a:b] for a, b, _ in parts_of(text, chars))
 
 
 def oldest_half(held: dict) -> dict:

@@ -15,16 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.bpe import WORDS, BpeModel, byte_alphabet
+from docketlake.llm.bpe import WORDS, BpeModel, byte_alphabet, marked
 from docketlake.llm.common import text_slices
 from docketlake.llm.subwords import chunks_of, oldest_half, segments
 
-LAST = 0x1000  # added to the code of a word's last symbol where the vocabulary marks word ends
-
-
-def _marked(symbols: str) -> str:
-    return symbols[:-1] + chr(ord(symbols[-1]) + LAST)
-
 
 class LongestMatch:
     """Counts the pieces of greedy longest-match segmentation of a word."""
@@ -94,14 +88,14 @@ class TokenCounter:
             model = json.load(f)["model"]
         suffix = model.get("end_of_word_suffix") or ""
         self.ends = bool(suffix)
-        self.match = LongestMatch(_marked(t.removesuffix(suffix)) if suffix and t.endswith(suffix) and t != suffix else t for t in model["vocab"])
+        self.match = LongestMatch(marked(t.removesuffix(suffix)) if suffix and t.endswith(suffix) and t != suffix else t for t in model["vocab"])
         self.alphabet = byte_alphabet()
         self.memo, self.longest, self.held = memo, longest, {}
 
     def word(self, word: str) -> str:
         """The byte symbols of a word, the last one marked."""
         symbols = "".join([self.alphabet[b] for b in word.encode("utf-8")])
-        return _marked(symbols) if self.ends else symbols
+        return marked(symbols) if self.ends else symbols
 
     def _chunk(self, chunk: str) -> tuple[int, int, int]:
         words = tokens = unknown = 0

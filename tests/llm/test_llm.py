@@ -225,15 +225,7 @@ def test_bpe_like_the_library(library):
         assert codec.encode(text) == ids and data == array("I", ids).tobytes()
         shown = library.decode(ids, skip_special_tokens=False)
         assert codec.decode(ids) == shown
-        assert codec.digests(text) == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
-
-
-def test_transducer_emits_what_batch_merging_gives():
-    r, model = random.Random(4), bpe.BpeModel(WORD_BPE)
-    for _ in range(30):
-        word = "".join(r.choice("etaonrishdl") for _ in range(r.randint(1, 4000)))
-        symbols = list(model.symbols(word))
-        assert list(model.transduce(iter(symbols), step=64)) == model.merged(symbols.copy())
+        assert codec.digests(text) == (len(ids), *(hashlib.sha256(x).hexdigest() for x in (data, shown.encode(), codec.text(ids).encode())))
 
 
 def test_decoder_state():

@@ -191,66 +191,60 @@ class BpeModel:
         What is settled is looked for after every ``step`` symbols of a word.
         """
         kinds, known, fits = self.kinds.get, self._known.get, self.fits
-        last: dict[int, tuple[int, str]] = {}  # place -> (begin, last token) of the prefix up to it
-        walks: list[tuple[int, str, str]] = []  # (begin, token before, text) of tokens that may still grow
-        token, base, at = "", 0, 0
+        word, tokens, begins = "", [""], [0]  # from the settled place on: symbols, and each prefix's last token
+        walks: list[int] = []  # where tokens that may still grow begin
+        at = 0
         for part in symbols:
             if not part:
-                yield from self._path(last, base, at)
-                last, walks, token, base, at = {}, [], "", 0, 0
-            for c in part:
-                walks.append((at, token, ""))
+                yield from self._path(tokens, begins, at)
+                word, tokens, begins, walks, at = "", [""], [0], [], 0
+                continue
+            word += part
+            n = len(word)
+            while at < n:
+                walks.append(at)
                 at += 1
-                still, token = [], ""
-                for begin, before, text in walks:
-                    text += c
+                still, token, of = [], "", 0
+                for begin in walks:
+                    text = word[begin:at]
                     kind = kinds(text)
                     if kind is None:
                         continue
                     if kind > 1 and not token:
+                        before = tokens[begin]
                         fit = known((before, text))
                         if fits(before, text) if fit is None else fit:
-                            token = text
-                            last[at] = begin, text
+                            token, of = text, begin
                     if kind & 1:
-                        still.append((begin, before, text))
+                        still.append(begin)
                 walks = still
-                if at % step == 0:
-                    live = [at, *[w[0] for w in walks]]
-                    trunk = self._trunk(last, base, live)
-                    for k in trunk:
-                        yield last[k][1]
-                    if trunk:
-                        base, kept = trunk[-1], {}
-                        for k in live:
-                            while k > base and k not in kept:
-                                kept[k] = last[k]
-                                k = last[k][0]
-                        last = kept
-        yield from self._path(last, base, at)
+                tokens.append(token)
+                begins.append(of)
+                if at % step == 0 and (k := self._settled(begins, [*walks, at])):
+                    yield from self._path(tokens, begins, k)
+                    word, tokens, begins = word[k:], tokens[k:], [b - k for b in begins[k:]]
+                    walks, at, n = [b - k for b in walks], at - k, n - k
+        yield from self._path(tokens, begins, at)
 
     @staticmethod
-    def _path(last: dict[int, tuple[int, str]], base: int, at: int) -> list[str]:
+    def _path(tokens: list[str], begins: list[int], at: int) -> list[str]:
         out = []
-        while at > base:
-            at, token = last[at]
-            out.append(token)
+        while at:
+            out.append(tokens[at])
+            at = begins[at]
         return out[::-1]
 
     @staticmethod
-    def _trunk(last: dict[int, tuple[int, str]], base: int, live: list[int]) -> list[int]:
-        """The ends of the tokens after ``base`` that the prefixes of all live places share."""
-        k, path = min(live), []
-        while k > base:
-            path.append(k)
-            k = last[k][0]
-        path.reverse()
+    def _settled(begins: list[int], live: list[int]) -> int:
+        """The farthest place that the encodings of all live prefixes share."""
+        shared = live[0]
         for k in live:
-            shared = set(path)
-            while k > base and k not in shared:
-                k = last[k][0]
-            path = path[: path.index(k) + 1] if k > base else []
-        return path
+            while k != shared:  # go back from the farther one until both meet
+                if k > shared:
+                    k = begins[k]
+                else:
+                    shared = begins[shared]
+        return shared
 
     def symbols(self, words: Iterable[str]) -> Iterator[str]:
         """Symbols of words that come in parts; an empty part, and so string, ends a word."""
@@ -258,10 +252,10 @@ class BpeModel:
         for part in words:
             if part:
                 now = "".join([alphabet[b] for b in part.encode("utf-8", "replace")])
-                if now := before + now:
-                    before = now[-1]
-                    if len(now) > 1:
-                        yield now[:-1]
+                now = before + now
+                before = now[-1]
+                for k in range(0, len(now) - 1, 256):
+                    yield now[k : min(k + 256, len(now) - 1)]
             elif before:
                 yield marked(before) if self.suffix else before
                 yield ""

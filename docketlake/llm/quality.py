@@ -84,8 +84,8 @@ class ByteConvNet:
         z = self.logits(np.concatenate([self.pooled(x) for x in _grouped(parts)]), starts)[0]
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 6, most: int = 16, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteConvNet:
-        """Adam on the logistic loss; an epoch takes up to ``most`` random chunks of each text."""
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteConvNet:
+        """Adam on the logistic loss; every epoch takes all chunks of every text."""
         r, y = np.random.default_rng(seed), np.asarray(labels, np.float32)
         if not texts:
             return self
@@ -102,8 +102,7 @@ class ByteConvNet:
             order = r.permutation(len(texts))
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
-                used = [parts[i] if len(parts[i]) <= most else parts[i][np.sort(r.choice(len(parts[i]), most, replace=False))] for i in rows]
-                g = self._gradient(used, y[rows])
+                g = self._gradient([parts[i] for i in rows], y[rows])
                 step += 1
                 for name, v in self.p.items():
                     a, b = m[name]
@@ -112,26 +111,33 @@ class ByteConvNet:
                     v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
         return self
 
-    def _gradient(self, used: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
-        p, block = self.p, np.concatenate(used)
+    def _gradient(self, used: list[np.ndarray], y: np.ndarray, most: int = 2048) -> dict[str, np.ndarray]:
+        """Gradient of the loss on some texts; their chunks are passed ``most`` at a time."""
+        p = self.p
         lens = np.array([len(x) for x in used])
         starts = np.cumsum(lens) - lens
-        top, at = self.pooled(block, True)
-        z, most, mean, n = self.logits(top, starts)
+        blocks = list(_grouped(used, most))
+        top, at = map(np.concatenate, zip(*[self.pooled(x, True) for x in blocks]))
+        z, high, mean, n = self.logits(top, starts)
         d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
         doc = np.repeat(np.arange(len(used)), lens)
         # the gradient of the maximum goes to the chunk that has it, that of the mean to all
-        hit = top == most[doc]
+        hit = top == high[doc]
         dt = d[doc, None] * (p["mean"] / n[doc] + hit / np.maximum(1, np.add.reduceat(hit, starts)[doc]) * p["top"])
         dt *= top > 0
-        i, f = np.nonzero(dt)
-        v = dt[i, f]
-        window = block[i[:, None], at[i, f][:, None] * STRIDE + np.arange(WIDTH)]
-        x = p["embed"][window].reshape(len(i), WIDTH * EMBED)
-        g = {"top": d @ most, "mean": d @ mean, "out": np.array([d.sum()], np.float32), "bias": np.bincount(f, v, FILTERS).astype(np.float32)}
-        g["conv"] = np.stack([v[f == c] @ x[f == c] for c in range(FILTERS)], axis=1).astype(np.float32)
-        back = (v[:, None] * p["conv"].T[f]).reshape(-1, EMBED)
-        g["embed"] = np.stack([np.bincount(window.reshape(-1), back[:, c], 512) for c in range(EMBED)], axis=1).astype(np.float32)
+        g = {"top": d @ high, "mean": d @ mean, "out": np.array([d.sum()], np.float32), "bias": dt.sum(0), "conv": np.zeros_like(p["conv"]), "embed": np.zeros_like(p["embed"])}
+        begin = 0
+        for whole in blocks:
+            for block in (whole[k : k + most] for k in range(0, len(whole), most)):
+                end = begin + len(block)
+                i, f = np.nonzero(dt[begin:end])
+                v = dt[begin:end][i, f]
+                window = block[i[:, None], at[begin:end][i, f][:, None] * STRIDE + np.arange(WIDTH)]
+                x = p["embed"][window].reshape(len(i), WIDTH * EMBED)
+                g["conv"] += np.stack([v[f == c] @ x[f == c] for c in range(FILTERS)], axis=1)
+                back = (v[:, None] * p["conv"].T[f]).reshape(-1, EMBED)
+                g["embed"] += np.stack([np.bincount(window.reshape(-1), back[:, c], 512) for c in range(EMBED)], axis=1).astype(np.float32)
+                begin = end
         return g
 
 

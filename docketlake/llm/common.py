@@ -65,6 +65,11 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
+def in_fold(id_col: str | Column, n: int, k: int) -> Column:
+    """Whether ``fold`` is ``k``; a null id is in no fold."""
+    return F.coalesce(fold(id_col, n) == k, F.lit(False))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch, each of bounded rows and size.
 

@@ -1,135 +1,207 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-Each word gets a score for each language from its affixes, character n-grams and
-its own identity (hashed into a fixed table), transitions between neighbouring
-words are learned, and forward-backward over the whole text gives every word's
-posterior. So a text that switches language is labelled word by word; the text's
-language is the one with the largest mean posterior.
-
-Training sequences join stretches of texts of different languages, so transitions
-see switches. The sample is bounded by ``train_docs`` a language.
+Each word gets a score for each language from its affixes, character n-grams, its own
+identity (hashed into a fixed table) and the lexicons of the languages; transitions
+between neighbouring words are learned, and forward-backward over the whole text gives
+every word's posterior. So a text that switches language is labelled word by word; the
+text's language is the one with the largest mean posterior.
+
+The sample is bounded by ``train_docs`` rows a language and read whole: every second
+text fills the lexicons, the words of the others, joined in stretches of different
+languages so that transitions see switches, fit the weights.
 """
 
 from __future__ import annotations
 
-import re
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import text_slices
+from docketlake.llm.shingles import mixed
 
 BUCKETS = 1 << 15
 LONGEST = 32  # letters in a word of the chain
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+_PLACE = mixed(np.arange(1, LONGEST + 3, dtype=np.uint64), 5) | np.uint64(1)
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of a text, lower-cased.
+    """The runs of letters of a text with their marks, lower-cased.
 
-    A run of over ``LONGEST`` letters becomes pieces of that many, each with the last
-    two letters of the one before, so every letter and 3-gram counts and the language
+    A run of over ``LONGEST`` characters becomes pieces of that many, each with the last
+    two of the one before, so every letter and 3-gram counts and the language
     can switch within a run.
     """
     words = _WORD.findall(text.lower())
-    if all(len(w) <= LONGEST for w in words):
+    if all([len(w) <= LONGEST for w in words]):
         return words
     return [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - 2), LONGEST - 2)]
 
 
-def features(word: str) -> list[int]:
-    """Table rows of a word: prefixes, suffixes, 2- and 3-grams with borders, the word."""
-    w = f"<{word}>"
-    parts = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [w]
-    parts += [w[k : k + 2] for k in range(len(w) - 1)] + [w[k : k + 3] for k in range(len(w) - 2)]
-    return [crc32(x.encode()) % BUCKETS for x in parts]
+class Words:
+    """Features of some words, all at once: hashes of affixes, n-grams and the words."""
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        lens = np.fromiter(map(len, words), np.int64, self.n)
+        x = mixed(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 9)
+        first = np.cumsum(lens) - lens
+        owner = np.repeat(np.arange(self.n), lens)
+        place = np.arange(len(x)) - first[owner]
+        self.hash = mixed(np.add.reduceat(x * _PLACE[place], first), 1)
+        flat, own = [self.hash], [np.arange(self.n)]
+
+        def add(h: np.ndarray, at: np.ndarray, kind: int):
+            flat.append(mixed(h, kind))
+            own.append(at)
+
+        # n-grams with the word's borders, which are zeros
+        y = np.zeros(len(x) + 2 * self.n, np.uint64)
+        y[np.arange(len(x)) + 2 * owner + 1] = x
+        held = np.repeat(np.arange(self.n), lens + 2)
+        a, b = _PLACE[0], _PLACE[1]
+        two = y[:-1] * a + y[1:]
+        same = held[:-1] == held[1:]
+        add(two[same], held[:-1][same], 2)
+        same = held[:-2] == held[2:]
+        add((y[:-2] * b + two[1:])[same], held[:-2][same], 3)
+        every = np.arange(self.n)
+        for back in (False, True):
+            h = np.zeros(self.n, np.uint64)
+            for k in range(3):  # a word shorter than the affix gives its whole self again
+                there = lens > k
+                at = np.where(there, first + lens - 1 - k if back else first + k, 0)
+                h = np.where(there, h * a + x[at], h)
+                add(h, every, 10 + 3 * back + k)
+        self.flat, self.owner = (np.concatenate(flat) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(own)
 
 
 def forward_backward(emit: np.ndarray, lens: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Posteriors of many sequences at once, and their log-likelihood normalisers.
+    """Posteriors of many sequences at once, with the forward vectors and local scores.
 
-    ``emit`` holds the sequences one after another (words x labels); ``lens``
-    falls. One step handles the same position of all sequences that reach it.
+    ``emit`` holds the sequences one after another (words x labels); ``lens`` falls.
+    Behind its first word a sequence is cut into segments of about the square root of
+    the longest one's length. All segments' products of transition matrices come first,
+    then each sequence's vectors at its borders, then the words of all segments: exact,
+    and the steps grow with the square root of the longest text.
     """
+    k = emit.shape[1]
+    e = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64)
+    a = np.exp(trans - trans.max()).astype(np.float64)
     first = np.cumsum(lens) - lens
-    t_max = int(lens[0]) if len(lens) else 0
-    active = np.searchsorted(-lens, -np.arange(t_max), side="left")  # sequences longer than t
-    top = emit.max(1, keepdims=True)
-    e = np.exp(emit - top)
-    a = np.exp(trans)
-    alpha, scale = np.empty_like(e), np.empty(len(e), e.dtype)
-    prev = np.exp(start) * e[first]
-    for t in range(t_max):
-        n = active[t]
-        rows = first[:n] + t
-        if t:
-            prev = (prev[:n] @ a) * e[rows]
-        z = prev.sum(1)
-        prev = prev / z[:, None]
-        alpha[rows], scale[rows] = prev, z
-    beta = np.ones((len(lens), e.shape[1]), e.dtype)
-    post = np.empty_like(e)
-    for t in range(t_max - 1, -1, -1):
-        n = active[t]
-        rows = first[:n] + t
-        b = beta[:n]
-        post[rows] = alpha[rows] * b
-        if t:
-            beta[:n] = ((e[rows] * b) @ a.T) / scale[rows][:, None]
+    alpha, post = np.empty_like(e), np.empty_like(e)
+    head = np.exp(start - start.max()) * e[first]
+    alpha[first] = head = head / head.sum(1, keepdims=True)
+    size = max(8, int(np.sqrt(lens[0]))) if len(lens) else 8
+    n_segs = -(-(lens - 1) // size)
+    seq = np.repeat(np.arange(len(lens)), n_segs)
+    nth = np.arange(len(seq)) - np.repeat(np.cumsum(n_segs) - n_segs, n_segs)
+    begin, length = first[seq] + 1 + nth * size, np.minimum(size, lens[seq] - 1 - nth * size)
+    order = np.argsort(-length, kind="stable")
+    begin, length, rank = begin[order], length[order], np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    active = np.searchsorted(-length, -np.arange(size), side="left")  # segments longer than s
+    through = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
+    for s, n in enumerate(active):
+        m = (through[:n] @ a) * e[begin[:n] + s][:, None, :]
+        through[:n] = m / m.max((1, 2), keepdims=True)
+    into, out = np.empty((len(order), k)), np.empty((len(order), k))
+    base = np.cumsum(n_segs) - n_segs
+    for j in range(int(n_segs.max(initial=0))):
+        rows = np.flatnonzero(n_segs > j)
+        at = rank[base[rows] + j]
+        into[at] = head[rows]
+        v = (head[rows][:, None, :] @ through[at])[:, 0]
+        head[rows] = v / v.sum(1, keepdims=True)
+    tail = np.ones((len(lens), k))
+    for j in range(int(n_segs.max(initial=0)) - 1, -1, -1):
+        rows = np.flatnonzero(n_segs > j)
+        at = rank[base[rows] + j]
+        out[at] = tail[rows]
+        v = (through[at] @ tail[rows][:, :, None])[:, :, 0]
+        tail[rows] = v / v.max(1, keepdims=True)
+    post[first] = alpha[first] * tail
+    for s, n in enumerate(active):
+        v = (into[:n] @ a) * e[begin[:n] + s]
+        alpha[begin[:n] + s] = into[:n] = v / v.sum(1, keepdims=True)
+    for s in range(size - 1, -1, -1):
+        n = active[s]
+        rows = begin[:n] + s
+        post[rows] = alpha[rows] * out[:n]
+        v = (e[rows] * out[:n]) @ a.T
+        out[:n] = v / v.max(1, keepdims=True)
     post /= post.sum(1, keepdims=True)
-    return post, alpha, scale, e
+    return post, alpha, e
 
 
 class LanguageField:
-    """Languages, feature table (BUCKETS x languages), transitions, start scores."""
+    """Languages, their lexicons, feature table (languages x features), transitions, start scores."""
 
     def __init__(self, langs: list[str]):
         k = len(langs)
         self.langs = langs
-        self.table = np.zeros((BUCKETS, k), np.float32)
+        self.table = np.zeros((k, BUCKETS + k), np.float32)
         self.trans, self.start = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
-
-    def fit(self, texts: dict[str, list[str]], sequences: int = 500, stretches: int = 3, epochs: int = 6, seed: int = 3) -> LanguageField:
-        """AdaGrad on the conditional likelihood of joined stretches of 4 to 30 words."""
+        self.lexicons: list[np.ndarray] = [np.empty(0, np.uint64)] * k
+
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, word) of every feature that holds."""
+        w = Words(words)
+        flat, own = [w.flat], [w.owner]
+        for c, lexicon in enumerate(self.lexicons):
+            if len(lexicon):
+                at = np.flatnonzero(lexicon[np.minimum(np.searchsorted(lexicon, w.hash), len(lexicon) - 1)] == w.hash)
+                flat.append(np.full(len(at), BUCKETS + c))
+                own.append(at)
+        return np.concatenate(flat), np.concatenate(own)
+
+    def scores(self, flat: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(own, row[flat], n) for row in self.table], axis=1)
+
+    def fit(self, texts: dict[str, list[str]], epochs: int = 2, seed: int = 3, least: int = 2) -> LanguageField:
+        """Lexicons from every second text, AdaGrad on the conditional likelihood of the others.
+
+        A lexicon holds the words that occur ``least`` times or more. All words of the
+        other texts take part, in stretches of 4 to 30 that are shuffled and joined by
+        threes at most.
+        """
         if len(self.langs) < 2:
             return self
         r = np.random.default_rng(seed)
-        words = {k: [w for w in map(words_of, v) if w] for k, v in texts.items()}
-        made = []
-        for _ in range(sequences):
-            seq, lab = [], []
-            for _ in range(int(r.integers(1, stretches + 1))):
-                y = int(r.integers(len(self.langs)))
-                if docs := words[self.langs[y]]:
-                    w = docs[int(r.integers(len(docs)))]
-                    at = int(r.integers(max(1, len(w) - 8)))
-                    part = w[at : at + int(r.integers(4, 31))]
-                    seq += part
-                    lab += [y] * len(part)
-            if seq:
-                made.append((seq, lab))
+        stretches: list[tuple[list[str], int]] = []
+        for y, lang in enumerate(self.langs):
+            held = [w for w in map(words_of, texts[lang]) if w]
+            if seen := [w for words in held[1::2] for w in words]:
+                h, n = np.unique(Words(seen).hash, return_counts=True)
+                self.lexicons[y] = h[n >= least]
+            for words in held[::2]:
+                at = 0
+                while at < len(words):
+                    size = int(r.integers(4, 31))
+                    stretches.append((words[at : at + size], y))
+                    at += size
         sums = [np.full_like(x, 1e-3) for x in (self.table, self.trans, self.start)]
-        for epoch in range(epochs):
-            order = r.permutation(len(made))
-            for k in range(0, len(order), 50):
-                batch = sorted((made[i] for i in order[k : k + 50]), key=lambda x: -len(x[0]))
-                self._step(batch, sums, 0.3)
+        for _ in range(epochs):
+            order, made, at = r.permutation(len(stretches)), [], 0
+            while at < len(order):
+                size = int(r.integers(1, 4))
+                part = [stretches[i] for i in order[at : at + size]]
+                made.append(([w for words, _ in part for w in words], [y for words, y in part for _ in words]))
+                at += size
+            for k in range(0, len(made), 50):
+                self._step(sorted(made[k : k + 50], key=lambda x: -len(x[0])), sums, 0.3)
         return self
 
     def _step(self, batch, sums, rate: float) -> None:
-        feats = [features(w) for seq, _ in batch for w in seq]
-        n = np.array([len(f) for f in feats])
-        flat, at = np.concatenate(feats), np.cumsum(n) - n
-        emit = np.add.reduceat(self.table[flat], at)
-        lens = np.array([len(seq) for seq, _ in batch])
-        post, alpha, scale, e = forward_backward(emit, lens, self.trans, self.start)
-        gold = np.zeros_like(post)
+        flat, own = self.features([w for words, _ in batch for w in words])
         labels = np.array([y for _, lab in batch for y in lab])
-        gold[np.arange(len(labels)), labels] = 1
-        d = gold - post
+        lens = np.array([len(words) for words, _ in batch])
+        post, alpha, e = forward_backward(self.scores(flat, own, len(labels)), lens, self.trans, self.start)
+        d = -post
+        d[np.arange(len(labels)), labels] += 1
         first = np.cumsum(lens) - lens
         inner = np.ones(len(labels), bool)
         inner[first] = False
@@ -138,10 +210,8 @@ class LanguageField:
         # pair posteriors: alpha(t-1) a e(t) beta(t), with beta taken from post / alpha
         pair = alpha[t - 1][:, :, None] * a[None] * (e[t] * post[t] / np.maximum(alpha[t], 1e-30))[:, None, :]
         pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-30)
-        g = [np.zeros_like(self.table), -pair.sum(0), d[first].sum(0)]
+        g = [np.stack([np.bincount(flat, x[own], self.table.shape[1]) for x in d.T]), -pair.sum(0), d[first].sum(0)]
         np.add.at(g[1], (labels[t - 1], labels[t]), 1)
-        for c in range(d.shape[1]):
-            g[0][:, c] = np.bincount(flat, np.repeat(d[:, c], n), BUCKETS)
         for x, gx, s in zip((self.table, self.trans, self.start), g, sums):
             s += gx * gx
             x += rate * gx / np.sqrt(s)
@@ -163,9 +233,8 @@ class Labeller:
             while len(self.scores) < n + len(fresh):
                 self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
             for k in range(0, len(fresh), 20_000):
-                feats = [features(w) for w in fresh[k : k + 20_000]]
-                size = np.array([len(f) for f in feats])
-                self.scores[n + k : n + k + len(feats)] = np.add.reduceat(self.field.table[np.concatenate(feats)], np.cumsum(size) - size)
+                some = fresh[k : k + 20_000]
+                self.scores[n + k : n + k + len(some)] = self.field.scores(*self.field.features(some), len(some))
             at.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.bpe import bpe_digests
-from docketlake.llm.common import fold, written
+from docketlake.llm.common import fold, in_fold, written
 from docketlake.llm.exact_dedup import exact_dedup
 from docketlake.llm.language_id import identify_language, train_languages
 from docketlake.llm.lm_scoring import lm_scores
@@ -60,13 +60,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     scored = score_quality(docs, train_quality(docs, labels.filter(fold("doc_id", 3) != 1)))
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     field = train_languages(docs.filter(fold("doc_id", 4) != 2))
-    return identify_language(docs, field).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify_language(docs, field).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores(documents(spark, sf_dir), fold("doc_id", 10) != 0, WORD_BPE)
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 OP3_SQL = """

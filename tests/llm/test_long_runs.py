@@ -19,3 +19,20 @@ def test_a_switch_within_a_run_is_seen():
     post = L.Labeller(field).posteriors(["ab" * 300 + "cd" * 300])[0]
     assert list(post[[0, 5, -6, -1]].argmax(1)) == [0, 0, 1, 1]
     assert abs(post.mean(0)[0] - 0.5) < 0.1
+
+
+def test_no_letter_no_language():
+    for text in ("½ ² ①", "Ⅷ ⅱ 12 ³", "!?", "\u0301"):
+        assert L.words_of(text) == []
+    assert L.words_of("x² नमस्ते ª") == ["x", "नमस्ते", "ª"]
+
+
+def test_features_hold_what_they_name():
+    def of(word):
+        w = L.Words([word, "other"])
+        return set(w.flat[w.owner == 0].tolist())
+
+    assert len(of("abcdef")) == 1 + 7 + 6 + 6  # the word, 2- and 3-grams with borders, affixes
+    assert of("abcdef") == set(L.Words(["first", "abcdef"]).flat[L.Words(["first", "abcdef"]).owner == 1].tolist())
+    shared = of("abcdef") & of("abcxyz")
+    assert len(shared) == 3 + 3 + 2  # prefixes; <a ab bc; <ab abc

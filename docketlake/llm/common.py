@@ -59,6 +59,13 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def integral(df: DataFrame, *columns: str) -> None:
+    """An error unless the columns are of integral types."""
+    for c in columns:
+        if (kind := df.schema[c].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{c} must be of an integral type, not {kind}")
+
+
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null for a null id)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

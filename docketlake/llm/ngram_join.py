@@ -12,12 +12,15 @@ How the work is kept down without losing a link:
 * Repeat filter: if a set of n tokens has a partner, then of its d + k smallest
   tokens in hash order (d = n - ceil(t n), k a tenth of n) a known number occurs in
   a second set too. Those tokens are dealt by hash; sets with too few repeated ones
-  can't have a partner and go no further. Tokens travel packed, four bytes each; a
-  clash of two tokens can only let a set through.
+  can't have a partner and go no further. Tokens travel packed, four bytes each; all
+  of a set's tokens count one by one, so a clash can only let a set through. A token
+  that a task has met in two sets is counted there and sent on with these two alone,
+  so a token in every set makes no large group.
 * Links are only needed between sets not yet connected. Rounds of pivots (a few
   sets of each posting list, chosen by hash) connect most of a group with a linear
-  number of pairs. The last round compares every pair of a posting list that is not
-  connected yet, so the components are exact.
+  number of pairs. The last round compares the pairs of a posting list that are not
+  connected yet, so the components are exact; long lists are split by the prefix tokens
+  under the second order, which a pair has to share as well.
 * A pair comes from a common token only if it could be the pair's first: what stands
   before it in the first order counts as not shared.
 """
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketlake.llm.common import text_slices, written
+from docketlake.llm.common import integral, text_slices, written
 from docketlake.llm.exact_dedup import block_filter, passing
 from docketlake.llm.shingles import mixed, shingle_set
 
@@ -44,13 +47,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def _set_id(tokens: np.ndarray) -> int | None:
-    """64 bits that stand for a set; None for the empty set."""
-    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
+def _set_id(tokens: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for the empty set."""
+    return blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
 def set_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """id, n (set size), set_id (null for the empty set) of every row."""
+    """id, n (set size), set_id (16 bytes, null for the empty set) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -60,9 +63,9 @@ def set_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                     s = shingle_set(x, words)
                     n.append(len(s))
                     own.append(_set_id(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(own, pa.int64())], names=["id", "n", "set_id"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["id", "n", "set_id"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, set_id long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, set_id binary")
 
 
 def _least(n: np.ndarray | int, percent: int):
@@ -74,17 +77,36 @@ def _extra(n):
     return n // 10 + 1
 
 
-def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int) -> DataFrame:
+_ID = np.dtype([("a", "<u8"), ("b", "<u8")])
+_PACKED = "bucket int, ids binary, counts binary, tokens binary"
+
+
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``x`` the sorted ``held`` has."""
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x if len(held) else np.zeros(len(x), bool)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+
+
+def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int, most: int = 500_000) -> DataFrame:
     """(bucket, ids, counts, tokens): the first tokens of many sets, dealt by hash.
 
-    A row holds what one slice of texts has for a bucket; copies within the slice
-    count once.
+    A row holds what one slice of texts has for a bucket. A token that the task has
+    sent with two sets is known as repeated (up to ``most`` tokens are held): it is
+    counted for the other sets in rows without tokens. Copies within a task count once
+    while it holds their set (up to ``most`` too), and more often after that, which can
+    only let a set through.
     """
 
     def run(batches):
+        seen: set[bytes] = set()
+        many = np.empty(0, np.uint64)
         for batch in batches:
             for _, texts in text_slices(batch, "text", chars=8_000_000, rows=4096):
-                some, lens, parts, seen = [], [], [], set()
+                some, lens, parts = [], [], []
                 for x in texts:
                     s = shingle_set(x, words)
                     n = len(s)
@@ -94,74 +116,103 @@ def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, perc
                         some.append(own)
                         lens.append(len(s))
                         parts.append(s)
+                if len(seen) > most:
+                    seen.clear()
                 if not some:
                     continue
                 tokens, doc = np.concatenate(parts), np.repeat(np.arange(len(some)), lens)
+                known = _among(tokens, many)
+                counted, tokens, doc = [doc[known]], tokens[~known], doc[~known]
+                order = np.argsort(tokens, kind="stable")
+                tokens, doc = tokens[order], doc[order]
+                edge = _runs(tokens)
+                place = np.arange(len(tokens)) - np.repeat(edge[:-1], np.diff(edge))
+                counted.append(doc[place > 1])
+                many = np.sort(np.concatenate([many, tokens[place == 1]]))
+                if len(many) > most:
+                    many = np.empty(0, np.uint64)
+                tokens, doc = tokens[place < 2], doc[place < 2]
                 low = mixed(tokens, 1)
                 bucket = (low >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((doc, bucket))
                 bucket, doc, low = bucket[order], doc[order], low[order].astype(np.uint32)
-                some = np.asarray(some, np.int64)
-                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                ids = np.frombuffer(b"".join(some), _ID)
                 rows: list[list] = [[], [], [], []]
+                edge = _runs(bucket)
                 for a, b in zip(edge[:-1], edge[1:]):
-                    own = doc[a:b]
-                    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-                    for c, v in zip(rows, (int(bucket[a]), some[own[cut[:-1]]].tobytes(), np.diff(cut).astype(np.uint32).tobytes(), low[a:b].tobytes())):
+                    cut = _runs(doc[a:b])
+                    for c, v in zip(rows, (int(bucket[a]), ids[doc[a:b][cut[:-1]]].tobytes(), np.diff(cut).astype(np.uint32).tobytes(), low[a:b].tobytes())):
+                        c.append(v)
+                n = np.bincount(np.concatenate(counted), minlength=len(some))
+                if n.any():
+                    for c, v in zip(rows, (int(ids["a"][0] % np.uint64(buckets)), ids[n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes(), b"")):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["bucket", "ids", "counts", "tokens"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "bucket int, ids binary, counts binary, tokens binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, _PACKED)
+
+
+def _in_other_sets(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts): how many tokens of each set in the packed rows another set has too.
+
+    A set's tokens count one by one, also where two of them have the same 32 bits; a
+    set that comes again, from another task, counts once.
+    """
+    ids = np.concatenate([np.frombuffer(a, _ID) for a, _, _ in rows])
+    counts = np.concatenate([np.frombuffer(b, np.uint32) for _, b, _ in rows]).astype(np.int64)
+    tokens = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in rows])
+    ids, one, own = np.unique(ids, return_index=True, return_inverse=True)
+    first = np.zeros(len(counts), bool)
+    first[one] = True
+    held = np.repeat(first, counts)
+    own, tokens = np.repeat(own, counts)[held], tokens[held]
+    order = np.lexsort((own, tokens))
+    t, own = tokens[order], own[order]
+    edge = _runs(t)
+    shared = own[edge[:-1]] != own[edge[1:] - 1] if len(t) else np.zeros(0, bool)  # owners rise within a run
+    n = np.bincount(own[np.repeat(shared, np.diff(edge))], minlength=len(ids))
+    return ids[n > 0], n[n > 0]
 
 
 def _repeated(packed: DataFrame) -> DataFrame:
-    """(id, repeated): how many of a set's packed tokens another set has too."""
-
-    def count(rows: list[tuple[bytes, bytes, bytes]]):
-        ids = np.concatenate([np.frombuffer(a, np.int64) for a, _, _ in rows])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for _, b, _ in rows])
-        tokens = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in rows])
-        own = np.repeat(ids, counts)
-        order = np.lexsort((own, tokens))
-        t, own = tokens[order], own[order]
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        first = new | np.concatenate([[True], own[1:] != own[:-1]])  # once for each set
-        t, own, new = t[first], own[first], new[first]
-        size = np.diff(np.append(np.flatnonzero(new), len(t)))
-        return np.unique(own[np.repeat(size > 1, size)], return_counts=True)
-
-    def out(sums: dict[int, int]):
-        return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["id", "repeated"])
+    """(set_id, repeated): how many of a set's packed tokens another set has too, or more."""
+
+    def out(sums: dict[bytes, int]):
+        return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.binary()), pa.array(sums.values(), pa.int64())], names=["set_id", "repeated"])
 
     def run(batches):
         held, at, sums = [], None, {}
 
-        def close():
-            ids, per = count(held)
-            for d, n in zip(ids.tolist(), per.tolist()):
-                sums[d] = sums.get(d, 0) + n
+        def add(ids: np.ndarray, n: np.ndarray):
+            data = ids.tobytes()
+            for k, v in enumerate(n.tolist()):
+                own = data[16 * k : 16 * k + 16]
+                sums[own] = sums.get(own, 0) + v
 
         for batch in batches:
             for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != at and held:
-                    close()
+                    add(*_in_other_sets(held))
                     held = []
-                    if len(sums) > 200_000:
-                        yield out(sums)
-                        sums = {}
+                if len(sums) > 200_000:
+                    yield out(sums)
+                    sums.clear()
                 at = b
-                held.append(tuple(row))
+                if row[2]:
+                    held.append(tuple(row))
+                else:
+                    add(np.frombuffer(row[0], _ID), np.frombuffer(row[1], np.uint32))
         if held:
-            close()
+            add(*_in_other_sets(held))
         if sums:
             yield out(sums)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "id long, repeated long").groupBy("id").agg(F.sum("repeated").alias("repeated"))
+    return dealt.mapInArrow(run, "set_id binary, repeated long").groupBy("set_id").agg(F.sum("repeated").alias("repeated"))
 
 
 def _arrays(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, tokens, o2, o3) by set: its tokens and its prefixes under the further orders."""
+    """(set_id, tokens, o2, o3) by set: its tokens and its prefixes under the further orders."""
 
     def run(batches):
         for batch in batches:
@@ -176,9 +227,9 @@ def _arrays(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     cols[1].append(s.view(np.int64))
                     for c, seed in zip(cols[2:], ORDERS):
                         c.append((np.sort(mixed(s, seed))[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=["id", "tokens", "o2", "o3"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int64())), *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=["set_id", "tokens", "o2", "o3"])
 
-    return texts.select("text").mapInArrow(run, "id long, tokens array<long>, o2 array<int>, o3 array<int>")
+    return texts.select("text").mapInArrow(run, "set_id binary, tokens array<long>, o2 array<int>, o3 array<int>")
 
 
 def linked_components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -206,13 +257,32 @@ def linked_components(links: DataFrame, label: str = "components") -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that share prefix tokens under each order and are similar."""
-    x = sets.select(*[F.col(c).alias(f"x_{c}") for c in ("id", "n", "tokens", "o2", "o3")])
-    y = sets.select(*[F.col(c).alias(f"y_{c}") for c in ("id", "n", "tokens", "o2", "o3")])
-    joined = pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id"))
-    shared = F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")
+    """The (a, b) pairs that share prefix tokens under each order and are similar.
+
+    The prefixes under the further orders are intersected first; only what is left
+    meets its sets' tokens.
+    """
+    side = lambda s, *cols: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", *cols)])
+    both = lambda rows, *cols: rows.join(side("x", *cols), F.col("a") == F.col("x_id")).join(side("y", *cols), F.col("b") == F.col("y_id"))
+    near = both(pairs, "o2", "o3").filter(F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")).select("a", "b")
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return joined.filter(shared).withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
+    return both(near, "n", "tokens").withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
+
+
+def _unconnected_pairs(rows: DataFrame, sets: DataFrame, percent: int, split: int) -> DataFrame:
+    """(a, b) pairs of a posting list (token, id, n, pos, comp) in different components.
+
+    A list of over ``split`` rows is cut by the prefix tokens under the second order: a
+    linked pair shares one of those too, so it meets in one of the parts.
+    """
+    sized = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
+    second = sets.select("id", F.explode("o2").alias("second"))
+    long = sized.filter(F.col("size") > split).join(second, "id")
+    keyed = sized.filter(F.col("size") <= split).withColumn("second", F.lit(0)).unionByName(long)
+    x = keyed.select("token", "second", "id", "n", "pos", "comp")
+    y = keyed.select("token", "second", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"))
+    joined = x.join(y, ["token", "second"]).filter((F.col("comp") < F.col("other")) & _may_link(F.col("m"), F.col("q"), F.col("n"), F.col("pos"), percent))
+    return joined.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
 def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
@@ -224,7 +294,7 @@ def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, pivots: int = 3, rounds: int = 3, tokens_per_bucket: int = 1_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, pivots: int = 3, rounds: int = 3, tokens_per_bucket: int = 1_000_000, split: int = 500) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, n_class.
 
     Sets link when 100 * intersection >= ``percent`` * union; ``component_id`` is
@@ -233,10 +303,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are linked with nothing; their component is their own id. Rows with a null id
     have a null component, and a text that only they hold links nothing. Repeated
     ids are allowed, with one text or several. An empty table gives an empty result.
-    Sets and tokens are told apart by 64-bit hashes.
+    Sets are told apart by 128-bit hashes, tokens by 64-bit hashes. ``id_col`` must be
+    of an integral type; at most 16 words make a shingle.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    if not 1 <= words <= 16:
+        raise ValueError("words must be 1 to 16")
+    integral(docs, id_col)
     owned = written(set_ids(docs, id_col, text_col, words), "set-ids")
     classes = owned.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_class"))
     classes = written(classes, "classes")
@@ -244,25 +318,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = classes.select("set_id", F.col("rep").alias("component_id"), "n_class")
     if total:
         buckets = max(1, math.ceil(total * 0.3 / tokens_per_bucket)) * 8
-        comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds)
+        comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds, split)
         if comps is not None:
-            joined = classes.join(comps.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-            names = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-            labelled = joined.join(names, "comp").select("set_id", "component_id", "n_class")
+            names = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_id", "component_id")
+            labelled = labelled.withColumnRenamed("component_id", "own").join(names, "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"), "n_class")
     out = owned.join(labelled, "set_id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"))
 
 
-def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds) -> DataFrame | None:
-    """(id, comp) of the sets that have links; None without links."""
+def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds, split) -> DataFrame | None:
+    """(set_id, rep, comp) of the sets that have links; None without links."""
     repeated = _repeated(_packed_tokens(docs, id_col, text_col, words, percent, buckets))
     # a partner has at least ceil(percent n) tokens, and its own share of them
     need = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
-    alive = repeated.join(classes.select(F.col("set_id").alias("id"), "n", "rep"), "id").filter((F.col("repeated") >= need) & F.col("rep").isNotNull())
-    alive = written(alive.select("id", "n", "rep", F.col("rep").cast("string").alias("digest")), "alive")
+    alive = repeated.join(classes.select("set_id", "n", "rep"), "set_id").filter((F.col("repeated") >= need) & F.col("rep").isNotNull())
+    # from here on a set goes by a number, fixed by what is written
+    alive = written(alive.select("set_id", F.monotonically_increasing_id().alias("id"), "n", "rep", F.col("rep").cast("string").alias("digest")), "alive")
     tagged = _texts(docs, id_col, text_col).withColumn("digest", F.col("id").cast("string"))
     texts = passing(tagged, block_filter(alive), True).join(alive.select(F.col("rep").alias("id")).distinct(), "id")
-    sets = _arrays(texts, words, percent).join(alive.select("id", "n"), "id").dropDuplicates(["id"])
+    sets = _arrays(texts, words, percent).join(alive.select("set_id", "id", "n"), "set_id").drop("set_id").dropDuplicates(["id"])
     sets = written(sets, "sets")
 
     tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
@@ -291,9 +365,7 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
             joined = joined.filter((F.col("p.comp") != F.col("comp")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
             pairs = joined.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"))
-            joined = rows.join(other, "token").filter((F.col("comp") < F.col("other")) & _may_link(F.col("m"), F.col("q"), F.col("n"), F.col("pos"), percent))
-            pairs = joined.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+            pairs = _unconnected_pairs(rows, sets, percent, split)
         pairs = pairs.distinct()
         if links is not None:
             pairs = pairs.join(links, ["a", "b"], "left_anti")
@@ -301,7 +373,7 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = written(linked_components(links), "comps")
-    return comps
+    return None if comps is None else comps.join(alive.select("id", "set_id", "rep"), "id").select("set_id", "rep", "comp")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

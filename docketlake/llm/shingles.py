@@ -42,11 +42,14 @@ def word_hashes(text: str) -> np.ndarray:
     start, end = edges[::2], edges[1::2]
     power, inverse = _powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power, dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))if len(start) else np.empty(0, np.uint64)
+    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes; a text with fewer words has one for the whole sequence."""
+    """Sorted distinct hashes; a text with fewer words has one for the whole sequence.
+
+    ``words`` must be 1 to 16.
+    """
     w = word_hashes(text)
     n = len(w)
     if not n:

@@ -5,8 +5,10 @@ the shared folder. Memtables are slices of the input; each is aggregated by
 digest and flushed as a run sorted by digest, with Parquet min/max statistics
 and Bloom filters on the digest. Compaction merges ``fan_in`` runs of a level
 into one run of the next level and keeps one identifier a digest, the smallest
-or the largest as asked. A probe whose digest the index holds more than once is
-a hit, and each hit is compared byte by byte with the text of the row that
+or the largest as asked. ``lookup`` asks for single digests, and the runs' filters
+skip what can't have them. Over all rows, the digests that the index holds more than
+once make one filter, sized by their number; a row that passes it and has such a
+digest is a hit, and each hit is compared byte by byte with the text of the row that
 stays before it counts as a copy.
 
 Only DataFrame functions are used. Hot groups (a text copied in a third of all
@@ -16,20 +18,23 @@ them: the text that stays is repeated once per ``salt_rows`` copies.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import new_path, written
+from docketlake.llm.common import integral, new_path, written
 
-BLOCKS = 1 << 17
+MOST_BLOCKS = 1 << 21  # of 64 bits: what may be broadcast
 
 
 def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _block(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BLOCKS))
+def _block(digest: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(blocks))
 
 
 def _bits(digest: Column) -> Column:
@@ -101,28 +106,51 @@ class DigestIndex:
         rank = F.col("best.rank")
         return merged.select("digest", (rank if self.keep == "max" else -rank).alias("keep_id"), F.col("best.best_rows").alias("keep_rows"), "group_size")
 
+    def lookup(self, digests: Sequence[bytes]) -> DataFrame:
+        """The entries of ``table()`` for a few digests.
+
+        The digests reach the scans as a predicate, so row groups whose statistics or
+        Bloom filter rule them out are not read.
+        """
+        return self.table().filter(F.col("digest").isin(*map(bytearray, digests)))
+
     def copies(self) -> DataFrame:
         """The entries of ``table()`` that more than one row has."""
         return self.table().filter("group_size > 1")
 
 
-def block_filter(entries: DataFrame) -> DataFrame:
-    """A blocked Bloom filter of digests: at most ``BLOCKS`` rows of (block, mask).
+class BlockFilter(NamedTuple):
+    """A blocked Bloom filter as rows (block, mask); without blocks it lets all through."""
+
+    table: DataFrame | None
+    blocks: int
+
+
+def block_filter(entries: DataFrame, bits: int = 12, most: int = MOST_BLOCKS) -> BlockFilter:
+    """A filter of the digests of a written table, of about ``bits`` bits a digest.
 
-    Its size is bounded whatever the input, so it can be broadcast. A full
-    filter lets every row through and costs time only.
+    It is broadcast, so it has at most ``most`` blocks: beyond that (some ten million
+    digests) there is none, and rows are joined with the table itself.
     """
-    return entries.groupBy(_block(F.col("digest")).alias("block")).agg(F.bit_or(_bits(F.col("digest"))).alias("mask"))
+    need = -(-entries.count() * bits // 64)
+    blocks = 1 << max(10, (need - 1).bit_length())
+    if blocks > most:
+        return BlockFilter(None, 0)
+    return BlockFilter(entries.groupBy(_block(F.col("digest"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("digest"))).alias("mask")), blocks)
 
 
-def passing(rows: DataFrame, filt: DataFrame, passing: bool) -> DataFrame:
+def passing(rows: DataFrame, filt: BlockFilter, passing: bool) -> DataFrame:
+    """The rows whose digest may be in the filter, or those whose digest is not."""
+    if filt.table is None:
+        return rows if passing else rows.filter(F.lit(False))
     cols = rows.columns
-    joined = rows.withColumn("_block", _block(F.col("digest"))).join(F.broadcast(filt.select(F.col("block").alias("_block"), F.col("mask").alias("_mask"))), "_block", "left")
+    masks = filt.table.select(F.col("block").alias("_block"), F.col("mask").alias("_mask"))
+    joined = rows.withColumn("_block", _block(F.col("digest"), filt.blocks)).join(F.broadcast(masks), "_block", "left")
     held = F.coalesce(F.col("_mask").bitwiseAND(_bits(F.col("digest"))) == _bits(F.col("digest")), F.lit(False))
     return joined.filter(held if passing else ~held).select(*cols)
 
 
-def _verified(docs: DataFrame, copies: DataFrame, filt: DataFrame, id_col: str, text_col: str, salt_rows: int) -> DataFrame:
+def _verified(docs: DataFrame, copies: DataFrame, filt: BlockFilter, id_col: str, text_col: str, salt_rows: int) -> DataFrame:
     """Digests of which some row's text differs from that of the row that stays."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", digest_of(F.col("text")))
     hits = passing(rows, filt, True)
@@ -144,12 +172,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest (``keep="min"``) or largest id stays; a null id stays only if its
     whole group has none. Of repeated rows with that id exactly one is kept. An
     empty table gives an empty result. Other columns of ``docs`` play no part.
+    ``id_col`` must be of an integral type.
     """
     out, _, _ = _dedup(docs, id_col, text_col, keep, memtables, fan_in, salt_rows)
     return out
 
 
 def _dedup(docs, id_col, text_col, keep, memtables, fan_in, salt_rows):
+    integral(docs, id_col)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest"))
     index = DigestIndex(spark, keep, fan_in, memtables)

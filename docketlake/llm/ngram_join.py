@@ -380,8 +380,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without those of a component's other members.
 
     The rows with the component's smallest id stay, with all columns, as do rows
-    with an empty set or a null id. Texts are not shuffled: the ids to drop go through
-    a block filter of fixed size, and only rows it can't rule out are joined.
+    with an empty set or a null id. Most texts are not shuffled: the ids to drop make a
+    block filter, and only rows it can't rule out are joined.
     """
     comps = similar_components(docs, id_col, text_col, **options)
     drop = written(comps.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop_id")).distinct().withColumn("digest", F.col("drop_id").cast("string")), "drops")

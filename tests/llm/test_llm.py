@@ -479,18 +479,42 @@ def test_lm_of_awkward_rows(spark):
     assert lm_scoring.lm_scores(empty(spark), F.col("doc_id") > 0, WORD_BPE).count() == 0
 
 
+def test_attention_beats_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base = docs.select(F.col("doc_id").alias("id"), (F.crc32(F.col("doc_id").cast("string")) % 10 != 0).alias("learn"), "text")
+    rows = lm_scoring.subword_ids(base, WORD_BPE, np.empty(0, np.uint64), np.empty(0), 100_000).select("learn", "ids").cache()
+    model, pairs = lm_scoring.learned(rows.filter("learn").select("ids"), 49408, 49406, 49407)
+    t = model.tables(pairs)
+    held = [lm_scoring._wide(r["ids"]) for r in rows.filter("NOT learn").collect()]
+    n = sum(len(x) + 1 for x in held)
+    got = lm_scoring.attention_scores(held, t, 49406, 49407).sum() / n
+    classes = np.stack([np.bincount(model.classes, x, lm_scoring.CLASSES) for x in pairs]) + 0.1
+    classes = np.log(classes / classes.sum(1, keepdims=True))
+    share = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * 49408)
+    counts = unigram = 0.0
+    for x in held:
+        flat = np.concatenate([[49406], x, [49407]])
+        a, b = model.classes[flat[:-1]], model.classes[flat[1:]]
+        counts += (classes[a, b] + t["within"][a, flat[1:]]).sum() / math.log(10)
+        unigram += np.log10(share[flat[1:]]).sum()
+    t0 = t | {"v": np.zeros_like(t["v"])}
+    print(f"attention {got:.3f}, without values {lm_scoring.attention_scores(held, t0, 49406, 49407).sum() / n:.3f}, class counts {counts / n:.3f}, single ids {unigram / n:.3f}")
+    assert got > counts / n + 0.1 and got > unigram / n + 0.4
+
+
 def test_windows_score_each_id_once():
     m = lm_scoring.AttentionModel(40, 38, 39)
     r = np.random.default_rng(0)
     for w in m.p.values():
         w[...] = r.normal(0, 0.3, w.shape)
     t = m.tables(r.integers(0, 9, (lm_scoring.CLASSES, 40)))
-    texts = [r.integers(0, 38, n) for n in (0, 1, 14, 15, 16, 17, 27, 28, 29, 100)]
+    window, stride = lm_scoring.WINDOW, lm_scoring.STRIDE
+    texts = [r.integers(0, 38, n) for n in (0, 1, window - 2, window - 1, window, window + 1, window + stride - 1, window + stride, 200)]
     together = lm_scoring.attention_scores(texts, t, 38, 39, block=3)
     for x, got in zip(texts, together):
         flat, want = np.concatenate([[38], x, [39]]), 0.0
         for i in range(len(flat) - 1):
-            first = 0 if i < 16 else 12 * ((i - 4) // 12)
+            first = 0 if i < window else stride * ((i - window + stride) // stride)
             inp = flat[first : i + 1]
             s = t["k"][inp] @ t["q"][flat[i]] + t["rel"][i - np.arange(first, i + 1)]
             s = np.exp(s - s.max())

@@ -19,8 +19,7 @@ How the work is kept down without losing a link:
 * Links are only needed between sets not yet connected. Rounds of pivots (a few
   sets of each posting list, chosen by hash) connect most of a group with a linear
   number of pairs. The last round compares the pairs of a posting list that are not
-  connected yet, so the components are exact; long lists are split by the prefix tokens
-  under the second order, which a pair has to share as well.
+  connected yet, so the components are exact; lists are split into bands of set sizes.
 * A pair comes from a common token only if it could be the pair's first: what stands
   before it in the first order counts as not shared.
 """
@@ -91,7 +90,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int, most: int = 500_000) -> DataFrame:
+def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int, most: int = 200_000) -> DataFrame:
     """(bucket, ids, counts, tokens): the first tokens of many sets, dealt by hash.
 
     A row holds what one slice of texts has for a bucket. A token that the task has
@@ -269,20 +268,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both(near, "n", "tokens").withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
 
 
-def _unconnected_pairs(rows: DataFrame, sets: DataFrame, percent: int, split: int) -> DataFrame:
+def _unconnected_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of a posting list (token, id, n, pos, comp) in different components.
 
-    A list of over ``split`` rows is cut by the prefix tokens under the second order: a
-    linked pair shares one of those too, so it meets in one of the parts.
+    Linked sets differ in size by a factor of at most 100 / ``percent``. Lists are cut
+    into bands of sizes of that ratio; a set stands in its band and the one above, and a
+    pair meets in the higher of its two bands.
     """
-    sized = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
-    second = sets.select("id", F.explode("o2").alias("second"))
-    long = sized.filter(F.col("size") > split).join(second, "id")
-    keyed = sized.filter(F.col("size") <= split).withColumn("second", F.lit(0)).unionByName(long)
-    x = keyed.select("token", "second", "id", "n", "pos", "comp")
-    y = keyed.select("token", "second", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"))
-    joined = x.join(y, ["token", "second"]).filter((F.col("comp") < F.col("other")) & _may_link(F.col("m"), F.col("q"), F.col("n"), F.col("pos"), percent))
-    return joined.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(100 / min(percent, 99) * 1.0001))
+    cut = rows.withColumn("own", band(F.col("n"))).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    x = cut.select("token", "band", "id", "n", "pos", "comp", "own")
+    y = cut.select("token", "band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"), F.col("own").alias("own_b"))
+    near = (F.col("comp") < F.col("other")) & (F.greatest("own", "own_b") == F.col("band")) & _may_link(F.col("m"), F.col("q"), F.col("n"), F.col("pos"), percent)
+    return x.join(y, ["token", "band"]).filter(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
 def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
@@ -294,7 +292,7 @@ def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, pivots: int = 3, rounds: int = 3, tokens_per_bucket: int = 1_000_000, split: int = 500) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, pivots: int = 3, rounds: int = 3, tokens_per_bucket: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, n_class.
 
     Sets link when 100 * intersection >= ``percent`` * union; ``component_id`` is
@@ -318,7 +316,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = classes.select("set_id", F.col("rep").alias("component_id"), "n_class")
     if total:
         buckets = max(1, math.ceil(total * 0.3 / tokens_per_bucket)) * 8
-        comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds, split)
+        comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds)
         if comps is not None:
             names = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_id", "component_id")
             labelled = labelled.withColumnRenamed("component_id", "own").join(names, "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"), "n_class")
@@ -326,7 +324,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"))
 
 
-def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds, split) -> DataFrame | None:
+def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds) -> DataFrame | None:
     """(set_id, rep, comp) of the sets that have links; None without links."""
     repeated = _repeated(_packed_tokens(docs, id_col, text_col, words, percent, buckets))
     # a partner has at least ceil(percent n) tokens, and its own share of them
@@ -365,7 +363,7 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
             joined = joined.filter((F.col("p.comp") != F.col("comp")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("n"), F.col("pos"), percent))
             pairs = joined.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            pairs = _unconnected_pairs(rows, sets, percent, split)
+            pairs = _unconnected_pairs(rows, percent)
         pairs = pairs.distinct()
         if links is not None:
             pairs = pairs.join(links, ["a", "b"], "left_anti")

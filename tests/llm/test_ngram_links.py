@@ -23,7 +23,7 @@ def test_clashing_tokens_of_a_set_count_one_by_one():
     assert len(J._in_other_sets([packed([(b"A", [1, 1])])])[0]) == 0
 
 
-@pytest.mark.parametrize("options", [{"split": 1}, {"split": 3, "rounds": 0}, {"pivots": 1, "rounds": 0, "split": 1}])
+@pytest.mark.parametrize("options", [{"rounds": 0}, {"pivots": 1, "rounds": 0}])
 def test_split_lists_lose_no_link(spark, options):
     rows = near_copies(8, 20, 9)
     assert {r["doc_id"]: r["component_id"] for r in J.similar_components(docs_of(spark, rows), **options).collect()} == brute_components(brute_sets(rows))
@@ -37,7 +37,7 @@ def test_a_passage_in_every_text(spark):
         own = [f"w{r.randrange(10_000)}" for _ in range(r.choice((3, 8, 60)))] if k % 3 else rows[-1][1].split()[40:][:-1] + ["x"] if rows else ["y"]
         rows.append((k, f"{passage} {' '.join(own)}"))
     docs = docs_of(spark, rows)
-    assert {x["doc_id"]: x["component_id"] for x in J.similar_components(docs, rounds=1, split=10).collect()} == brute_components(brute_sets(rows))
+    assert {x["doc_id"]: x["component_id"] for x in J.similar_components(docs, rounds=1).collect()} == brute_components(brute_sets(rows))
     # the passage's tokens are sent for two sets a task, and counted for the others
     sent = J._packed_tokens(docs.repartition(1), "doc_id", "text", 5, 80, 8).collect()
     tokens = np.concatenate([np.frombuffer(x["tokens"], np.uint32) for x in sent])
@@ -59,3 +59,10 @@ def test_columns_of_other_types_are_refused(spark):
         J.similar_components(docs)
     with pytest.raises(ValueError):
         J.similar_components(docs_of(spark, []), words=17)
+
+
+def test_linked_sets_are_at_most_a_band_apart():
+    for n in range(1, 3000):
+        for m in (n, -(-4 * n // 5)):  # 100 * m >= 80 * n
+            bands = [int(np.floor(np.log(k) / np.log(1.25 * 1.0001))) for k in (m, n)]
+            assert 0 <= bands[1] - bands[0] <= 1

@@ -88,13 +88,17 @@ def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[list[int]
     return [(list(p), n) for p, n in sorted(merged.items(), reverse=True) if n]
 
 
-def plan_slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, packs, first sequence, offset) of each place in the plan."""
+def plan_slots(plan: list[tuple[list[int], int]], length: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, packs, first sequence, offset, padded length) of each place in the plan.
+
+    A sequence is padded to ``length``, but for one that is filled to a power of two.
+    """
     base, ranks, slots = 0, defaultdict(int), []
     for pattern, n in plan:
-        offset = 0
+        offset, fill = 0, sum(pattern)
+        padded = length if fill & (fill - 1) else fill
         for size in pattern:
-            slots.append((size, ranks[size], n, base, offset))
+            slots.append((size, ranks[size], n, base, offset, padded))
             ranks[size] += n
             offset += size
         base += n
@@ -118,12 +122,12 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, rows_per_bucket: int = 50
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if any(not 1 <= size <= length for size in histogram):
         raise ValueError(f"piece lengths must be 1 to {length}")
-    slots = plan_slots(packing_plan(histogram, length))
-    plan = spark.createDataFrame(slots, "length long, first long, packs long, base long, offset long")
+    slots = plan_slots(packing_plan(histogram, length), length)
+    plan = spark.createDataFrame(slots, "length long, first long, packs long, base long, offset long, padded_length long")
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")) - 1
     ranked = tagged.withColumn("_local", local).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
     plan = F.broadcast(plan.withColumnRenamed("length", "_length"))
     held = (F.col("_length") == F.col("length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("packs"))
     placed = ranked.join(plan, held).withColumn("sequence_id", F.col("base") + F.col("_rank") - F.col("first"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    return placed.select(*pieces.columns, "sequence_id", "offset", "padded_length")

@@ -42,3 +42,42 @@ def test_fill_like_one_piece_at_a_time():
             placed.update({k: c * n for k, c in Counter(pattern).items()})
         assert placed == Counter(histogram)
         assert totals(plan) == totals([(p, 1) for p in one_by_one(histogram, length)])
+
+
+def test_the_bound_is_reached():
+    for histogram, most in (({1500: 1000, 10: 50_000}, 1000), ({1200: 1000, 300: 3000}, 1167), ({1000: 1, 1: 5000}, 3)):
+        assert sum(n for _, n in packing_plan(histogram, 2048)) == most
+
+
+def test_query_ids_and_padding(spark):
+    import zlib
+    from array import array
+    from collections import defaultdict
+
+    from tokenizers import Tokenizer
+
+    from docketlake.llm.queries import WORD_BPE, queries
+
+    from ..conftest import SF
+
+    library = Tokenizer.from_file(WORD_BPE)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries()["op2_packing"](spark, SF).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert set(pieces) == set(texts)
+    for d, rows in pieces.items():
+        ids = [*library.encode(texts[d], add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(array("I", ids[r["start"] : at]).tobytes())
+        assert at == len(ids)
+    for rows in sequences.values():
+        fill = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == fill
+            fill += r["length"]
+        assert {r["padded_length"] for r in rows} == {fill if bin(fill).count("1") == 1 else 2048}

@@ -87,18 +87,19 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov field -------------------------------------------------
 
-LONGEST = 20  # tokens in a segment
+LONGEST, MOST_RUNS = 20, 6  # tokens and runs of digits in a segment
 _TRIGGER = re.compile(r"[0-9](?:[ ()\[\].-]{0,3}[0-9]){6,}+|(?<![0-9])[0-9]{1,3}(?:(?: ?\[\.\] ?|\.| \. )[0-9]{1,3}){3}(?![0-9])|@|[\[(] ?(?:at|AT) ?[\])]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _AT = re.compile(r"@|[\[(] ?(?:at|AT) ?[\])]")
 _DOT = re.compile(r"(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z]{2,10}$")
-_QUAD = re.compile(r"[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}(?:[. ]|\[\.\]){1,3}[0-9]{1,3}$")
+_QUAD = re.compile(r"[0-9]{1,3}(?:(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}){3}$")
 _RUNS = re.compile(r"[0-9]+")
 N_FEATURES = 48
 _NO_TOKENS = ("", " ")
 
 
-def _features(s: str, left: str, right: str) -> list[int]:
+@lru_cache(maxsize=50_000)
+def _features(s: str, left: str, right: str) -> tuple[int, ...]:
     """Indices of the whole-span features that hold."""
     runs = _RUNS.findall(s)
     digits = "".join(runs)
@@ -140,7 +141,7 @@ def _features(s: str, left: str, right: str) -> list[int]:
         f.append(46)
     if letters and n > 6:
         f.append(47)
-    return f
+    return tuple(f)
 
 
 def windows(text: str, around: int = 40) -> list[tuple[int, int]]:
@@ -159,16 +160,20 @@ def _lattice(text: str, a: int, b: int):
     """Token borders of a window and the candidate segments by end: (begin, features)."""
     cuts = [a, *(m.end() for m in _TOKEN.finditer(text, a, b))]
     ats = [0] * len(cuts)
-    digits = [0] * len(cuts)
+    digits, runs = [0] * len(cuts), [0] * len(cuts)
     for k in range(1, len(cuts)):
         piece = text[cuts[k - 1] : cuts[k]]
+        number = piece[0].isascii() and piece[0].isdigit()
         ats[k] = ats[k - 1] + (piece == "@" or piece in ("at", "AT"))
-        digits[k] = digits[k - 1] + (len(piece) if piece[0].isascii() and piece[0].isdigit() else 0)
-    segments: list[list[tuple[int, list[int]]]] = [[] for _ in cuts]
+        digits[k] = digits[k - 1] + (len(piece) if number else 0)
+        runs[k] = runs[k - 1] + number
+    segments: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in cuts]
     for j in range(1, len(cuts)):
         if text[cuts[j] - 1].isspace():
             continue
         for i in range(max(0, j - LONGEST), j):
+            if runs[j] - runs[i] > MOST_RUNS:
+                continue
             n = digits[j] - digits[i]
             if text[cuts[i]].isspace() or not (7 <= n <= 24 or ats[j] - ats[i] == 1 and j - i > 2):
                 if not (4 <= n < 7 and _QUAD.match(text[cuts[i] : cuts[j]])):
@@ -188,6 +193,7 @@ class SemiMarkovField:
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray, outside: float = 0.0):
         self.weights, self.trans, self.outside = weights, trans, outside
+        self._scores: dict[tuple[int, ...], list[float]] = {}
 
     def decode(self, text: str, a: int, b: int) -> list[Span]:
         """The best segmentation of a window: its spans."""
@@ -195,22 +201,27 @@ class SemiMarkovField:
         if not any(segments):
             return []
         k = len(KINDS) + 1
-        best = np.full((len(cuts), k), -np.inf)
-        best[0, 0] = 0
+        trans, outside, none = self.trans.T.tolist(), self.outside, -float("inf")
+        best = [0.0] + [none] * (k - 1)
         back: list[list] = [[None] * k for _ in cuts]
-        for j in range(1, len(cuts)):
-            into = best[j - 1] + self.trans[:, 0]
-            y = int(into.argmax())
-            best[j, 0], back[j][0] = into[y] + self.outside, (j - 1, y)
-            for i, f in segments[j]:
-                score = self.weights[:, f].sum(1)
-                into = best[i][:, None] + self.trans[:, 1:]
-                y = into.argmax(0)
-                value = into[y, range(k - 1)] + score
-                for z in range(k - 1):
-                    if value[z] > best[j, z + 1]:
-                        best[j, z + 1], back[j][z + 1] = value[z], (i, int(y[z]))
-        out, j, y = [], len(cuts) - 1, int(best[-1].argmax())
+        reach = []  # by place and kind: the best score of going on with the kind, and the kind before
+        for j in range(len(cuts)):
+            if j:
+                before = reach[j - 1][0]
+                best = [before[0] + outside] + [none] * (k - 1)
+                back[j][0] = (j - 1, before[1])
+                for i, f in segments[j]:
+                    for z, own in enumerate(self._score(f), 1):
+                        value = reach[i][z][0] + own
+                        if value > best[z]:
+                            best[z], back[j][z] = value, (i, reach[i][z][1])
+            row = []
+            for into in trans:
+                sums = [x + y for x, y in zip(best, into)]
+                top = max(sums)
+                row.append((top, sums.index(top)))
+            reach.append(row)
+        out, j, y = [], len(cuts) - 1, best.index(max(best))
         while j:
             i, before = back[j][y]
             if y:
@@ -218,6 +229,15 @@ class SemiMarkovField:
             j, y = i, before
         return out[::-1]
 
+    def _score(self, f: tuple[int, ...]) -> list[float]:
+        """The kinds' scores of a segment with features ``f``, held once computed."""
+        got = self._scores.get(f)
+        if got is None:
+            if len(self._scores) > 100_000:
+                self._scores.clear()
+            got = self._scores[f] = self.weights[:, f].sum(1).tolist()
+        return got
+
     def gradient(self, text: str, a: int, b: int, gold: list[Span]):
         """Log-likelihood of the gold segmentation and its gradient, or None."""
         cuts, segments = _lattice(text, a, b)

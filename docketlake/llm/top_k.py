@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from docketlake.llm.common import written
 
 EXACT = float(1 << 53)
+MOST_GROUPS = 100_000  # groups of queries, each one row of what is broadcast
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -153,10 +154,12 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
     dim, n = facts["dim"], facts["n"]
     head = min(head, dim)
     turn = rotation(rows, dim)
-    parts = max(1, min(200, n // (4 * block)))
+    parts = max(1, min(200, n // (4 * block)), n // (64 * block))
     by_length = rows.repartitionByRange(parts, F.desc("sq"), "id").sortWithinPartitions(F.desc("sq"), "id")
     blocks = written(_blocks(by_length, dim, block), "vector-blocks")
-    asked = written(_blocks(rows.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id"), dim, group).withColumn("group", F.monotonically_increasing_id()), "query-blocks")
+    chosen = rows.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id")
+    group = max(group, -(-chosen.count() // MOST_GROUPS))
+    asked = written(_blocks(chosen, dim, group).withColumn("group", F.monotonically_increasing_id()), "query-blocks")
     first = blocks.orderBy(F.desc("length"), F.xxhash64("ids")).limit(1).collect()
     seed = (np.frombuffer(first[0]["ids"], np.int64), np.frombuffer(first[0]["data"]).reshape(-1, dim))
 
@@ -170,7 +173,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
                 need.append(float(ratio.min()) * (1 - 1e-9 if ratio.min() > 0 else 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(need, pa.float64())], names=["group", "need"])
 
-    # one small row for each group of queries
+    # one small row for each group of queries, of which there are not many more than MOST_GROUPS
     needs = written(asked.select("group", "ids", "data").mapInArrow(least, "group long, need double"), "needs")
     n_groups = needs.count()
     if not n_groups:

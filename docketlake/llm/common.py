@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,19 +17,26 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary local
-    folder is made once and reused.
+    Only where the session names none and runs on one machine (tests) a temporary
+    local folder is made once and reused; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='docketlake-')}")
     return _LOCAL[0]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/docketlake/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/docketlake/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -42,11 +50,11 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 def clear_written(spark: SparkSession) -> None:
-    """Deletes all tables that ``written`` has left in the shared folder.
+    """Deletes the tables that ``written`` has left for this application; others' stay.
 
     Call it once the results that read them are written.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docketlake")
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the white space class, for Java patterns.
-WHITE = "[" + "".join(map(chr, (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]"
+#: Fixed value: the white space class, for Java patterns: ASCII, every separator and the byte order mark.
+WHITE = r"[\s\p{Z}\ufeff]"
+_SEEN = f"[^{WHITE[1:-1]}]"  # any other character
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,8 +26,8 @@ def trim(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for null, empty and white-space texts."""
-    return F.coalesce(trim(text) == "", F.lit(True))
+    """True for null, empty and white-space texts; looks no further than the first other character."""
+    return F.coalesce(~text.rlike(_SEEN), F.lit(True))
 
 
 def none_if_empty(text: Column) -> Column:
@@ -51,14 +52,14 @@ def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
 
     def windows(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))
-        return F.filter(F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " ")), lambda x: trim(x) != "")
+        return F.filter(F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " ")), lambda x: x.rlike(_SEEN))
 
     return _let(words(text), lambda w: _let(windows(w), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(text))))
 
 
 def paragraphs(text: Column) -> Column:
     """Lines that are not blank, cut at runs of line ends."""
-    return F.filter(F.split(text, "\n+", -1), lambda x: trim(x) != "")
+    return F.filter(F.split(text, "\n+", -1), lambda x: x.rlike(_SEEN))
 
 
 def last_segment(path: Column, separator: str = "/") -> Column:
@@ -130,6 +131,16 @@ def parse_suggestions(text: Column) -> Column:
     return F.coalesce(parsed, F.from_json(F.lit("[]"), SUGGESTION))
 
 
+def locale_date(when: Column) -> Column:
+    """A date as browsers show it in the United States: month/day/year without zeros."""
+    return F.date_format(when, "M/d/y")
+
+
+def has_entries(entries: Column) -> Column:
+    """Whether a help section's list holds anything; null counts as empty."""
+    return F.coalesce(F.size(entries) > 0, F.lit(False))
+
+
 def status_label(status: Column) -> Column:
     return F.replace(status, F.lit("_"), F.lit(" "))
 

@@ -12,14 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import none_if_empty
-from docketlake.schema import DEFAULT_STAGES, FOREIGN_KEYS
+from docketlake.schema import DEFAULT_STAGES, FOREIGN_KEYS, TOUCHED
 
 
-def insert(rows: DataFrame, new: DataFrame, optional: Sequence[str] = ()) -> DataFrame:
-    """Rows with new ones; empty strings in optional columns become null."""
+def keyed_id(*parts: str | Column) -> Column:
+    """An id in the form of a UUID that follows from its parts (texts or columns).
+
+    The same parts give the same id, so a task or job that runs again makes no new row.
+    """
+    told = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.regexp_replace(F.md5(F.concat_ws("/", *told)), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+
+
+def with_ids(new: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
+    """New rows with an id each; those that have one keep it. ``keys`` tell the rows apart."""
+    made = keyed_id(table, *map(F.col, keys))
+    return new.withColumn("id", F.coalesce(F.col("id").cast("string"), made) if "id" in new.columns else made)
+
+
+def insert(rows: DataFrame, new: DataFrame, optional: Sequence[str] = (), table: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with new ones; empty strings in optional columns become null.
+
+    With a table and keys, new rows without an id get one.
+    """
     for c in optional:
         new = new.withColumn(c, none_if_empty(F.col(c)))
-    return rows.unionByName(new, allowMissingColumns=True)
+    return rows.unionByName(with_ids(new, table, keys) if table else new, allowMissingColumns=True)
 
 
 def stages_for(matters: DataFrame) -> DataFrame:
@@ -36,6 +54,11 @@ def update(rows: DataFrame, where: Column, values: Mapping[str, Column], touch:
     return rows.withColumns({c: F.when(hit, v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in new.items()})
 
 
+def update_table(table: str, rows: DataFrame, where: Column, values: Mapping[str, Column], now: Column) -> DataFrame:
+    """``update`` as the store does it: tables that keep updated_at get it refreshed."""
+    return update(rows, where, values, now if table in TOUCHED else None)
+
+
 def set_stage_status(rows: DataFrame, where: Column, status: Column, now: Column) -> DataFrame:
     """Status and its time of completion: now if complete, else none."""
     return update(rows, where, {"status": status, "completed_at": F.when(status == "complete", now)})
@@ -64,10 +87,11 @@ def replace_role(user_roles: DataFrame, user_id, new: DataFrame) -> DataFrame:
     return replace_where(user_roles, F.col("user_id") == user_id, new)
 
 
-def find_or_create(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column]) -> DataFrame:
-    """Rows, and one new row for each wanted key that has none."""
+def find_or_create(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column], table: str | None = None) -> DataFrame:
+    """Rows, and one new row for each wanted key that has none; with a table, it gets an id."""
     missing = wanted.select(*keys, *[c for c in wanted.columns if c not in keys]).dropDuplicates(list(keys)).join(rows.select(*keys), list(keys), "left_anti")
     made = missing.select(*keys, *[v.alias(c) for c, v in defaults.items()])
+    made = with_ids(made, table, keys) if table else made
     return rows.unionByName(made, allowMissingColumns=True)
 
 

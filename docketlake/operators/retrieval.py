@@ -55,23 +55,24 @@ def match_documents(chunks: DataFrame, query: Sequence[float], match_threshold:
     return scored.orderBy(F.desc("similarity"), "id").limit(match_count).select(*names, "similarity")
 
 
-def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int | None = None, rows_per_slice: int = 200) -> DataFrame:
+def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int | None = None, rows_per_slice: int = 500, rows_per_bucket: int = 20_000) -> DataFrame:
     """Top matches of many query rows (query_id, embedding): query_id, id, similarity, rank.
 
-    Every chunk meets every query, in blocks: queries are dealt to ``slices`` hash
-    groups and chunks are sent once to each, so a task holds one slice of queries and
-    streams chunks past it. Unless given, the number of slices grows with the queries,
-    about ``rows_per_slice`` to each. Ties go to the smaller id. Norms are computed once
-    a row.
+    Every chunk meets every query, in blocks of two sides: queries are dealt to slices of
+    about ``rows_per_slice``, chunks to buckets of about ``rows_per_bucket``, and a task
+    holds one slice of queries and streams one bucket past it. So both the tasks and the
+    copies sent grow with the data, and none takes a whole table. Each task keeps a
+    query's best matches only. Ties go to the smaller id. Norms are computed once a row.
     """
     _checked(match_threshold, match_count)
     if slices is None:
-        slices = max(8, -(-queries.count() // rows_per_slice))
+        slices = max(1, -(-queries.count() // rows_per_slice))
+    buckets = max(8, -(-chunks.count() // rows_per_bucket))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
-    q = q.groupBy("slice").agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("asked"))
-    c = chunks.select("id", "embedding", norm(F.col("embedding")).alias("norm"))
-    sent = c.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    met = sent.join(q, "slice").select("id", "embedding", "norm", F.explode("asked").alias("a"))
+    q = q.groupBy("slice").agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("asked")).withColumn("bucket", every(buckets))
+    c = chunks.select("id", "embedding", norm(F.col("embedding")).alias("norm"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
+    met = c.withColumn("slice", every(slices)).join(q, ["slice", "bucket"]).select("id", "embedding", "norm", F.explode("asked").alias("a"))
     scored = met.select(F.col("a.query_id").alias("query_id"), "id", cosine(F.col("embedding"), F.col("a.q"), F.col("norm"), F.col("a.q_norm")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return scored.filter(F.col("similarity") > match_threshold).withColumn("rank", rank).filter(F.col("rank") <= match_count)

@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docketlake.functions import text as T
 from docketlake.operators import changes as C
+from docketlake.operators import chat as H
 from docketlake.operators import relational as R
 from docketlake.operators import retrieval as M
 from docketlake.operators import security as S
 from docketlake.plans.views import duck, view
 from docketlake.schema import DEFAULT_STAGES
-from docketlake.streaming.ingest import chunk_rows, ingest_stats, split_blank
+from docketlake.sources.extract import allowed
+from docketlake.streaming.ingest import chunk_rows, ingest_stats, pending, split_blank
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,6 +189,23 @@ def profiles_with_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.profiles_with_role(view(spark, sf_dir, "profiles"), view(spark, sf_dir, "user_roles")).select("id", "full_name", "role")
 
 
+@query("tasks_with_assignee", "SELECT t.id, t.title, p.full_name AS assignee FROM matter_tasks t LEFT JOIN profiles p ON p.id = t.assignee_id")
+def tasks_with_assignee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.lookup(view(spark, sf_dir, "matter_tasks"), view(spark, sf_dir, "profiles"), "assignee_id", "assignee", ["full_name"])
+    return t.select("id", "title", F.col("assignee.full_name").alias("assignee"))
+
+
+@query("notes_with_author", "SELECT n.id, n.matter_id, coalesce(p.full_name, 'Unknown') AS author FROM matter_notes n LEFT JOIN profiles p ON p.id = n.author_id")
+def notes_with_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = R.lookup(view(spark, sf_dir, "matter_notes"), view(spark, sf_dir, "profiles"), "author_id", "author", ["full_name"])
+    return n.select("id", "matter_id", F.coalesce("author.full_name", F.lit("Unknown")).alias("author"))
+
+
+@query("dates_shown", "SELECT id, strftime(created_at, '%-m/%-d/%Y') AS opened FROM matters")
+def dates_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "matters").select("id", T.locale_date(F.col("created_at")).alias("opened"))
+
+
 # --- documents, types, versions -----------------------------------------------
 
 @query("document_types_grouped", "SELECT category, string_agg(concat(name, ':', id), ',' ORDER BY name, id) AS types, count(*) AS n FROM document_types GROUP BY category")
@@ -293,6 +311,44 @@ def draft_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drafts(spark, sf_dir, view(spark, sf_dir, "matters"))
 
 
+# --- threads and turns -----------------------------------------------------------
+
+_MD5_ID = "regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-')"
+_THREADS = f"""
+WITH threads AS (SELECT DISTINCT concat('t', thread_id) AS id, CAST(thread_id AS BIGINT) AS matter_id, 'Old' AS title FROM messages),
+requests AS (SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN concat('t', user_id) END AS given, CASE WHEN event_id % 5 <> 0 THEN user_id END AS matter_id, ts FROM events),
+resolved AS (SELECT *, CASE WHEN matter_id IS NOT NULL THEN coalesce(given, {_MD5_ID.format("concat('thread/', request_id)")}) END AS thread_id FROM requests)"""
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(threads before, threads after, requests with their threads)."""
+    m = view(spark, sf_dir, "messages")
+    threads = m.select(F.concat(F.lit("t"), F.col("thread_id").cast("string")).alias("id"), F.col("thread_id").cast("long").alias("matter_id"), F.lit("Old").alias("title")).distinct()
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named, at = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t"), F.col("user_id").cast("string"))), F.when(F.col("event_id") % 5 != 0, F.col("user_id"))
+    requests = e.select(F.col("event_id").alias("request_id"), named.alias("thread_id"), at.alias("matter_id"), F.lit("u").alias("user_id"), "ts")
+    after, resolved = H.resolve_threads(threads, requests, F.col("ts"))
+    return threads, after, resolved
+
+
+@query("threads_resolved", _THREADS + """
+SELECT id, matter_id, title FROM threads UNION ALL SELECT thread_id, matter_id, 'Matter Q&A' FROM resolved WHERE given IS NULL AND matter_id IS NOT NULL""")
+def threads_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat(spark, sf_dir)[1].select("id", "matter_id", "title")
+
+
+@query("turns_appended", _THREADS + f"""
+SELECT {_MD5_ID.format("concat('turn/', request_id, '/', role)")} AS id, thread_id, role, content FROM (
+SELECT *, 'user' AS role, concat('q', request_id) AS content FROM resolved WHERE thread_id IS NOT NULL
+UNION ALL SELECT *, 'assistant' AS role, concat('a', request_id) AS content FROM resolved WHERE thread_id IS NOT NULL AND request_id % 7 <> 0) t
+UNION ALL SELECT concat('m', thread_id, '-', created_at), concat('t', thread_id), role, content FROM messages""")
+def turns_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    m = view(spark, sf_dir, "messages").select(F.concat(F.lit("m"), text("thread_id"), F.lit("-"), text("created_at")).alias("id"), F.concat(F.lit("t"), text("thread_id")).alias("thread_id"), "role", "content")
+    asked = _chat(spark, sf_dir)[2].withColumn("question", F.concat(F.lit("q"), text("request_id"))).withColumn("reply", F.when(F.col("request_id") % 7 != 0, F.concat(F.lit("a"), text("request_id"))))
+    return H.append_turns(m, asked, F.col("ts")).select("id", "thread_id", "role", "content")
+
+
 # --- replies, redlines, search -----------------------------------------------------
 
 _REPLY = "CASE WHEN doc_id % 4 = 0 THEN concat('Sure: {\"ready\": true, \"message\": \"m', doc_id, '\"} ok') WHEN doc_id % 4 = 1 THEN concat('no object ', doc_id) WHEN doc_id % 4 = 2 THEN '{\"ready\": \"yes\"}' ELSE '{broken' END"
@@ -351,6 +407,26 @@ def help_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter(T.contains_query("Widget", F.col("name"), F.col("category"), F.col("content"), F.col("faqs"))).select("id", "name")
 
 
+@query("sections_with_faqs", "SELECT id FROM document_types WHERE id % 3 <> 0")
+def sections_with_faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faqs = F.when(F.col("id") % 3 == 1, F.array(F.col("name"))).when(F.col("id") % 3 == 2, F.array("name", "category")).when(F.col("id") % 6 == 0, F.array().cast("array<string>"))
+    return view(spark, sf_dir, "document_types").filter(T.has_entries(faqs)).select("id")
+
+
+@query("allowed_uploads", "SELECT doc_id, name, lower(split_part(name, '.', -1)) IN ('pdf', 'docx', 'xlsx', 'xls') AS allowed FROM (SELECT doc_id, concat('file ', doc_id, ['.PDF', '.docx', '.txt', '.v2.XLSX', '', '.xls', '.pdf.exe'][CAST(doc_id % 7 AS INTEGER) + 1]) AS name FROM documents) d")
+def allowed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.array(*map(F.lit, (".PDF", ".docx", ".txt", ".v2.XLSX", "", ".xls", ".pdf.exe")))
+    name = F.concat(F.lit("file "), F.col("doc_id").cast("string"), F.element_at(ends, (F.col("doc_id") % 7 + 1).cast("int")))
+    return _documents(spark, sf_dir).select("doc_id", name.alias("name")).withColumn("allowed", allowed(F.col("name")))
+
+
+@query("uploads_pending", "SELECT concat('f', d.doc_id) AS path FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS DISTINCT FROM 1")
+def uploads_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")
+    report = spark.read.parquet(f"{sf_dir}/labels.parquet").select(path, (F.col("quality") == 1).alias("ingested"))
+    return pending(_documents(spark, sf_dir).select(path), report)
+
+
 # --- rules and changes ----------------------------------------------------------------
 
 @query("firm_member_filter", "SELECT id, name FROM clients WHERE EXISTS (SELECT 1 FROM profiles WHERE id = 3)")
@@ -432,6 +508,25 @@ def update_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.update(view(spark, sf_dir, "matter_documents"), F.col("id") % 4 == 0, {"status": F.lit("executed")}).select("id", "status")
 
 
+@query("update_touched", "SELECT id, CASE WHEN id % 4 = 0 THEN 'executed' ELSE status END AS status, CAST(CASE WHEN id % 4 = 0 THEN TIMESTAMP '2030-01-01' ELSE created_at END AS VARCHAR) AS updated_at FROM matter_documents")
+def update_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "matter_documents").withColumn("updated_at", F.col("created_at"))
+    rows = C.update_table("matter_documents", rows, F.col("id") % 4 == 0, {"status": F.lit("executed")}, F.lit("2030-01-01").cast(rows.schema["created_at"].dataType))
+    return rows.select("id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query("delete_by_key", "SELECT id, name FROM clients WHERE id % 6 <> 0")
+def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.delete(view(spark, sf_dir, "clients"), F.col("id") % 6 == 0).select("id", "name")
+
+
+@query("inserted_ids", f"SELECT matter_id, name, {_MD5_ID.format("concat('matter_parties/', matter_id, '/', name)")} AS id, contact_info FROM (SELECT id AS matter_id, concat('Party ', id) AS name, CASE WHEN id % 2 = 1 THEN 'c' END AS contact_info FROM matters) p")
+def inserted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = view(spark, sf_dir, "matters").select(F.col("id").alias("matter_id"), F.concat(F.lit("Party "), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 2 == 1, "c").otherwise("").alias("contact_info"))
+    have = new.withColumn("id", F.lit("")).filter("matter_id < 0")
+    return C.insert(have, new, ["contact_info"], "matter_parties", ["matter_id", "name"]).select("matter_id", "name", "id", "contact_info")
+
+
 @query("cascade_delete", "SELECT count(*) AS n, count(DISTINCT matter_document_id) AS n_documents FROM document_versions v WHERE EXISTS (SELECT 1 FROM matter_documents d WHERE d.id = v.matter_document_id AND d.matter_id % 5 <> 0)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"matter_documents": view(spark, sf_dir, "matter_documents"), "document_versions": view(spark, sf_dir, "document_versions")}

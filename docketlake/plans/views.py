@@ -19,6 +19,8 @@ VIEWS = {
     "vectors": "SELECT vec_id AS id, embedding, label AS document_type_id, CASE WHEN vec_id % 2 = 1 THEN vec_id % 20 END AS matter_id, vec_id % 2 = 0 AS is_precedent FROM embeddings",
     "chunks": "SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN NULL ELSE concat('precedent/', source, '/', lang, '.docx') END AS storage_path, CASE WHEN doc_id % 3 = 0 THEN concat(source, '.docx') END AS filename, n_chars % 50 AS created_at, doc_id % 150 AS document_type_id, doc_id % 2 = 0 AS is_precedent FROM documents",
     "messages": "SELECT conv_id AS thread_id, turn AS created_at, role, text AS content FROM conversations",
+    "matter_tasks": "SELECT event_id AS id, user_id AS matter_id, event_type AS title, CASE WHEN event_id % 6 <> 0 THEN event_id % 12 + 1 END AS assignee_id, ts AS created_at FROM events",
+    "matter_notes": "SELECT conv_id * 100 + turn AS id, conv_id AS matter_id, CASE WHEN turn % 4 <> 3 THEN conv_id % 15 + 1 END AS author_id, text AS content FROM conversations",
     "suggestions": "SELECT doc_id AS id, doc_id % 40 AS document_version_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN toxic = 1 THEN 'rejected' ELSE 'pending' END AS status FROM labels",
 }
 

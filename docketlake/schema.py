@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, FloatT
 
 _TYPES: dict[str, DataType] = {"string": StringType(), "timestamp": TimestampType(), "date": DateType(), "int": IntegerType(), "long": LongType(), "boolean": BooleanType(), "array<float>": ArrayType(FloatType())}
 
+#: Tables and their columns, as stored.
 _DDL = {
     "profiles": "id string not null, email string not null, full_name string, created_at timestamp not null, updated_at timestamp not null",
     "user_roles": "id string not null, user_id string not null, role string not null, created_at timestamp not null",
@@ -28,7 +29,6 @@ _DDL = {
 }
 
 
-
 def _struct(ddl: str) -> StructType:
     """A schema from a list of columns; needs no session."""
     out = StructType()
@@ -50,10 +50,10 @@ DOMAINS = {
     ("matter_tasks", "status"): ("open", "in_progress", "done"),
 }
 
-#: Columns whose values must be unique together, beside each table's id.
+#: Columns whose values must be unique together, beside each table's id.
 UNIQUE = {"user_roles": ("user_id", "role"), "document_types": ("name",), "document_versions": ("matter_document_id", "version_number")}
 
-#: child table -> (column, parent table, what a parent's deletion does)
+#: Child table -> (column, parent table, what a parent's deletion does)
 FOREIGN_KEYS = {
     "matters": [("client_id", "clients", "set null")],
     "matter_stages": [("matter_id", "matters", "cascade")],
@@ -68,7 +68,7 @@ FOREIGN_KEYS = {
     "ai_chat_messages": [("thread_id", "ai_chat_threads", "cascade")],
 }
 
-#: Tables whose rows carry an updated_at that every update refreshes.
+#: Tables whose rows carry an updated_at that every update refreshes.
 TOUCHED = ("profiles", "clients", "matters", "document_types", "matter_documents", "documents", "matter_tasks")
 
 #: The document types a new store starts with.

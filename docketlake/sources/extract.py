@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import extension, last_segment
 
+#: The formats that may be uploaded.
 FORMATS = ("pdf", "docx", "xlsx", "xls")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -90,6 +91,17 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("file_type", extension(F.col("path")))
 
 
+def allowed(name: Column) -> Column:
+    """Whether a file of that name may be uploaded, by its extension; null may not."""
+    return F.coalesce(extension(name).isin(*FORMATS), F.lit(False))
+
+
+def fetch(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files of the wanted paths; a path without a file has null content and an error."""
+    held = wanted.select("path").distinct().join(stored, "path", "left")
+    return held.withColumn("error", F.when(F.col("content").isNull(), F.concat(F.lit("Object not found: "), F.col("path"))))
+
+
 def extract_text(stored: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """path, filename, file_type, file_size, text, metadata columns, error of each file.
 
@@ -101,7 +113,7 @@ def extract_text(stored: DataFrame, extractors: dict[str, Extractor] | None = No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, kind, content in zip(batch["path"], batch["file_type"], batch["content"]):
+            for path, name, kind, length, content in zip(batch["path"], batch["filename"], batch["file_type"], batch["file_size"], batch["content"]):
                 text, meta, error = None, {}, None
                 try:
                     text, meta = known.get(kind, unsupported(kind))(bytes(content))
@@ -109,9 +121,9 @@ def extract_text(stored: DataFrame, extractors: dict[str, Extractor] | None = No
                         text, error = None, "No text content could be extracted from the document"
                 except Exception as e:  # told in the row
                     error = str(e) or type(e).__name__
-                rows.append((path, text, meta.get("original_format"), meta.get("page_count"), meta.get("sheet_count"), error))
-            yield pd.DataFrame(rows, columns=["path", "text", "original_format", "page_count", "sheet_count", "error"]).astype({"page_count": "Int32", "sheet_count": "Int32"})
+                rows.append((path, name, kind, length, text, meta.get("original_format"), meta.get("page_count"), meta.get("sheet_count"), error))
+            yield pd.DataFrame(rows, columns=names).astype({"page_count": "Int32", "sheet_count": "Int32"})
 
-    out = stored.select("path", "file_type", "content").mapInPandas(run, "path string, text string, original_format string, page_count int, sheet_count int, error string")
-    facts = stored.select(F.col("path"), last_segment(F.col("path")).alias("filename"), "file_type", F.col("length").alias("file_size"))
-    return facts.join(out, "path")
+    schema = "path string, filename string, file_type string, file_size long, text string, original_format string, page_count int, sheet_count int, error string"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return stored.select("path", last_segment(F.col("path")).alias("filename"), "file_type", F.col("length").alias("file_size"), "content").mapInPandas(run, schema)

@@ -13,8 +13,11 @@ from docketlake.schema import DOMAINS, TABLES, UNIQUE
 class SnapshotStore:
     """Tables under ``path``; a change writes a new snapshot and then names it current.
 
-    The names of snapshots are kept in a small Parquet table beside them, so all
-    reads and writes go through Spark's file systems.
+    The names of snapshots are kept in a small Parquet table beside them, one partition a
+    version, so all reads and writes go through Spark's file systems. A version is named
+    once: of two writers that start from one version the second fails, and has to read
+    and write again. A change rewrites its table; what arrives in bulk is appended by
+    the ingestion instead.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -22,11 +25,11 @@ class SnapshotStore:
 
     def _log(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema("version long, folder string").parquet(f"{self.path}/{table}/_versions")
+            return self.spark.read.schema("folder string, version long").parquet(f"{self.path}/{table}/_versions")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], "version long, folder string")
+            return self.spark.createDataFrame([], "folder string, version long")
 
     def _current(self, table: str) -> tuple[int, str | None]:
         best = self._log(table).agg(F.max(F.struct("version", "folder"))).first()[0]
@@ -42,17 +45,20 @@ class SnapshotStore:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{folder}")
 
-    def write(self, table: str, rows: DataFrame, partition_by: str | None = None) -> DataFrame:
-        """Checks the rows, writes them as the next snapshot and returns it."""
+    def write(self, table: str, rows: DataFrame, partition_by: str | None = None, after: int | None = None) -> DataFrame:
+        """Checks the rows, writes them as the next snapshot and returns it.
+
+        ``after`` is the version that ``rows`` were made from, the current one unless given.
+        """
         rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
-        v = self.version(table) + 1
+        v = 1 + (self.version(table) if after is None else after)
         folder = f"v{v}-{uuid.uuid4().hex}"  # a snapshot that fails its checks is never named current
         out = f"{self.path}/{table}/{folder}"
         writer = rows.write.partitionBy(partition_by) if partition_by else rows.write
         writer.parquet(out)
         if faults := self.faults(table, self.spark.read.schema(rows.schema).parquet(out)):
             raise ValueError(f"{table}: {'; '.join(faults)}")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/_versions")
+        self.spark.range(1).select(F.lit(folder).alias("folder")).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/{table}/_versions/version={v}")
         return self.read(table)
 
     def faults(self, table: str, rows: DataFrame) -> list[str]:

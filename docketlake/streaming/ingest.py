@@ -39,7 +39,16 @@ def ingest_stats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", s
 
 def ingest(stored: DataFrame, embedder: Embedder, bucket: str, upload_date: str, matter_id: str | None = None, document_type_id: str | None = None, is_precedent: bool = False, size: int = 1000, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
     """(chunk rows, report) of files: what to append, and one row a file."""
-    found = extract_text(stored)
+    return ingest_text(extract_text(stored), embedder, bucket, upload_date, matter_id, document_type_id, is_precedent, size, overlap)
+
+
+def pending(stored: DataFrame, report: DataFrame) -> DataFrame:
+    """The files that no report calls ingested: what a retry has left to do."""
+    return stored.join(report.filter("ingested").select("path"), "path", "left_anti")
+
+
+def ingest_text(found: DataFrame, embedder: Embedder, bucket: str, upload_date: str, matter_id: str | None = None, document_type_id: str | None = None, is_precedent: bool = False, size: int = 1000, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of files whose text is extracted; both results read ``found``."""
     rows = chunk_rows(found.filter("error IS NULL"), size, overlap)
     meta = F.to_json(F.struct("filename", "file_type", F.lit(upload_date).alias("upload_date"), F.col("path").alias("storage_path"), F.lit(bucket).alias("storage_bucket"), "file_size", "original_format", "page_count", "sheet_count", "chunk_index", "chunk_total"))
     out = rows.select("content", meta.alias("metadata"), F.lit(matter_id).cast("string").alias("matter_id"), F.lit(document_type_id).cast("string").alias("document_type_id"), F.lit(is_precedent).alias("is_precedent"))
@@ -48,12 +57,18 @@ def ingest(stored: DataFrame, embedder: Embedder, bucket: str, upload_date: str,
 
 
 def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, embedder: Embedder, bucket: str, **options):
-    """Appends the chunks of files that appear under ``path`` to the table at ``out``."""
+    """Adds the chunks of files that appear under ``path`` to the tables under ``out``.
+
+    Each batch writes a partition of its own, so a batch that is tried again replaces
+    what it has left. Files are read and extracted once a batch.
+    """
     arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows, report = ingest(batch.withColumn("file_type", extension(F.col("path"))), embedder, bucket, **options)
-        rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/chunks")
-        report.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/report")
+        found = extract_text(batch.withColumn("file_type", extension(F.col("path")))).persist()
+        rows, report = ingest_text(found, embedder, bucket, **options)
+        rows.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        report.write.mode("overwrite").parquet(f"{out}/report/batch={number}")
+        found.unpersist()
 
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

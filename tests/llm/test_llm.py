@@ -518,7 +518,7 @@ def test_windows_score_each_id_once():
             inp = flat[first : i + 1]
             s = t["k"][inp] @ t["q"][flat[i]] + t["rel"][i - np.arange(first, i + 1)]
             s = np.exp(s - s.max())
-            z = (s / s.sum()) @ t["v"][inp] + t["direct"][flat[i]]
+            z = np.concatenate([(s / s.sum()) @ t["v"][inp], t["x"][flat[i]]]) @ t["top"] + t["bias"]
             c = t["class"][flat[i + 1]]
             want += z[c] - z.max() - np.log(np.exp(z - z.max()).sum()) + t["within"][t["class"][flat[i]], flat[i + 1]]
         assert got == pytest.approx(want / lm_scoring.LOG10, rel=1e-4)

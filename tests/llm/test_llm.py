@@ -497,7 +497,8 @@ def test_attention_beats_counts_on_held_out_texts(spark):
         a, b = model.classes[flat[:-1]], model.classes[flat[1:]]
         counts += (classes[a, b] + t["within"][a, flat[1:]]).sum() / math.log(10)
         unigram += np.log10(share[flat[1:]]).sum()
-    t0 = t | {"v": np.zeros_like(t["v"])}
+    t0 = t | {"rows": t["rows"].copy()}
+    t0["rows"][:, 2 * lm_scoring.KEY : 2 * lm_scoring.KEY + lm_scoring.WIDTH] = 0
     print(f"attention {got:.3f}, without values {lm_scoring.attention_scores(held, t0, 49406, 49407).sum() / n:.3f}, class counts {counts / n:.3f}, single ids {unigram / n:.3f}")
     assert got > counts / n + 0.1 and got > unigram / n + 0.4
 
@@ -508,6 +509,8 @@ def test_windows_score_each_id_once():
     for w in m.p.values():
         w[...] = r.normal(0, 0.3, w.shape)
     t = m.tables(r.integers(0, 9, (lm_scoring.CLASSES, 40)))
+    key, width = lm_scoring.KEY, lm_scoring.WIDTH
+    t |= zip("qkvx", np.split(t["rows"], [key, 2 * key, 2 * key + width], axis=1))
     window, stride = lm_scoring.WINDOW, lm_scoring.STRIDE
     texts = [r.integers(0, 38, n) for n in (0, 1, window - 2, window - 1, window, window + 1, window + stride - 1, window + stride, 200)]
     together = lm_scoring.attention_scores(texts, t, 38, 39, block=3)

@@ -15,6 +15,7 @@ from docketlake.llm.language_id import identify_language, train_languages
 from docketlake.llm.lm_scoring import lm_scores
 from docketlake.llm.ngram_join import similar_components
 from docketlake.llm.packing import pack_pieces, token_pieces
+from docketlake.llm.periodic_runs import periodic_runs, repeated_tail, run_digests
 from docketlake.llm.pii import find_pii, span_digests
 from docketlake.llm.quality import score_quality, train_quality
 from docketlake.llm.token_counts import token_counts
@@ -89,6 +90,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
+
+
 OP3_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_token_counts": op9_token_counts,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 

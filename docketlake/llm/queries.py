@@ -12,6 +12,7 @@ from docketlake.llm.bpe import bpe_digests
 from docketlake.llm.common import fold, in_fold, written
 from docketlake.llm.exact_dedup import exact_dedup
 from docketlake.llm.language_id import identify_language, train_languages
+from docketlake.llm.lexical_search import ranked_search
 from docketlake.llm.lm_scoring import lm_scores
 from docketlake.llm.ngram_join import similar_components
 from docketlake.llm.packing import pack_pieces, token_pieces
@@ -94,6 +95,39 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL
+), whole AS (
+    SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM words WHERE len(terms) > 0
+), tf AS (
+    SELECT row_id, doc_id, term, CAST(count(*) AS BIGINT) AS tf, any_value(n) AS n
+    FROM (SELECT row_id, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM words)
+    WHERE term IN (SELECT term FROM wanted)
+    GROUP BY row_id, doc_id, term
+), weight AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs
+), part AS (
+    SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // all_terms)))) AS part
+    FROM tf JOIN weight USING (term), whole
+), scored AS (
+    SELECT item_id, row_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN part USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, row_id, doc_id
+), ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 OP3_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
@@ -124,8 +158,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_lm_scoring": op10_lm_scoring,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op13_lexical_search": OP13_SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.bpe import bpe_digests
-from docketlake.llm.common import fold, in_fold, written
+from docketlake.llm.common import fold, in_fold, new_path, written
 from docketlake.llm.exact_dedup import exact_dedup
 from docketlake.llm.language_id import identify_language, train_languages
 from docketlake.llm.lexical_search import ranked_search
@@ -20,6 +20,7 @@ from docketlake.llm.periodic_runs import periodic_runs, repeated_tail, run_diges
 from docketlake.llm.pii import find_pii, span_digests
 from docketlake.llm.quality import score_quality, train_quality
 from docketlake.llm.token_counts import token_counts
+from docketlake.llm.token_files import read_token_files, write_token_files
 from docketlake.llm.top_k import top_inner_products
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -91,6 +92,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), WORD_BPE, path, end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(documents(spark, sf_dir), repeated_tail))
 
@@ -157,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_token_counts": op9_token_counts,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_token_files": op11_token_files,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_lexical_search": op13_lexical_search,
     }

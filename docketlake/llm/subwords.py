@@ -84,8 +84,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [[chunks_of(s) for s in segments(x)] if len(x) > 1_000_000 else [chunks_of(x)] for x in texts]
         held = self.held
-        seen = set().union(*(p for x in parts for p in x))
-        new = [c for c in seen if c not in held]
+        new = list({c for x in parts for p in x for c in p if c not in held})
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             held.update(zip(some, self._ids(some)))

@@ -42,7 +42,7 @@ from docketlake.llm.subwords import chunk_encoder
 
 BLOCK, GROUP = 256, 64
 SHARE = 0.9  # of a block's differences that fit the packed width
-HELD = 1 << 20  # ids that are packed or unpacked at once
+HELD = 1 << 18  # ids that are packed or unpacked at once
 MAGIC = b"PFORIDS1"
 MANIFEST = "manifest.json"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -243,7 +243,7 @@ class TokenWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
-        self.tokenizer, self.end, self.memo = options.get("tokenizer"), int(options.get("end_id", -1)), int(options.get("memo", 400_000))
+        self.tokenizer, self.end, self.memo = options.get("tokenizer"), int(options.get("end_id", -1)), int(options.get("memo", 800_000))
         names = schema.fieldNames()
         self.column = "text" if self.tokenizer else "ids"
         if not {"doc_id", self.column} <= set(names):

@@ -274,20 +274,6 @@ def test_base_spans_like_the_patterns():
         assert pii.base_spans(text) == plain_spans(text)
 
 
-def test_field_finds_what_the_patterns_miss():
-    field = pii.trained_field()
-    good = total = 0
-    for text, gold in pii._examples(150, 99):
-        found = [s for a, b in pii.windows(text) for s in field.decode(text, a, b)]
-        good += found == gold
-        total += 1
-    assert good / total > 0.75
-    base, every = pii.find_spans("write to ann.lee (at) mail (dot) org please", field)
-    assert not base and [k for k, _, _ in every] == ["email_like"]
-    clean = "The quick brown fox 2024-01-02 and 12 more words, version 1.2.3 at 5 pm."
-    assert pii.find_spans(clean, field) == ([], [])
-
-
 def test_redaction_keeps_the_rest(spark):
     rows = docs_of(spark, [(1, "mail a@b.co and 10.0.0.1!"), (2, None), (3, "")])
     out = {r["doc_id"]: r["text"] for r in pii.redact_pii(rows).collect()}

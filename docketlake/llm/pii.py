@@ -330,9 +330,29 @@ class SemiMarkovField:
         some = np.flatnonzero(able.any(1))
         if not len(some):
             return []
-        nodes = np.unique(np.concatenate([start[some], end[some]]))
-        begin, stop = np.searchsorted(nodes, start[some]).tolist(), np.searchsorted(nodes, end[some]).tolist()
-        arcs = [[(z, v) for z, (v, a) in enumerate(zip(*x), 1) if a] for x in zip(own[some].tolist(), able[some].tolist())]
+        some = some[np.lexsort((end[some], start[some]))]
+        a, b = start[some], end[some]
+        # segments that touch no other are decided alone: what lies between groups is outside
+        first = np.flatnonzero(np.concatenate([[True], a[1:] > np.maximum.accumulate(b)[:-1]]))
+        size = np.diff([*first, len(some)])
+        alone = some[first[:-1][size[:-1] == 1]]
+        value = np.where(able[alone], own[alone] + t[0, 1:] + t[1:, 0], -np.inf)
+        z = value.argmax(1)
+        taken = value[np.arange(len(alone)), z] > 0
+        out = [(KINDS[k], x, y) for k, x, y in zip(z[taken].tolist(), start[alone][taken].tolist(), end[alone][taken].tolist())]
+        for n, m in zip(first.tolist(), size.tolist()):
+            if m > 1 or n == first[-1]:
+                group = some[n : n + m]
+                group = group[np.argsort(end[group], kind="stable")]
+                out += self._best(start[group], end[group], own[group], able[group], bool(end[group].max() == end[-1]))
+        return sorted(out, key=lambda x: x[1])
+
+    def _best(self, start: np.ndarray, end: np.ndarray, own: np.ndarray, able: np.ndarray, last: bool) -> list[Span]:
+        """The best segmentation of one group, by end; outside goes on behind it unless it is the last of all."""
+        t = self.trans
+        nodes = np.unique(np.concatenate([start, end]))
+        begin, stop = np.searchsorted(nodes, start).tolist(), np.searchsorted(nodes, end).tolist()
+        arcs = [[(z, v) for z, (v, a) in enumerate(zip(*x), 1) if a] for x in zip(own.tolist(), able.tolist())]
         k, none = len(t), -float("inf")
         into = t.T.tolist()
         best = [0.0] + [none] * (k - 1)
@@ -358,6 +378,8 @@ class SemiMarkovField:
             else:
                 reach.append([max((best[y] + x[y], -y) for y in live) for x in into])
                 reach[-1] = [(v, -y) for v, y in reach[-1]]
+        if not last:
+            best = [x + y for x, y in zip(best, t[:, 0].tolist())]
         out, j, y = [], len(nodes) - 1, best.index(max(best))
         while j > 0:
             i, before = back[j][y]

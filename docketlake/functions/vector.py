@@ -16,6 +16,6 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; null for null or zero vectors and for unequal lengths."""
+    """Cosine similarity; null for null, zero and non-finite vectors and for unequal lengths."""
     product = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), product))
+    return F.when(F.size(a) == F.size(b), F.nanvl(F.try_divide(dot(a, b), product), F.lit(None).cast("double")))

@@ -13,9 +13,12 @@ from docketlake.operators import chat as H
 from docketlake.operators import relational as R
 from docketlake.operators import retrieval as M
 from docketlake.operators import security as S
+from docketlake.operators.vector_index import VectorIndex, build_index
+from docketlake.plans import sql_objects as Q
 from docketlake.plans.views import duck, view
 from docketlake.schema import DEFAULT_STAGES
 from docketlake.sources.extract import allowed
+from docketlake.sources.folders import new_folder
 from docketlake.streaming.ingest import chunk_rows, ingest_stats, pending, split_blank
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +28,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[name], SQL[name] = f, duck(sql)
+        QUERIES[name], SQL[name] = f, sql if sql in SQL.values() else duck(sql)
         return f
 
     return add
@@ -61,16 +64,35 @@ _match("is_precedent", precedent_only=True)
 _match("document_type_id = 3 AND is_precedent", filter_document_type_id=3, precedent_only=True)
 
 
-@query("match_documents_batch", """
+_BATCH_SQL = """
 WITH s AS (SELECT q.id AS query_id, c.id AS id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM vectors c JOIN vectors q ON q.id % 50 = 0),
 r AS (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim > 0.2)
-SELECT query_id, id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+SELECT query_id, id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query("match_documents_batch", _BATCH_SQL)
 def match_documents_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "vectors")
     found = M.match_documents_batch(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 0.2, 5)
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return build_index(view(spark, sf_dir, "vectors"), new_folder(spark, "vector-index"))
+
+
+@query("index_match_documents", SQL["match_documents_precedent_only"])
+def index_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _index(spark, sf_dir).match(_query_vector(spark, sf_dir), THRESHOLD, 5, precedent_only=True)
+    return found.select("id", F.col("matter_id").cast("string").alias("matter_id"), F.col("document_type_id").cast("long").alias("document_type_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("index_match_batch", _BATCH_SQL)
+def index_match_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = view(spark, sf_dir, "vectors").filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return _index(spark, sf_dir).match_batch(asked, 0.2, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("rag_context", f"""
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = {QUERY_ID}),
 s AS (SELECT id, list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]) AS sim FROM vectors , q),
@@ -92,6 +114,14 @@ def source_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "similarity").join(view(spark, sf_dir, "chunks"), "id").select("id", M.snippet(F.col("content"), F.col("similarity")).alias("line"))
 
 
+@query("sql_match_documents", SQL["match_documents_all_filters"])
+def sql_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Q.define_functions(spark, view(spark, sf_dir, "vectors"), view(spark, sf_dir, "profiles"), view(spark, sf_dir, "user_roles"))
+    return spark.sql(f"""
+        SELECT id, CAST(matter_id AS STRING) AS matter_id, CAST(document_type_id AS BIGINT) AS document_type_id, round(similarity, 6) AS similarity
+        FROM match_documents((SELECT CAST(embedding AS ARRAY<DOUBLE>) FROM chunk_rows WHERE id = {QUERY_ID}), {THRESHOLD}D, filter_document_type_id => 3, precedent_only => true)""")
+
+
 # --- chunks -----------------------------------------------------------------
 
 def _chunk_sql(size: int, overlap: int) -> str:
@@ -445,6 +475,41 @@ def owner_or_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.secure(rows, "support_requests", 2, view(spark, sf_dir, "profiles"), view(spark, sf_dir, "user_roles")).select("id")
 
 
+def _guarded(spark: SparkSession, sf_dir: str, user: int, name: str, rows: DataFrame | None = None) -> DataFrame:
+    """A guarded view (action_table) as ``user`` sees it."""
+    table = name.split("_", 1)[1]
+    Q.define_functions(spark, view(spark, sf_dir, "vectors"), view(spark, sf_dir, "profiles"), view(spark, sf_dir, "user_roles"))
+    Q.define_guarded(spark, {table: view(spark, sf_dir, table) if rows is None else rows})
+    Q.as_user(spark, user)
+    return spark.table(name)
+
+
+@query("guarded_firm", "SELECT id, name FROM clients WHERE EXISTS (SELECT 1 FROM profiles WHERE id = 3)")
+def guarded_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, 3, "select_clients").select("id", "name")
+
+
+@query("guarded_admin", "SELECT user_id, role FROM user_roles WHERE EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = 8 AND r.role = 'admin')")
+def guarded_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, 8, "update_user_roles").select("user_id", "role")
+
+
+@query("guarded_admin_or_partner", "SELECT id, status FROM matters WHERE EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = 9 AND r.role IN ('admin', 'partner'))")
+def guarded_admin_or_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, 9, "delete_matters").select("id", "status")
+
+
+@query("guarded_own", "SELECT id, full_name FROM profiles WHERE id = 5")
+def guarded_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, 5, "update_profiles").select("id", "full_name")
+
+
+@query("guarded_own_or_admin", "SELECT id, client_id FROM matters WHERE client_id = 4 OR EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = 4 AND r.role = 'admin')")
+def guarded_own_or_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = view(spark, sf_dir, "matters").select("id", F.col("client_id").alias("user_id"))
+    return _guarded(spark, sf_dir, 4, "select_support_requests", asked).select("id", F.col("user_id").alias("client_id"))
+
+
 @query("members_with_profiles", "SELECT user_id, role FROM user_roles WHERE EXISTS (SELECT 1 FROM profiles p WHERE p.id = user_id AND p.full_name IS NOT NULL)")
 def members_with_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.semi(view(spark, sf_dir, "user_roles"), view(spark, sf_dir, "profiles").filter("full_name IS NOT NULL"), "user_id", "id")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from docketlake.functions.text import last_segment
 from docketlake.schema import DOMAINS
+from docketlake.sources.folders import written
 
 
 def lookup(rows: DataFrame, other: DataFrame, on: str, as_: str, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -64,36 +65,31 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def positions(rows: DataFrame, keys: Sequence[Column], as_: str = "position", rows_per_bucket: int = 20_000, most_buckets: int = 2_000) -> DataFrame:
+def positions(rows: DataFrame, keys: Sequence[Column], as_: str = "position", rows_per_range: int = 200_000) -> DataFrame:
     """All rows with their position from 1 in the ascending order of ``keys``.
 
-    Keys are compared as a struct, so nulls come first; for nulls last, put
-    ``isNull()`` before the key, and for a falling number its negative. Rows are cut
-    into ranges at a sample of the keys, numbered within their range, and the counts
-    of the ranges before are added: no task meets more than some ranges. A range has
-    about ``rows_per_bucket`` rows, more where that would make over ``most_buckets``
-    ranges; the driver sees about 20 keys and one count a range, so at most 20 times
-    ``most_buckets`` keys however large the table. A row's range depends on its keys
-    alone; ``rows`` is read more than once. Rows with equal keys are in arbitrary
-    order, so keys should tell rows apart.
+    Nulls come first; for nulls last, put ``isNull()`` before the key, and for a falling
+    number its negative. ``rows`` is computed once and written. Its rows are then dealt
+    to ranges of the keys, about ``rows_per_range`` each, sorted there and written with
+    their number in the range; the counts of the ranges before are added. So a task
+    meets one range, and the driver one count a range. Rows with equal keys are in
+    arbitrary order, so keys should tell rows apart.
     """
-    key = F.struct(*[c.alias(f"k{n}") for n, c in enumerate(keys)])
-    step = max(1, max(rows_per_bucket, -(-rows.count() // most_buckets)) // 20)
-    sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).orderBy("k").select(F.to_json("k").alias("j"), "k")
-    cuts = [r["j"] for r in sample.select("j").collect()][20::20]
-    kind = f"array<{sample.schema['k'].dataType.simpleString()}>"
-    bounds = F.from_json(F.lit(f"[{','.join(cuts)}]"), kind)
-    # binary search for the number of bounds that are not above the key
-    steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
-    bucket = F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(bounds, at + n - 1) <= key, at + n).otherwise(at))
-    tagged = rows.withColumn("_bucket", bucket)
-    counts = {r["_bucket"]: r["n"] for r in tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = [0]
-    for n in range(len(cuts)):
-        before.append(before[-1] + counts.get(n, 0))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    offset = F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_bucket"))
-    return tagged.withColumn(as_, local + offset).drop("_bucket")
+    named = {f"_key{n}": c for n, c in enumerate(keys)}
+    held = written(rows.withColumns(named), "unsorted")
+    ranges = max(1, -(-held.count() // rows_per_range))
+    # the number of the task in the high bits, the place in the sorted task in the low 33
+    place = F.monotonically_increasing_id()
+    dealt = written(held.repartitionByRange(ranges, *named).sortWithinPartitions(*named).drop(*named).withColumn("_place", place), "sorted")
+    low = (1 << 33) - 1
+    counts = dealt.groupBy(F.shiftright("_place", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, at = [], 0
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        offsets.append((r["_range"], at))
+        at += r["n"]
+    before = rows.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    out = dealt.withColumn("_range", F.shiftright("_place", 33)).join(F.broadcast(before), "_range")
+    return out.withColumn(as_, F.col("_before") + F.col("_place").bitwiseAND(F.lit(low)) + 1).select(*rows.columns, as_)
 
 
 def next_number(parents: DataFrame, children: DataFrame, on: str, key: str = "id") -> DataFrame:

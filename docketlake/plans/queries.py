@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from docketlake.functions import text as T
 from docketlake.operators import changes as C
 from docketlake.operators import chat as H
+from docketlake.operators import maintained as D
 from docketlake.operators import relational as R
 from docketlake.operators import retrieval as M
 from docketlake.operators import security as S
+from docketlake.operators.substring_index import SubstringIndex
 from docketlake.operators.vector_index import VectorIndex, build_index
 from docketlake.plans import sql_objects as Q
 from docketlake.plans.views import duck, view
 from docketlake.schema import DEFAULT_STAGES
 from docketlake.sources.extract import allowed
 from docketlake.sources.folders import new_folder
+from docketlake.sources.stored_files import stored_files, upload
 from docketlake.streaming.ingest import chunk_rows, ingest_stats, pending, split_blank
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,6 +440,14 @@ def help_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter(T.contains_query("Widget", F.col("name"), F.col("category"), F.col("content"), F.col("faqs"))).select("id", "name")
 
 
+@query("index_content_search", "SELECT id, filename FROM chunks WHERE contains(lower(content), 'tion the') OR contains(lower(coalesce(filename, '')), 'tion the')")
+def index_content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "chunks").select("id", "filename", "content")
+    index = SubstringIndex(rows, "id", F.array("content", "filename"), new_folder(spark, "substring-index"))
+    holds = lambda q: F.lower("content").contains(q.lower()) | F.coalesce(F.lower("filename").contains(q.lower()), F.lit(False))
+    return index.search("Tion the", holds).select("id", "filename")
+
+
 @query("sections_with_faqs", "SELECT id FROM document_types WHERE id % 3 <> 0")
 def sections_with_faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     faqs = F.when(F.col("id") % 3 == 1, F.array(F.col("name"))).when(F.col("id") % 3 == 2, F.array("name", "category")).when(F.col("id") % 6 == 0, F.array().cast("array<string>"))
@@ -484,6 +495,36 @@ def _guarded(spark: SparkSession, sf_dir: str, user: int, name: str, rows: DataF
     return spark.table(name)
 
 
+def _matter_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The matters of two times: some went, some came, some have another status."""
+    m = view(spark, sf_dir, "matters").select("id", "client_id", "status")
+    after = m.filter("id % 7 <> 0").withColumn("status", F.when(F.col("id") % 11 == 0, "closed").otherwise(F.col("status")))
+    return m.filter("id % 5 <> 0"), after
+
+
+@query("maintained_counts", "SELECT client_id, count(*) FILTER (status = 'active') AS active, count(*) AS total FROM (SELECT client_id, CASE WHEN id % 11 = 0 THEN 'closed' ELSE status END AS status FROM matters WHERE id % 7 <> 0) m GROUP BY client_id")
+def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _matter_snapshots(spark, sf_dir)
+    active = {"active": F.col("status") == "active"}
+    return D.updated_counts(D.counts(before, ["client_id"], **active), D.changes(before, after), ["client_id"], **active)
+
+
+@query("maintained_latest", "SELECT matter_document_id, version_number, l_partkey FROM document_versions WHERE version_number % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY matter_document_id ORDER BY version_number DESC, l_partkey) = 1")
+def maintained_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "document_versions").select("matter_document_id", "version_number", "l_partkey")
+    before, after = v.filter("version_number % 3 <> 0"), v.filter("version_number % 4 <> 0")
+    order = [F.desc("version_number"), F.asc("l_partkey")]
+    return D.updated_latest(R.latest(before, ["matter_document_id"], order), D.changes(before, after), after, ["matter_document_id"], order)
+
+
+@query("files_round_trip", "SELECT concat(lang, '/', doc_id, '.txt') AS path, CAST(strlen(text) AS BIGINT) AS length, 'txt' AS file_type, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL")
+    folder = new_folder(spark, "objects")
+    upload(docs.select(F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")), folder)
+    return stored_files(spark, folder).select("path", "length", "file_type", F.md5("content").alias("content_md5"))
+
+
 @query("guarded_firm", "SELECT id, name FROM clients WHERE EXISTS (SELECT 1 FROM profiles WHERE id = 3)")
 def guarded_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _guarded(spark, sf_dir, 3, "select_clients").select("id", "name")
@@ -550,14 +591,14 @@ def replace_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _find_or_create(spark: SparkSession, sf_dir: str, clients: DataFrame) -> DataFrame:
-    have = view(spark, sf_dir, "matter_documents").filter("document_type_id = 5").select("matter_id", "document_type_id", "status")
+    have = view(spark, sf_dir, "matter_documents").select("matter_id", "document_type_id", "status")
     wanted = clients.select(F.col("id").alias("matter_id"), F.lit(5).cast("long").alias("document_type_id"))
     return C.find_or_create(have, wanted, ["matter_id", "document_type_id"], {"status": F.lit("drafting")})
 
 
 @query("find_or_create", """
 WITH w AS (SELECT DISTINCT c_custkey AS matter_id, CAST(5 AS BIGINT) AS document_type_id FROM customer)
-SELECT matter_id, document_type_id, status FROM matter_documents WHERE document_type_id = 5
+SELECT matter_id, document_type_id, status FROM matter_documents
 UNION ALL SELECT w.matter_id, w.document_type_id, 'drafting' FROM w WHERE NOT EXISTS (SELECT 1 FROM matter_documents d WHERE d.matter_id = w.matter_id AND d.document_type_id = w.document_type_id)""")
 def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _find_or_create(spark, sf_dir, view(spark, sf_dir, "clients"))
@@ -585,10 +626,11 @@ def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.delete(view(spark, sf_dir, "clients"), F.col("id") % 6 == 0).select("id", "name")
 
 
-@query("inserted_ids", f"SELECT matter_id, name, {_MD5_ID.format("concat('matter_parties/', matter_id, '/', name)")} AS id, contact_info FROM (SELECT id AS matter_id, concat('Party ', id) AS name, CASE WHEN id % 2 = 1 THEN 'c' END AS contact_info FROM matters) p")
+@query("inserted_ids", f"SELECT matter_id, name, {_MD5_ID.format("concat('matter_parties/', matter_id, '/', name)")} AS id, contact_info FROM (SELECT id AS matter_id, concat('Party ', id) AS name, CASE WHEN id % 2 = 1 THEN 'c' END AS contact_info FROM matters) p UNION ALL SELECT matter_document_id, concat('Old ', l_partkey), concat('p-', matter_document_id, '-', version_number), 'k' FROM document_versions")
 def inserted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = view(spark, sf_dir, "matters").select(F.col("id").alias("matter_id"), F.concat(F.lit("Party "), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 2 == 1, "c").otherwise("").alias("contact_info"))
-    have = new.withColumn("id", F.lit("")).filter("matter_id < 0")
+    parties = view(spark, sf_dir, "document_versions")
+    have = parties.select(F.col("matter_document_id").alias("matter_id"), F.concat(F.lit("Old "), F.col("l_partkey").cast("string")).alias("name"), F.lit("k").alias("contact_info"), F.concat_ws("-", F.lit("p"), F.col("matter_document_id").cast("string"), F.col("version_number").cast("string")).alias("id"))
     return C.insert(have, new, ["contact_info"], "matter_parties", ["matter_id", "name"]).select("matter_id", "name", "id", "contact_info")
 
 

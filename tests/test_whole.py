@@ -28,14 +28,14 @@ def test_every_row_has_a_position(spark, name, table):
     assert ids(got, "position") == list(range(1, got.count() + 1))
 
 
-@pytest.mark.parametrize("rows_per_bucket", [20, 60, 100_000])
-def test_positions_like_sorting(spark, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_range", [20, 60, 100_000])
+def test_positions_like_sorting(spark, rows_per_range):
     names = [None if i % 7 == 0 else f'n{i * 7919 % 50}"é,' if i % 3 else "" for i in range(600)]
     rows = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(5)
-    got = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name").isNull(), F.col("name"), -F.col("id")], rows_per_bucket=rows_per_bucket).collect()}
+    got = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name").isNull(), F.col("name"), -F.col("id")], rows_per_range=rows_per_range).collect()}
     want = sorted(range(600), key=lambda i: (names[i] is None, (names[i] or "").encode(), -i))
     assert got == {i: n for n, i in enumerate(want, 1)}
-    first = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name"), F.col("id")], rows_per_bucket=rows_per_bucket).collect()}
+    first = {r["id"]: r["position"] for r in R.positions(rows, [F.col("name"), F.col("id")], rows_per_range=rows_per_range).collect()}
     want = sorted(range(600), key=lambda i: (names[i] is not None, (names[i] or "").encode(), i))
     assert first == {i: n for n, i in enumerate(want, 1)}
     assert R.positions(rows.filter("id < 0"), [F.col("id")]).count() == 0

@@ -104,6 +104,23 @@ def grouped_lists(rows: DataFrame, by: Column, name: str, item: Column, order: S
     return rows.groupBy(by.alias(name)).agg(F.transform(held, lambda x: x["v"]).alias(as_), F.count(F.lit(1)).alias("n"))
 
 
+def grouped_pages(rows: DataFrame, by: Column, name: str, item: Column, order: Sequence[Column], as_: str = "items", size: int = 1000) -> DataFrame:
+    """``grouped_lists`` in pages: label, page (from 0), its items in order, and n of the whole group.
+
+    A row holds ``size`` items at most, whatever the group. Places within a group come
+    from the positions of all rows by label and order, so a group with most of the rows
+    is in many tasks. A null label is a group.
+    """
+    named = {f"_o{n}": c for n, c in enumerate(order)}
+    held = rows.select(by.alias(name), item.alias("_item"), *[c.alias(k) for k, c in named.items()])
+    placed = positions(held, [F.col(name), *map(F.col, named)], "_at")
+    groups = placed.groupBy(name).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n")).withColumnRenamed(name, "_label")
+    joined = placed.join(groups, F.col(name).eqNullSafe(F.col("_label")))
+    paged = joined.withColumn("_within", F.col("_at") - F.col("_first")).withColumn("page", F.floor(F.col("_within") / size).cast("long"))
+    lists = paged.groupBy(name, "page").agg(F.array_sort(F.collect_list(F.struct("_within", "_item"))).alias("_held"), F.first("n").alias("n"))
+    return lists.select(name, "page", F.transform("_held", lambda x: x["_item"]).alias(as_), "n")
+
+
 def precedent_sources(chunks: DataFrame, types: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
     """One row per source path of the precedent chunks, as the newest chunk tells it.
 

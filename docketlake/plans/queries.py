@@ -247,6 +247,15 @@ def document_types_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.grouped_lists(view(spark, sf_dir, "document_types"), F.col("category"), "category", item, [F.col("name"), F.col("id")], "types").withColumn("types", F.array_join("types", ","))
 
 
+@query("document_types_paged", """
+WITH p AS (SELECT category, concat(name, ':', id) AS item, row_number() OVER (PARTITION BY category ORDER BY name, id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM document_types)
+SELECT category, CAST(place // 3 AS BIGINT) AS page, string_agg(item, ',' ORDER BY place) AS types, any_value(n) AS n FROM p GROUP BY category, place // 3""")
+def document_types_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.concat_ws(":", "name", F.col("id").cast("string"))
+    pages = R.grouped_pages(view(spark, sf_dir, "document_types"), F.col("category"), "category", item, [F.col("name"), F.col("id")], "types", size=3)
+    return pages.withColumn("types", F.array_join("types", ","))
+
+
 @query("matter_documents_nested", """
 WITH v AS (SELECT matter_document_id, string_agg(CAST(version_number AS VARCHAR), ',' ORDER BY version_number) AS versions, count(*) AS n_versions FROM document_versions GROUP BY matter_document_id)
 SELECT d.id, t.name AS type_name, coalesce(v.versions, '') AS versions, CAST(coalesce(v.n_versions, 0) AS INTEGER) AS n_versions FROM matter_documents d LEFT JOIN document_types t ON t.id = d.document_type_id LEFT JOIN v ON v.matter_document_id = d.id""")
@@ -411,6 +420,41 @@ def parse_suggestion_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "s.clause_reference", "s.original_text", "s.suggested_text")
 
 
+@query("parse_reply_turns", """
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN concat('Sure: ', json_object('ready', role = 'user', 'message', text), ' ok') ELSE text END AS raw FROM conversations),
+o AS (SELECT *, CASE WHEN regexp_extract(raw, '(?s)\\{.*\\}') = '' THEN raw ELSE regexp_extract(raw, '(?s)\\{.*\\}') END AS body FROM t),
+j AS (SELECT *, CASE WHEN json_valid(body) AND starts_with(trim(body), '{') THEN body END AS object FROM o)
+SELECT conv_id, turn, coalesce(json_extract(object, '$.ready')::VARCHAR = 'true', false) AS ready, coalesce(json_extract_string(object, '$.message'), raw) AS message FROM j""")
+def parse_reply_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    told = F.concat(F.lit("Sure: "), F.to_json(F.struct((F.col("role") == "user").alias("ready"), F.col("text").alias("message"))), F.lit(" ok"))
+    raw = F.when(F.col("turn") % 3 == 0, told).otherwise(F.col("text"))
+    return t.select("conv_id", "turn", T.parse_reply(raw).alias("r")).select("conv_id", "turn", "r.ready", "r.message")
+
+
+@query("allowed_urls", "SELECT page_id, url, lower(split_part(url, '.', -1)) IN ('pdf', 'docx', 'xlsx', 'xls') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat(url, '.PDF') WHEN page_id % 4 = 1 THEN concat(url, '/a.docx') ELSE url END AS url FROM pages) p")
+def allowed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit(".PDF"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("/a.docx"))).otherwise(F.col("url"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", url.alias("url")).withColumn("allowed", allowed(F.col("url")))
+
+
+def _replaced(text: str, old: str, new: str) -> str:
+    """DuckDB SQL: the first literal ``old`` of a text replaced."""
+    return f"CASE WHEN strpos({text}, {old}) > 0 THEN concat(substr({text}, 1, strpos({text}, {old}) - 1), {new}, substr({text}, strpos({text}, {old}) + length({old}))) ELSE {text} END"
+
+
+@query("redline_texts", f"""
+WITH d AS (SELECT doc_id, text, split_part(text, ' ', 2) AS second FROM documents),
+a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND second <> '' THEN {_replaced("text", "second", "'$1'")} ELSE text END AS text FROM d)
+SELECT doc_id, md5({_replaced("text", "'. '", "' [stop] '")}) AS text_md5 FROM a""")
+def redline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).withColumn("second", F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")))
+    item = lambda status, old, new: F.struct(status.alias("status"), old.alias("original_text"), F.lit(new).alias("suggested_text"))
+    even = F.when(F.col("doc_id") % 2 == 0, "accepted").otherwise("rejected")
+    listed = F.array(item(even, F.col("second"), "$1"), item(F.lit("accepted"), F.lit(". "), " [stop] "), item(F.lit("pending"), F.lit("the"), "THE"))
+    return d.select("doc_id", F.md5(T.apply_redlines(F.col("text"), listed)).alias("text_md5"))
+
+
 @query("redline_status_counts", "SELECT document_version_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) AS total FROM suggestions GROUP BY document_version_id")
 def redline_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "suggestions").groupBy("document_version_id").agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count(F.lit(1)).alias("total"))

@@ -64,3 +64,14 @@ def test_slices_grow_with_the_queries(spark):
 
 def test_precedents_by_type_gather_no_ids(spark):
     assert "collect_list" not in QUERIES["precedent_by_type"](spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+def test_pages_of_a_large_group(spark):
+    rows = spark.createDataFrame([(None if k % 10 == 0 else "hot" if k % 10 < 8 else "cold", k) for k in range(500)], "label string, id int").repartition(4)
+    pages = R.grouped_pages(rows, F.col("label"), "label", F.col("id"), [-F.col("id")], size=40)
+    got = sorted(((r.label or "", r.page, list(r["items"]), r.n) for r in pages.collect()))
+    want = []
+    for label, keep in (("", lambda k: k % 10 == 0), ("cold", lambda k: k % 10 >= 8), ("hot", lambda k: 0 < k % 10 < 8)):
+        ids = [k for k in reversed(range(500)) if keep(k)]
+        want += [(label, at // 40, ids[at : at + 40], len(ids)) for at in range(0, len(ids), 40)]
+    assert got == want and R.grouped_pages(rows.limit(0), F.col("label"), "label", F.col("id"), [F.col("id")]).count() == 0

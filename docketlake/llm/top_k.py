@@ -65,17 +65,40 @@ def _packed(ids: np.ndarray, m: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
-    """(length, n, ids, data): blocks of up to ``size`` rows in the order they come."""
+    """(length, n, ids, data, mark): blocks of ``size`` rows in the order they come; a task's last one may be smaller."""
+
+    def packed(held):
+        ids, m = (np.concatenate(x) for x in zip(*held))
+        data = _packed(ids, m)
+        return pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((m * m).sum(1).max()))]), pa.array([len(ids)], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["length", "n", "ids", "data"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                m = _matrix(part.column(1), dim)
-                ids, data = _packed(part.column(0).to_numpy(), m)
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((m * m).sum(1).max()))]), pa.array([part.num_rows], pa.int32()), pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=["length", "n", "ids", "data"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - n)
+                held.append((part.column(0).to_numpy(), _matrix(part.column(1), dim)))
+                n += part.num_rows
+                at += part.num_rows
+                if n == size:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return rows.select("id", "x").mapInArrow(run, "length double, n int, ids binary, data binary").withColumn("mark", F.xxhash64("ids"))
+
+
+def visits(blocks: DataFrame, needs: DataFrame, slices: int) -> DataFrame:
+    """(group, slice, n): the slices from which a group of queries needs blocks, and how many."""
+    met = blocks.select("length", "mark").join(needs, F.col("length") >= F.col("need"))
+    return met.groupBy("group", F.pmod("mark", F.lit(slices)).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
 
-    return rows.select("id", "x").mapInArrow(run, "length double, n int, ids binary, data binary")
+def task_count(pairs: int, sent: int, block_bytes: int, group_bytes: int, cores: int, task_bytes: int = 64 << 20) -> int:
+    """Tasks for the search: by the bytes that are sent, not by the pairs of groups and slices."""
+    return max(1, min(pairs, max(4 * cores, -(-(sent * block_bytes + pairs * group_bytes) // task_bytes))))
 
 
 class _Best:
@@ -140,7 +163,8 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
     never for a query of that id. Integer products must stay below 2^53.
 
     Query groups meet vector blocks in tasks keyed by (group, slice of the blocks);
-    blocks that no query of a group can need are not sent to it.
+    blocks that no query of a group can need are not sent to it, and a group is sent
+    only to slices from which it needs a block. Tasks follow the bytes sent.
     """
     spark = vectors.sparkSession
     rows = written(integer_vectors(vectors, id_col, vec_col, scale).withColumn("sq", F.aggregate("x", F.lit(0.0), lambda a, b: a + b.cast("double") * b)), "vectors")
@@ -158,7 +182,10 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
     by_length = rows.repartitionByRange(parts, F.desc("sq"), "id").sortWithinPartitions(F.desc("sq"), "id")
     blocks = written(_blocks(by_length, dim, block), "vector-blocks")
     chosen = rows.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id")
-    group = max(group, -(-chosen.count() // MOST_GROUPS))
+    n_asked = chosen.count()
+    group = max(group, -(-n_asked // MOST_GROUPS))
+    # groups of queries of like length, so that a group's need is near that of each of its queries
+    chosen = chosen.repartitionByRange(max(1, n_asked // (16 * group)), F.desc("sq"), "id").sortWithinPartitions(F.desc("sq"), "id")
     asked = written(_blocks(chosen, dim, group).withColumn("group", F.monotonically_increasing_id()), "query-blocks")
     first = blocks.orderBy(F.desc("length"), F.xxhash64("ids")).limit(1).collect()
     seed = (np.frombuffer(first[0]["ids"], np.int64), np.frombuffer(first[0]["data"]).reshape(-1, dim))
@@ -175,12 +202,14 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
 
     # one small row for each group of queries, of which there are not many more than MOST_GROUPS
     needs = written(asked.select("group", "ids", "data").mapInArrow(least, "group long, need double"), "needs")
-    n_groups = needs.count()
-    if not n_groups:
+    if not n_asked:
         return spark.createDataFrame([], schema)
     slices = max(1, -(-blocks.count() // 16))
-    sent = blocks.join(needs, F.col("length") >= F.col("need")).select("group", F.pmod(F.xxhash64("ids"), F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "length", "ids", "data")
-    questions = asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("kind"), "length", "ids", "data")
+    visited = written(visits(blocks, needs, slices), "visits")
+    total = visited.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("sent")).first()
+    sent = blocks.join(needs, F.col("length") >= F.col("need")).select("group", F.pmod("mark", F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "length", "ids", "data")
+    questions = asked.join(visited.select("group", "slice"), "group").select("group", "slice", F.lit(0).alias("kind"), "length", "ids", "data")
+    tasks = task_count(total["pairs"], total["sent"], 8 * dim * block, 8 * dim * group, spark.sparkContext.defaultParallelism)
 
     def search(batches):
         at, best = None, None
@@ -196,7 +225,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
         if best is not None:
             yield best.found()
 
-    dealt = sent.unionByName(questions).repartition(n_groups * slices, "group", "slice").sortWithinPartitions("group", "slice", "kind", F.desc("length"))
+    dealt = sent.unionByName(questions).repartition(tasks, "group", "slice").sortWithinPartitions("group", "slice", "kind", F.desc("length"))
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from heapq import heapify, heappop, heappush
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,9 +54,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
-def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
-    """(pattern of lengths, number of packs) pairs for a histogram of lengths."""
-    open_packs: dict[int, list[tuple[list[int], int]]] = defaultdict(list)  # by room left
+Pattern = tuple[tuple[int, int], ...]  # runs of equal lengths: (length, how many)
+
+
+def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[Pattern, int]]:
+    """(pattern, number of packs) pairs for a histogram of lengths."""
+    open_packs: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)  # by room left
+
+    def longer(pattern: Pattern, size: int) -> Pattern:
+        if pattern and pattern[-1][0] == size:
+            return *pattern[:-1], (size, pattern[-1][1] + 1)
+        return *pattern, (size, 1)
+
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         rooms = [-r for r in open_packs if r >= size]
@@ -73,38 +83,61 @@ def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[list[int]
             rest = room - size
             if rest >= size and rest not in open_packs:
                 heappush(rooms, -rest)
-            open_packs[rest].append(([*pattern, size], used))
+            open_packs[rest].append((longer(pattern, size), used))
             left -= used
         while left:  # new packs, each filled with this length as far as the count goes
             each = length // size
             full, rest = divmod(left, each)
             n, k = (full, each) if full else (1, rest)
-            open_packs[length - k * size].append(([size] * k, n))
+            open_packs[length - k * size].append((((size, k),), n))
             left -= n * k
-    merged: dict[tuple[int, ...], int] = defaultdict(int)
+    merged: dict[Pattern, int] = defaultdict(int)
     for packs in open_packs.values():
         for pattern, n in packs:
-            merged[tuple(pattern)] += n
-    return [(list(p), n) for p, n in sorted(merged.items(), reverse=True) if n]
+            merged[pattern] += n
+    return [(p, n) for p, n in sorted(merged.items(), reverse=True) if n]
 
 
-def plan_slots(plan: list[tuple[list[int], int]], length: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, packs, first sequence, offset, padded length) of each place in the plan.
+def plan_slots(plan: list[tuple[Pattern, int]], length: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(length, first rank, packs, run, first sequence, offset, padded length) of each run in the plan.
 
-    A sequence is padded to ``length``, but for one that is filled to a power of two.
+    A run has ``run`` pieces of its length in each of its packs, so it takes packs * run
+    ranks: one after another within a pack, then on to the next pack. A sequence is
+    padded to ``length``, but for one that is filled to a power of two.
     """
     base, ranks, slots = 0, defaultdict(int), []
     for pattern, n in plan:
-        offset, fill = 0, sum(pattern)
+        offset, fill = 0, sum(size * k for size, k in pattern)
         padded = length if fill & (fill - 1) else fill
-        for size in pattern:
-            slots.append((size, ranks[size], n, base, offset, padded))
-            ranks[size] += n
-            offset += size
+        for size, k in pattern:
+            slots.append((size, ranks[size], n, k, base, offset, padded))
+            ranks[size] += n * k
+            offset += size * k
         base += n
     return slots
 
 
+def slot_chunks(slots: list[tuple]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """((length, chunk, first rank, rank behind) of each chunk, the chunk of each slot).
+
+    A length's runs in the order of their ranks are cut into about as many chunks as a
+    chunk has runs, so a piece is tested against few chunks and then few runs.
+    """
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for n, slot in enumerate(slots):
+        by_size[slot[0]].append(n)
+    chunks, of = [], [0] * len(slots)
+    for size, held in by_size.items():  # ranks grow with the order of the slots
+        each = isqrt(len(held) - 1) + 1
+        for c in range(0, len(held), each):
+            some = held[c : c + each]
+            last = slots[some[-1]]
+            chunks.append((size, c // each, slots[some[0]][1], last[1] + last[2] * last[3]))
+            for n in some:
+                of[n] = c // each
+    return chunks, of
+
+
 def pack_pieces(pieces: DataFrame, length: int = 2048, rows_per_bucket: int = 50_000) -> DataFrame:
     """``pieces`` with sequence_id, offset and padded_length.
 
@@ -123,11 +156,17 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, rows_per_bucket: int = 50
     if any(not 1 <= size <= length for size in histogram):
         raise ValueError(f"piece lengths must be 1 to {length}")
     slots = plan_slots(packing_plan(histogram, length), length)
-    plan = spark.createDataFrame(slots, "length long, first long, packs long, base long, offset long, padded_length long")
+    chunks, of = slot_chunks(slots)
+    chunk_rows = spark.createDataFrame(chunks, "_length long, _chunk int, _from long, _to long")
+    slot_rows = spark.createDataFrame([(*x, c) for x, c in zip(slots, of)], "_length long, _first long, _packs long, _run long, _base long, _offset long, _padded long, _chunk int")
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")) - 1
     ranked = tagged.withColumn("_local", local).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    plan = F.broadcast(plan.withColumnRenamed("length", "_length"))
-    held = (F.col("_length") == F.col("length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("packs"))
-    placed = ranked.join(plan, held).withColumn("sequence_id", F.col("base") + F.col("_rank") - F.col("first"))
-    return placed.select(*pieces.columns, "sequence_id", "offset", "padded_length")
+    rank, first, run = F.col("_rank"), F.col("_first"), F.col("_run")
+    in_chunk = (F.col("_length") == F.col("length")) & (rank >= F.col("_from")) & (rank < F.col("_to"))
+    near = ranked.join(F.broadcast(chunk_rows), in_chunk).select(*ranked.columns, F.col("_chunk").alias("_near"))
+    in_run = (F.col("_length") == F.col("length")) & (F.col("_chunk") == F.col("_near")) & (rank >= first) & (rank < first + F.col("_packs") * run)
+    placed = near.join(F.broadcast(slot_rows), in_run)
+    nth = (rank - first) % run
+    sequence = F.col("_base") + ((rank - first - nth) / run).cast("long")
+    return placed.select(*pieces.columns, sequence.alias("sequence_id"), (F.col("_offset") + nth * F.col("length")).alias("offset"), F.col("_padded").alias("padded_length"))

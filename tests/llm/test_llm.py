@@ -153,9 +153,9 @@ def test_packing_plan():
         histogram = {k: r.randint(1, 30) for k in range(1, length + 1) if r.random() < 0.5}
         used = collections.Counter()
         for pattern, n in packing.packing_plan(histogram, length):
-            assert sum(pattern) <= length and n > 0
-            for size in pattern:
-                used[size] += n
+            assert sum(size * k for size, k in pattern) <= length and n > 0
+            for size, k in pattern:
+                used[size] += n * k
         assert used == histogram
     plan = packing.packing_plan({k: 2000 - k // 2 for k in range(1, 2049)}, 2048)
     total = sum(k * (2000 - k // 2) for k in range(1, 2049))

@@ -3,7 +3,12 @@
 import random
 from collections import Counter
 
-from docketlake.llm.packing import packing_plan
+from docketlake.llm import packing
+
+
+def packing_plan(histogram, length):
+    """The plan with every length of a pattern written out."""
+    return [([size for size, k in pattern for _ in range(k)], n) for pattern, n in packing.packing_plan(histogram, length)]
 
 
 def one_by_one(histogram, length):
@@ -81,3 +86,33 @@ def test_query_ids_and_padding(spark):
             assert r["offset"] == fill
             fill += r["length"]
         assert {r["padded_length"] for r in rows} == {fill if bin(fill).count("1") == 1 else 2048}
+
+
+def test_few_slots_for_many_short_pieces():
+    """A long histogram with very many empty texts: runs keep the plan small, chunks keep the tests a piece few."""
+    for histogram in ({k: 3 + k % 7 for k in range(1025, 2048)} | {1: 10_000_000}, {k: 1 + 2_000_000 // k**2 for k in range(1, 2049)}, {k: 1000 for k in range(1, 2049)}):
+        slots = packing.plan_slots(packing.packing_plan(histogram, 2048), 2048)
+        chunks, of = packing.slot_chunks(slots)
+        assert len(slots) < 6000
+        tests = Counter(size for size, *_ in chunks)
+        runs = Counter((slot[0], c) for slot, c in zip(slots, of))
+        assert max(tests[size] + runs[size, c] for size, c in runs) <= 100
+        for size, n in histogram.items():  # ranks are covered without a gap
+            at = 0
+            for slot in (x for x in slots if x[0] == size):
+                assert slot[1] == at
+                at += slot[2] * slot[3]
+            assert at == n
+            assert [c[2:] for c in chunks if c[0] == size][-1][1] == n
+
+
+def test_pieces_with_columns_of_the_plan(spark):
+    rows = [(k, 0, 1 + k % 5, "b", "s", "r") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, base string, packs string, run string")
+    out = packing.pack_pieces(df, 16, rows_per_bucket=7).collect()
+    assert len(out) == 300 and out[0].base == "b"
+    filled = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 16 and len(filled) == -(-sum(r[2] for r in rows) // 16)

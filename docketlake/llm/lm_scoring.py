@@ -312,8 +312,8 @@ def pair_counts(rows: DataFrame, model: AttentionModel, slots: np.ndarray, back:
     return out
 
 
-def training_windows(rows: DataFrame, model: AttentionModel, every: int, rounds: int) -> DataFrame:
-    """(round, n, tokens, lens): one in ``every`` windows of all texts, picked by hash."""
+def training_windows(rows: DataFrame, model: AttentionModel, rounds: int) -> DataFrame:
+    """(round, n, tokens, lens): all windows of all texts, dealt to the rounds by hash."""
     head, tail = (np.array([x], np.uint16).tobytes() for x in (model.start, model.end))
 
     def run(batches):
@@ -327,10 +327,9 @@ def training_windows(rows: DataFrame, model: AttentionModel, every: int, rounds:
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 salt = np.array([crc32(x) for x in texts], np.uint64) << np.uint64(32)
                 h = mixed(nth.astype(np.uint64) + salt[doc], 3)
-                picked = np.flatnonzero(h % np.uint64(every) == 0)
-                step = ((h[picked] >> np.uint64(40)) % np.uint64(rounds)).astype(np.int64)
+                step = ((h >> np.uint64(40)) % np.uint64(rounds)).astype(np.int64)
                 order = np.argsort(step, kind="stable")
-                doc, nth, step = doc[picked][order], nth[picked][order], step[order]
+                doc, nth, step = doc[order], nth[order], step[order]
                 lens = np.minimum(WINDOW + 1, size[doc] - nth * WINDOW)
                 place = (begin[doc] + nth * WINDOW)[:, None] + np.minimum(np.arange(WINDOW + 1), lens[:, None] - 1)
                 tokens, lens = flat[place], lens.astype(np.uint8)
@@ -343,20 +342,15 @@ def training_windows(rows: DataFrame, model: AttentionModel, every: int, rounds:
     return rows.select("ids").mapInArrow(run, "round int, n long, tokens binary, lens binary")
 
 
-def train(rows: DataFrame, model: AttentionModel, rounds: int = 3, share: int = 32, least: int = 60_000, per_task: int = 20_000) -> AttentionModel:
-    """Fits the weights on one in ``share`` windows of all texts, on more of them where that is under ``least``.
+def train(rows: DataFrame, model: AttentionModel, rounds: int = 3, per_task: int = 20_000) -> AttentionModel:
+    """Fits the weights on all windows of all texts, each once.
 
     A round's windows are dealt to tasks of about ``per_task`` windows, which train from
     the same weights; then the weights are averaged by slices of ids. What reaches the
-    driver depends on the vocabulary alone. Few windows are passed more than once.
+    driver depends on the vocabulary alone.
     """
-    ids = rows.agg(F.coalesce(F.sum((F.length("ids") / 2 + WINDOW).cast("long")), F.lit(0))).first()[0]
-    if not ids:
-        return model
-    every = int(min(share, max(1, ids // WINDOW // least)))
-    windows = written(training_windows(rows, model, every, rounds), "windows")
+    windows = written(training_windows(rows, model, rounds), "windows")
     sizes = {r["round"]: r["n"] for r in windows.groupBy("round").agg(F.sum("n").alias("n")).collect()}
-    passes = max(1, min(8, least // max(1, sum(sizes.values()))))
     schema = "slice int, weights binary, data binary"
 
     def added(batches):
@@ -386,7 +380,7 @@ def train(rows: DataFrame, model: AttentionModel, rounds: int = 3, share: int =
                 lens += [np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]
             if tokens:
                 tokens, lens = np.concatenate(tokens), np.concatenate(lens).astype(np.int64)
-                met = model.fit(tokens, lens, passes, seed=step)
+                met = model.fit(tokens, lens, seed=step)
                 cols = list(zip(*model.parts(met, len(lens))))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "weights", "data"])
 

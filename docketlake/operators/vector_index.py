@@ -69,6 +69,7 @@ class VectorIndex:
         self.spark, self.path = spark, path.rstrip("/")
         rows = spark.read.parquet(f"{self.path}/centres").orderBy("list").collect()
         self.centres = np.array([r["centre"] for r in rows], np.float64) if rows else np.zeros((0, 0))
+        self.columns = spark.read.parquet(f"{self.path}/columns").schema
         self._read_bounds()
 
     def _read_bounds(self) -> None:
@@ -86,7 +87,7 @@ class VectorIndex:
 
     def rows(self) -> DataFrame:
         """All rows with their list and angle."""
-        return self.spark.read.parquet(f"{self.path}/lists")
+        return self.spark.read.schema(self.columns).parquet(f"{self.path}/lists")
 
     def _query(self, query: Sequence[float]) -> tuple[np.ndarray, np.ndarray] | None:
         """(angles of the query to the centres, best possible similarity of each list)."""
@@ -101,7 +102,7 @@ class VectorIndex:
         reach = math.acos(min(1.0, max(-1.0, least))) + SLACK
         spans = [(F.col("list") == int(k)) & F.col("angle").between(float(t[k] - reach), float(t[k] + reach)) for k in lists]
         where = F.col("list").isin([int(k) for k in lists])
-        # each list's own span only while the condition stays short; the widest span serves many lists
+        # each list's own span of angles while the condition stays short; with more lists the partitions alone are cut
         if len(spans) <= 64:
             any_of = spans[0] if spans else F.lit(False)
             for s in spans[1:]:
@@ -146,16 +147,14 @@ class VectorIndex:
         if probes is not None:
             return _ranked(self._scored(self._visits(asked, match_threshold, 0, probes)), match_threshold, match_count)
         folder = new_folder(self.spark, "index-matches")
-        _ranked(self._scored(self._visits(asked, match_threshold, 0, first)), match_threshold, match_count).write.parquet(folder)
-        early = self.spark.read.schema("query_id long, id long, similarity double, rank int").parquet(folder) if self._plain_ids(queries) else self.spark.read.parquet(folder)
+        found = _ranked(self._scored(self._visits(asked, match_threshold, 0, first)), match_threshold, match_count)
+        found.write.parquet(folder)
+        early = self.spark.read.schema(found.schema).parquet(folder)
         reached = early.filter(F.col("rank") == match_count).select("query_id", F.col("similarity").alias("least"))
         again = asked.join(reached, "query_id", "left")
         late = self._scored(self._visits(again, match_threshold, first, None))
         return _ranked(late.unionByName(early.drop("rank")), match_threshold, match_count)
 
-    def _plain_ids(self, queries: DataFrame) -> bool:
-        return queries.schema["query_id"].dataType.simpleString() == "bigint" and self.rows().schema["id"].dataType.simpleString() == "bigint"
-
     def _visits(self, asked: DataFrame, threshold: float, start: int, stop: int | None) -> DataFrame:
         """A row a query and list: those of the places ``start`` to ``stop`` among its best lists.
 
@@ -277,5 +276,6 @@ def build_index(chunks: DataFrame, path: str, lists: int | None = None, length:
     centres = centres_of(vectors, lists) if picked else vectors
     told = [(k, c.tolist()) for k, c in enumerate(centres)]
     spark.createDataFrame(told, "list int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    chunks.limit(0).withColumns({"angle": F.lit(None).cast("double"), "list": F.lit(None).cast("int")}).coalesce(1).write.parquet(f"{path}/columns")
     _write(spark, path, chunks, centres)
     return VectorIndex(spark, path)

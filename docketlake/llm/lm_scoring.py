@@ -7,9 +7,9 @@ the class before it. Since there is one layer, queries, keys, values and the dir
 path depend on the id alone and are looked up.
 
 All of it is gathered from every training text, so it grows with the corpus: counts of
-the ids beside each id give the classes and the first embeddings, windows picked by
-hash from all texts fit the weights in numpy, and counts of all ids after each class
-give the shares within classes. Tasks train on their windows from common weights; after
+the ids beside each id give the classes and the first embeddings, every window of every
+text fits the weights in numpy, and counts of all ids after each class give the shares
+within classes. Tasks train on their windows from common weights; after
 each round the weights are averaged, those of an id over the tasks that met it.
 
 Beside it stands a unigram score over whole words, counted over all training texts.

@@ -137,11 +137,12 @@ def section(title: str, body: Column) -> Column:
 def draft_context(matters: DataFrame, clients: DataFrame, parties: DataFrame, precedents: DataFrame, transcripts_: DataFrame | None = None) -> DataFrame:
     """id, context of each matter: names, description, parties, precedents, interview.
 
-    ``parties`` (matter_id, name, role), ``precedents`` (matter_id, ord, content) and
-    ``transcripts_`` (matter_id, transcript) are bounded a matter. Sections without
-    content are left out.
+    ``parties`` (matter_id, name, role; in the order of ``ord`` where they have it, else
+    of their names), ``precedents`` (matter_id, ord, content) and ``transcripts_``
+    (matter_id, transcript) are bounded a matter. Sections without content are left out.
     """
-    p = parties.groupBy("matter_id").agg(ordered_join([F.col("name"), F.col("role")], lambda v, n: F.concat(F.lit("- "), v["name"], F.lit(" ("), v["role"], F.lit(")")), F.struct("name", "role"), "\n").alias("parties"))
+    order = [F.col(c) for c in ("ord", "name", "role") if c in parties.columns]
+    p = parties.groupBy("matter_id").agg(ordered_join(order, lambda v, n: F.concat(F.lit("- "), v["name"], F.lit(" ("), v["role"], F.lit(")")), F.struct("name", "role"), "\n").alias("parties"))
     r = precedents.groupBy("matter_id").agg(ordered_join([F.col("ord")], lambda v, n: F.concat(F.lit("[Precedent "), n, F.lit("]\n"), v), F.col("content"), RULE).alias("precedents"))
     out = matters.join(clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id", "left")
     out = out.join(p.withColumnRenamed("matter_id", "id"), "id", "left").join(r.withColumnRenamed("matter_id", "id"), "id", "left")

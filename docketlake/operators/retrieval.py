@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,7 @@ from pyspark.sql.window import Window
 from docketlake.functions.text import percent
 from docketlake.functions.vector import cosine, norm
 
+SLACK = 1e-9  # similarities; far above the rounding of a product of matrices
 MATCH_THRESHOLD, MATCH_COUNT, PRECEDENT_LIMIT = 0.5, 5, 5
 
 #: Fixed texts of the rendered context.
@@ -55,27 +59,91 @@ def match_documents(chunks: DataFrame, query: Sequence[float], match_threshold:
     return scored.orderBy(F.desc("similarity"), "id").limit(match_count).select(*names, "similarity")
 
 
-def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int | None = None, rows_per_slice: int = 500, rows_per_bucket: int = 20_000) -> DataFrame:
+def nearest_ids(rows: DataFrame, count: int) -> DataFrame:
+    """Of rows (id, embedding) with one and the same vector, those with the ``count`` smallest ids.
+
+    They tie for every query and ties go to the smaller id, so no other row can be among
+    the first ``count`` matches.
+    """
+    n = F.row_number().over(Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("id"))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= count).drop("_n")
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long lists; nulls within a list become NaN."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def block_matches(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], threshold: float, count: int) -> DataFrame:
+    """query_id, id, similarity: the best ``count`` matches above a threshold in each block.
+
+    ``chunks`` (id, embedding, norm) and ``queries`` (query_id, q, q_norm) meet where
+    ``keys`` are equal, and one block of each is in memory. A product of matrices names
+    the pairs that can be among the best; their similarities are then summed in the order
+    of ``cosine``, so they are the same numbers.
+    """
+
+    def run(c: pa.Table, q: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes_c, sizes_q = (t.column(k).combine_chunks().value_lengths().to_numpy(zero_copy_only=False) for t, k in ((c, "embedding"), (q, "q")))
+        for size in np.intersect1d(sizes_c[sizes_c > 0], sizes_q[sizes_q > 0]):
+            cs, qs = np.flatnonzero(sizes_c == size), np.flatnonzero(sizes_q == size)
+            cs = cs[pc.sort_indices(c.column("id").take(pa.array(cs)), null_placement="at_start").to_numpy()]  # ties in order of ids
+            held, norms = _vectors(c.column("embedding").take(pa.array(cs))), c.column("norm").to_numpy(zero_copy_only=False)[cs]
+            for at in range(0, len(qs), step := max(1, (4 << 20) // max(1, len(cs)))):
+                part = qs[at : at + step]
+                asked, q_norms = _vectors(q.column("q").take(pa.array(part))), q.column("q_norm").to_numpy(zero_copy_only=False)[part]
+                with np.errstate(all="ignore"):
+                    near = (asked @ held.T) / (q_norms[:, None] * norms)
+                    near[~np.isfinite(near)] = -np.inf
+                    least = np.partition(near, -count, axis=1)[:, -count] if len(cs) > count else np.full(len(part), -np.inf)
+                    # the lowest of the best may be off by the rounding, and so may the others
+                    row, col = np.nonzero((near >= np.maximum(least, threshold)[:, None] - SLACK) & (near > -np.inf))
+                    for a in range(0, len(row), 1 << 16):
+                        x, y = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
+                        total = np.zeros(len(x))
+                        for k in range(size):
+                            total += held[y, k] * asked[x, k]
+                        total /= norms[y] * q_norms[x]
+                        good = total > threshold
+                        out.append((part[x[good]], cs[y[good]], total[good]))
+        row, col, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        order = np.lexsort((-score, row))  # stable: equal scores stay in order of ids
+        row, col, score = row[order], col[order], score[order]
+        first = np.maximum.accumulate(np.where(np.diff(row, prepend=-1) != 0, np.arange(len(row)), 0))
+        best = np.arange(len(row)) - first < count
+        return pa.table([q.column("query_id").take(pa.array(row[best])), c.column("id").take(pa.array(col[best])), pa.array(score[best])], names=["query_id", "id", "similarity"])
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
+    return chunks.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+
+
+def ranked(scored: DataFrame, threshold: float, count: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return scored.filter(F.col("similarity") > threshold).withColumn("rank", rank).filter(F.col("rank") <= count)
+
+
+def match_documents_batch(chunks: DataFrame, queries: DataFrame, match_threshold: float = MATCH_THRESHOLD, match_count: int = MATCH_COUNT, slices: int | None = None, rows_per_slice: int = 4_000, rows_per_bucket: int = 20_000) -> DataFrame:
     """Top matches of many query rows (query_id, embedding): query_id, id, similarity, rank.
 
     Every chunk meets every query, in blocks of two sides: queries are dealt to slices of
     about ``rows_per_slice``, chunks to buckets of about ``rows_per_bucket``, and a task
-    holds one slice of queries and streams one bucket past it. So both the tasks and the
-    copies sent grow with the data, and none takes a whole table. Each task keeps a
-    query's best matches only. Ties go to the smaller id. Norms are computed once a row.
+    multiplies one slice with one bucket. So both the tasks and the copies sent grow with
+    the data, and none takes a whole table. Each block keeps a query's best matches only.
+    Ties go to the smaller id. Norms are computed once a row; copies of a vector beyond
+    the ``match_count`` smallest ids can't match and are left out first.
     """
     _checked(match_threshold, match_count)
     if slices is None:
         slices = max(1, -(-queries.count() // rows_per_slice))
     buckets = max(8, -(-chunks.count() // rows_per_bucket))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
-    q = q.groupBy("slice").agg(F.collect_list(F.struct("query_id", "q", "q_norm")).alias("asked")).withColumn("bucket", every(buckets))
-    c = chunks.select("id", "embedding", norm(F.col("embedding")).alias("norm"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
-    met = c.withColumn("slice", every(slices)).join(q, ["slice", "bucket"]).select("id", "embedding", "norm", F.explode("asked").alias("a"))
-    scored = met.select(F.col("a.query_id").alias("query_id"), "id", cosine(F.col("embedding"), F.col("a.q"), F.col("norm"), F.col("a.q_norm")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.filter(F.col("similarity") > match_threshold).withColumn("rank", rank).filter(F.col("rank") <= match_count)
+    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")).filter("q_norm > 0")
+    q = q.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("long")).withColumn("bucket", every(buckets))
+    c = nearest_ids(chunks.select("id", "embedding"), match_count).withColumn("norm", norm(F.col("embedding"))).filter("norm > 0")
+    c = c.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("long")).withColumn("slice", every(slices))
+    return ranked(block_matches(c, q, ["slice", "bucket"], match_threshold, match_count), match_threshold, match_count)
 
 
 def newest_first(rows: DataFrame, count: int, *ties: str, by: str = "created_at") -> DataFrame:

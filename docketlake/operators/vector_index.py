@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docketlake.functions.vector import cosine, norm
+from docketlake.functions.vector import norm
 from docketlake.operators import retrieval as M
 from docketlake.sources.folders import new_folder, remove_folder
 
@@ -135,64 +134,84 @@ class VectorIndex:
     def _shown(self, found: DataFrame) -> DataFrame:
         return found.drop("list", "angle")
 
-    def match_batch(self, queries: DataFrame, match_threshold: float = M.MATCH_THRESHOLD, match_count: int = M.MATCH_COUNT, probes: int | None = None, first: int = 4) -> DataFrame:
+    def match_batch(self, queries: DataFrame, match_threshold: float = M.MATCH_THRESHOLD, match_count: int = M.MATCH_COUNT, probes: int | None = None, first: int = 4, rows_per_block: int = 20_000, queries_per_slice: int = 4_000) -> DataFrame:
         """Top matches of many query rows (query_id, embedding): query_id, id, similarity, rank.
 
-        A query's row goes to the lists it has to read, which join it by list. Without
-        ``probes`` there are two rounds, as in ``match``: what the first finds bounds the
-        second. Queries of another length, and null and zero vectors, have no matches.
+        Lists lie in blocks of about ``rows_per_block`` rows, and a list with more rows in
+        some blocks of its own. A query goes once to each block with a list that it has to
+        read; blocks are searched as ``match_documents_batch`` does. Without ``probes``
+        there are two rounds, as in ``match``: what the first finds bounds the second.
+        With ``probes`` every list is a block at least, so no others are read. Queries of
+        another length, and null and zero vectors, have no matches.
         """
         M._checked(match_threshold, match_count)
         asked = queries.select("query_id", "embedding").filter(F.size("embedding") == self.length)
+        start, parts = _blocks(self.n, rows_per_block, apart=probes is not None)
+        slices = max(1, -(-asked.count() // queries_per_slice))
+        held = self._blocked(start, parts, slices, match_count)
+        scored = lambda visits: M.block_matches(held, visits, ["block", "slice"], match_threshold, match_count)
+        visits = lambda asked, done, stop: self._visits(asked, match_threshold, done, stop, start, parts, slices)
         if probes is not None:
-            return _ranked(self._scored(self._visits(asked, match_threshold, 0, probes)), match_threshold, match_count)
+            return M.ranked(scored(visits(asked, 0, probes)), match_threshold, match_count)
         folder = new_folder(self.spark, "index-matches")
-        found = _ranked(self._scored(self._visits(asked, match_threshold, 0, first)), match_threshold, match_count)
+        found = M.ranked(scored(visits(asked, 0, first)), match_threshold, match_count)
         found.write.parquet(folder)
         early = self.spark.read.schema(found.schema).parquet(folder)
         reached = early.filter(F.col("rank") == match_count).select("query_id", F.col("similarity").alias("least"))
-        again = asked.join(reached, "query_id", "left")
-        late = self._scored(self._visits(again, match_threshold, first, None))
-        return _ranked(late.unionByName(early.drop("rank")), match_threshold, match_count)
-
-    def _visits(self, asked: DataFrame, threshold: float, start: int, stop: int | None) -> DataFrame:
-        """A row a query and list: those of the places ``start`` to ``stop`` among its best lists.
-
-        Lists that cannot pass the threshold, or reach ``least`` where it is given, are left out.
+        late = scored(visits(asked.join(reached, "query_id", "left"), first, None))
+        return M.ranked(late.unionByName(early.drop("rank")), match_threshold, match_count)
+
+    def _blocked(self, start: np.ndarray, parts: np.ndarray, slices: int, count: int) -> DataFrame:
+        """The rows that can match (id, embedding, norm) by block, once for each slice of queries."""
+        placed = self.spark.createDataFrame([(k, int(a), int(n)) for k, (a, n) in enumerate(zip(start, parts))], "list int, start int, parts int")
+        rows = self.rows().select("id", "embedding", "list").join(F.broadcast(placed), "list")  # leaves out rows without a similarity
+        rows = M.nearest_ids(rows, count).withColumn("norm", norm(F.col("embedding")))
+        block = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+        return rows.select("id", "embedding", "norm", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+
+    def _visits(self, asked: DataFrame, threshold: float, done: int, stop: int | None, start: np.ndarray, parts: np.ndarray, slices: int) -> DataFrame:
+        """A row a query and block: those of the places ``done`` to ``stop`` among its best lists.
+
+        Lists that cannot pass the threshold, or reach ``least`` where it is given, are left
+        out, and so are the blocks of the first ``done`` lists, which were read.
         """
         if "least" not in asked.columns:
             asked = asked.withColumn("least", F.lit(None).cast("double"))
         centres, lo, hi = self.spark.sparkContext.broadcast(self.centres), self.lo, self.hi
+        blocks = int((start + parts).max()) if len(start) else 0
+
+        def places(row: np.ndarray, lists: np.ndarray) -> np.ndarray:
+            """row * blocks + block of each block of the lists."""
+            n = parts[lists]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            return np.unique(np.repeat(row * blocks + start[lists], n) + within)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                q = _matrix(batch.column("embedding"))
-                size = np.linalg.norm(q, axis=1)
-                good = np.flatnonzero(np.isfinite(size) & (size > 0))
-                if not len(good):
-                    continue
-                t = _angles((q[good] / size[good, None]) @ centres.value.T)
-                possible = _best_possible(t, lo, hi)
-                order = np.argsort(-possible, axis=1, kind="stable")[:, start:stop]
-                value = np.take_along_axis(possible, order, 1)
-                least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)[good]
-                able = (value + SLACK > threshold) & ~(value + SLACK < least[:, None])  # a missing least drops nothing
-                row, at = np.nonzero(able)
-                lists = order[row, at]
-                angle = np.take_along_axis(t, order, 1)[row, at]
-                reach = _angles(np.fmax(np.nan_to_num(least, nan=-1.0), threshold))[row] + SLACK
-                for a in range(0, len(row), 4096):  # a query's vector is sent to each of its lists
-                    b = a + 4096
-                    held = batch.select(["query_id", "embedding"]).take(pa.array(good[row[a:b]]))
-                    yield pa.RecordBatch.from_arrays([*held.columns, pa.array(lists[a:b].astype(np.int32)), pa.array(angle[a:b] - reach[a:b]), pa.array(angle[a:b] + reach[a:b])], names=["query_id", "q", "list", "from_angle", "to_angle"])
+            for whole in batches:
+                for at in range(0, len(whole), step := max(1, (1 << 21) // max(1, len(lo)))):
+                    batch = whole.slice(at, step)
+                    q = _matrix(batch.column("embedding"))
+                    size = np.linalg.norm(q, axis=1)
+                    good = np.flatnonzero(np.isfinite(size) & (size > 0))
+                    if not len(good):
+                        continue
+                    possible = _best_possible(_angles((q[good] / size[good, None]) @ centres.value.T), lo, hi)
+                    order = np.argsort(-possible, axis=1, kind="stable")[:, :stop]
+                    value = np.take_along_axis(possible, order, 1) + SLACK
+                    least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)[good]
+                    able = (value > threshold) & ~(value < least[:, None])  # a missing least drops nothing
+                    row, col = np.nonzero(able[:, done:])
+                    wanted = places(row, order[row, col + done])
+                    row, col = np.nonzero(value[:, :done] > threshold)
+                    wanted = np.setdiff1d(wanted, places(row, order[row, col]), assume_unique=True)
+                    for a in range(0, len(wanted), 4096):  # a query's vector is sent to each of its blocks
+                        row, block = np.divmod(wanted[a : a + 4096], blocks)
+                        sent = batch.select(["query_id", "embedding"]).take(pa.array(good[row]))
+                        yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(block.astype(np.int32))], names=["query_id", "q", "block"])
 
         kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
-        return asked.select("query_id", "embedding", "least").mapInArrow(run, f"query_id {kinds['query_id']}, q {kinds['embedding']}, list int, from_angle double, to_angle double")
-
-    def _scored(self, visits: DataFrame) -> DataFrame:
-        near = F.col("angle").between(F.col("from_angle"), F.col("to_angle"))
-        met = self.rows().select("id", "embedding", "list", "angle").join(visits, "list").filter(near)
-        return met.select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+        sent = asked.select("query_id", "embedding", "least").mapInArrow(run, f"query_id {kinds['query_id']}, q {kinds['embedding']}, block int")
+        return sent.withColumns({"q_norm": norm(F.col("q")), "slice": F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")})
 
     def add(self, rows: DataFrame) -> None:
         """New rows under the centres there are; bounds widen before the rows are there."""
@@ -206,9 +225,21 @@ def _best_possible(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(gap), np.cos(np.minimum(gap, math.pi)), -2.0)
 
 
-def _ranked(scored: DataFrame, threshold: float, count: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.filter(F.col("similarity") > threshold).withColumn("rank", rank).filter(F.col("rank") <= count)
+def _blocks(n: np.ndarray, rows: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each list: lists in order fill blocks of about ``rows``.
+
+    A list with more rows has blocks of its own; with ``apart`` every list has.
+    """
+    start, parts = np.zeros(len(n), np.int64), np.maximum(1, -(-n // rows))
+    at, room = -1, 0
+    for k, size in enumerate(n):
+        if apart or parts[k] > 1 or size > room:
+            at, room = at + 1, rows
+        start[k] = at
+        room -= size
+        if parts[k] > 1:
+            at, room = at + int(parts[k]) - 1, -1
+    return start, parts
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -8,10 +8,12 @@ are applied to the listing, so files that they exclude are never opened. A file
 content. The same source is a stream: a batch has the files changed since the last.
 
 Writing takes rows (path, content). Tasks write under a hidden staging folder of the
-job; the commit moves what the committed tasks name to its place, and an abort deletes
-the folder, so a failed task or job leaves no object. An object that is there already
-is left as it is where the bytes are the same, and is an error where they differ
-unless ``upsert`` is set; a job that runs again changes nothing.
+job, with a list of their objects beside these; what a task sends to the driver is the
+name of its folder. The commit moves what the committed tasks wrote to its place, and an
+abort deletes the folder, so a failed task or job leaves no object; a task that is late
+finds no folder to write to. ``upload`` compares and moves the objects in tasks. An
+object that is there already is left as it is where the bytes are the same, and is an
+error where they differ unless ``upsert`` is set; a job that runs again changes nothing.
 
 Paths are those of any file system that pyarrow opens.
 """
@@ -162,8 +164,7 @@ class FilesStream(DataSourceStreamReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    folder: str
-    objects: list[tuple[str, str]]  # staged name, path
+    folder: str  # of a task's objects and of the list of them
 
 
 def checked_path(path: str | None) -> str:
@@ -187,52 +188,96 @@ def _same(at: pafs.FileSystem, a: str, b: str) -> bool:
                 return True
 
 
+LISTED = pa.schema([("name", pa.string()), ("path", pa.string())])  # staged name, path
+
+
+def _objects(at: pafs.FileSystem, own: str) -> Iterator[pa.RecordBatch]:
+    """The objects of a task's folder, in batches."""
+    with at.open_input_stream(f"{own}/objects") as f, pa.ipc.open_stream(f) as held:
+        yield from held
+
+
+def _publish(at: pafs.FileSystem, folder: str, name: str, path: str) -> None:
+    """Moves a staged object to its place, unless its bytes are there; may run again."""
+    to = f"{folder}/{path}"
+    old, new = at.get_file_info([to, name])
+    there = old.type != pafs.FileType.NotFound
+    if there and (new.type == pafs.FileType.NotFound or _same(at, name, to)):
+        return
+    at.create_dir(posixpath.dirname(to), recursive=True)
+    at.move(name, to)
+
+
+def _differs(at: pafs.FileSystem, folder: str, name: str, path: str) -> bool:
+    """Whether other bytes are at the object's place."""
+    to = f"{folder}/{path}"
+    return at.get_file_info(to).type != pafs.FileType.NotFound and not _same(at, name, to)
+
+
+def _clear(at: pafs.FileSystem, staging: str) -> None:
+    """Deletes a staging folder; a task that still writes may add to it meanwhile, so some tries."""
+    for n in range(20):
+        if at.get_file_info(staging).type != pafs.FileType.Directory:
+            return
+        try:
+            at.delete_dir(staging)
+        except OSError:
+            if n == 19:
+                raise
+            time.sleep(0.05)
+
+
 class FilesWriter(DataSourceArrowWriter):
     def __init__(self, options, schema):
         self.path, self.upsert = options["path"], options.get("upsert", "false").lower() == "true"
-        self.staging = f"{STAGING}{uuid.uuid4().hex}"
+        self.staging, self.later = options.get("staging") or f"{STAGING}{uuid.uuid4().hex}", "staging" in options
         names = schema.fieldNames()
         if not {"path", "content"} <= set(names):
             raise ValueError("needs the columns path and content")
         self.at = names.index("path"), names.index("content")
+        at, folder = opened(self.path)
+        at.create_dir(f"{folder}/{self.staging}", recursive=True)
 
     def write(self, iterator) -> Staged:
         at, folder = opened(self.path)
-        own, objects = f"{folder}/{self.staging}/{uuid.uuid4().hex}", []
-        at.create_dir(own, recursive=True)
-        for batch in iterator:
-            for path, content in zip(batch.column(self.at[0]), batch.column(self.at[1])):
-                to = checked_path(path.as_py())
-                name = f"{own}/{len(objects)}"
-                with at.open_output_stream(name) as out:
-                    out.write(content.as_buffer() if content.is_valid else b"")
-                objects.append((name, to))
-        return Staged(own, objects)
+        own, n = f"{folder}/{self.staging}/{uuid.uuid4().hex}", 0
+        at.create_dir(own, recursive=False)  # an error once the job has given up
+        with at.open_output_stream(f"{own}/objects") as f, pa.ipc.new_stream(f, LISTED) as told:
+            for batch in iterator:
+                objects: list[tuple[str, str]] = []
+                for path, content in zip(batch.column(self.at[0]), batch.column(self.at[1])):
+                    to = checked_path(path.as_py())
+                    name = f"{own}/{n}"
+                    with at.open_output_stream(name) as out:
+                        out.write(content.as_buffer() if content.is_valid else b"")
+                    objects.append((name, to))
+                    n += 1
+                told.write_batch(pa.RecordBatch.from_arrays([pa.array([o[k] for o in objects], pa.string()) for k in (0, 1)], schema=LISTED))
+        return Staged(own)
 
     def commit(self, messages) -> None:
         at, folder = opened(self.path)
-        objects = [o for m in messages if m for o in m.objects]
+        if self.later:  # upload goes on from here
+            with at.open_output_stream(f"{folder}/{self.staging}/committed") as out:
+                out.write("\n".join(m.folder for m in messages if m).encode())
+            return
         try:
-            if len({to for _, to in objects}) < len(objects):
-                raise ValueError("a path is written twice")
-            there = {f.path for f in listed(self.path)} if objects else set()
-            kept = {to for name, to in objects if to in there and _same(at, name, f"{folder}/{to}")}
-            clash = [to for _, to in objects if to in there and to not in kept]
-            if clash and not self.upsert:
-                raise FileExistsError(f"The resource already exists: {clash[0]}")
-            for name, to in objects:
-                if to not in kept:
-                    at.create_dir(posixpath.dirname(f"{folder}/{to}"), recursive=True)
-                    at.move(name, f"{folder}/{to}")
+            seen: set[str] = set()
+            staged = lambda: ((o["name"], o["path"]) for m in messages if m for b in _objects(at, m.folder) for o in b.to_pylist())
+            for name, to in staged():
+                if to in seen:
+                    raise ValueError("a path is written twice")
+                seen.add(to)
+                if not self.upsert and _differs(at, folder, name, to):
+                    raise FileExistsError(f"The resource already exists: {to}")
+            for name, to in staged():
+                _publish(at, folder, name, to)
         finally:
-            self._clear(at, folder)
+            _clear(at, f"{folder}/{self.staging}")
 
     def abort(self, messages) -> None:
-        self._clear(*opened(self.path))
-
-    def _clear(self, at: pafs.FileSystem, folder: str) -> None:
-        if at.get_file_info(f"{folder}/{self.staging}").type == pafs.FileType.Directory:
-            at.delete_dir(f"{folder}/{self.staging}")
+        at, folder = opened(self.path)
+        _clear(at, f"{folder}/{self.staging}")
 
 
 class StoredFiles(DataSource):
@@ -266,9 +311,47 @@ def stored_files(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def upload(objects: DataFrame, path: str, upsert: bool = False) -> None:
-    """Writes rows (path, content) as objects below ``path``, all of them or none."""
-    register(objects.sparkSession)
-    objects.select("path", "content").write.format("stored_files").option("upsert", str(upsert)).mode("append").save(path)
+    """Writes rows (path, content) as objects below ``path``, all of them or none.
+
+    Objects are staged, compared and moved in tasks; the driver gets a folder's name of each task.
+    """
+    spark, staging = objects.sparkSession, f"{STAGING}{uuid.uuid4().hex}"
+    register(spark)
+    at, folder = opened(path)
+    try:
+        objects.select("path", "content").write.format("stored_files").option("staging", staging).mode("append").save(path)
+        with at.open_input_stream(f"{folder}/{staging}/committed") as f:
+            tasks = [(own,) for own in f.read().decode().split("\n") if own]
+        if not tasks:
+            return
+
+        def staged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own in batch.column(0).to_pylist():
+                    yield from _objects(opened(path)[0], own)
+
+        rows = spark.createDataFrame(tasks, "own string").repartitionByRange(len(tasks), "own").mapInArrow(staged, "name string, path string")
+        if rows.groupBy("path").count().filter("count > 1").limit(1).collect():
+            raise ValueError("a path is written twice")
+
+        def clashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, folder = opened(path)
+            for batch in batches:
+                yield batch.filter(pa.array([_differs(at, folder, o["name"], o["path"]) for o in batch.to_pylist()], pa.bool_()))
+
+        if not upsert and (clash := rows.mapInArrow(clashing, rows.schema).limit(1).collect()):
+            raise FileExistsError(f"The resource already exists: {clash[0]['path']}")
+
+        def moving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, folder = opened(path)
+            for batch in batches:
+                for o in batch.to_pylist():
+                    _publish(at, folder, o["name"], o["path"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+        rows.mapInArrow(moving, "n long").agg(F.sum("n")).collect()
+    finally:
+        _clear(at, f"{folder}/{staging}")
 
 
 def remove(path: str, wanted: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketlake.llm.common import integral, text_slices, written
+from docketlake.llm.common import integral, releasing, text_slices, written
 from docketlake.llm.exact_dedup import block_filter, passing
 from docketlake.llm.shingles import mixed, shingle_set
 
@@ -64,7 +64,7 @@ def set_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                     own.append(_set_id(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["id", "n", "set_id"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, set_id binary")
+    return _texts(docs, id_col, text_col).mapInArrow(releasing(run), "id long, n long, set_id binary")
 
 
 def _least(n: np.ndarray | int, percent: int):
@@ -148,7 +148,7 @@ def _packed_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, perc
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["bucket", "ids", "counts", "tokens"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, _PACKED)
+    return _texts(docs, id_col, text_col).mapInArrow(releasing(run), _PACKED)
 
 
 def _in_other_sets(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def _repeated(packed: DataFrame) -> DataFrame:
             yield out(sums)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "set_id binary, repeated long").groupBy("set_id").agg(F.sum("repeated").alias("repeated"))
+    return dealt.mapInArrow(releasing(run), "set_id binary, repeated long").groupBy("set_id").agg(F.sum("repeated").alias("repeated"))
 
 
 def _arrays(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _arrays(texts: DataFrame, words: int, percent: int) -> DataFrame:
                         c.append((np.sort(mixed(s, seed))[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int64())), *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=["set_id", "tokens", "o2", "o3"])
 
-    return texts.select("text").mapInArrow(run, "set_id binary, tokens array<long>, o2 array<int>, o3 array<int>")
+    return texts.select("text").mapInArrow(releasing(run), "set_id binary, tokens array<long>, o2 array<int>, o3 array<int>")
 
 
 def linked_components(links: DataFrame, label: str = "components") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketlake.llm.common import text_slices
+from docketlake.llm.common import releasing, text_slices
 from docketlake.llm.subwords import chunk_encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_i
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(cut), PIECES)
 
 
 Pattern = tuple[tuple[int, int], ...]  # runs of equal lengths: (length, how many)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import text_slices
+from docketlake.llm.common import releasing, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"{k}_like" for k in KINDS)
@@ -673,7 +673,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(spans, kind), pa.array(cleaned, pa.string())], names=[id_col, "spans", "redacted"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, `end`: bigint, base: boolean>>, redacted string"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(releasing(run), schema)
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -692,7 +692,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 clean = [redact(x, find_spans(x, field)[1]) if ok else None for x, ok in zip(texts, there)]
                 yield part.set_column(at_text, part.schema.field(at_text), pa.array(clean, part.schema.field(at_text).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

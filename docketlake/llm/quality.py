@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import text_slices
+from docketlake.llm.common import releasing, text_slices
 
 CHUNK, OVERLAP, STRIDE, EMBED, FILTERS = 512, 64, 4, 8, 16
 WIDTH = 2 * STRIDE
@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", tex
             for at, texts in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(net.score(texts), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def keep_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text", leas
                 if kept.any():
                     yield batch.slice(at, len(texts)).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -2,23 +2,47 @@
 
 A text is cut at spaces, tabs and line ends. For tokenizers that drop white
 space, the ids of a text are the ids of these chunks in order, so each distinct
-chunk is encoded once and then taken from a memo of bounded size.
+chunk is encoded once and then taken from a memo of bounded size. Where the
+tokenizer splits texts into words as ``SPLIT`` says, texts of Latin-1 characters are
+cut into these words at once: there are fewer of them than chunks, as a word stands
+beside many marks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
+
 #: White space of Unicode, as the tokenizer's normalizer and splitter know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD = re.compile("[\x1c-\x1f\u0300-\u036f]")
 _CUT = re.compile("[\t\n\r ]+")
 
+#: How a tokenizer normalizes and splits texts if ``words_of`` gives its words.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _latin(kind: Callable[[str], bool]) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(256)) if kind(c))
+
+
+_L, _N = (_latin(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
+_REST = _latin(lambda c: c not in "\t\n\x0b\x0c\r \x85\xa0" and unicodedata.category(c)[0] not in "LN")
+#: A word of Latin-1 characters, which composition leaves as they are.
+WORD = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[{_REST}]+")
+
 
 def chunks_of(text: str) -> list[str]:
     """The chunks of a text; A-Z are lower-cased where that changes no id.
@@ -33,6 +57,24 @@ def chunks_of(text: str) -> list[str]:
     return (text.lower() if text.isascii() else text.encode("utf-8", "replace").lower().decode("utf-8")).split()
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text of Latin-1 characters; the chunks of any other.
+
+    Texts with special tokens such as <|endoftext|> are cut into chunks.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return chunks_of(text)
+    return chunks_of(text) if "<|" in text else WORD.findall(text.lower())
+
+
+def cut_by(spec: dict) -> Callable[[str], list[str]]:
+    """``words_of`` if a tokenizer's file splits texts into these words, ``chunks_of`` if not."""
+    normal, split = ((spec.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return words_of if normal == NORMAL and split == SPLIT and all("<|" in t["content"] for t in spec["added_tokens"]) else chunks_of
+
+
 def parts_of(text: str, chars: int = 1_000_000) -> Iterator[tuple[int, int, bool]]:
     """(begin, end, cut) of parts of about ``chars``, each ending at white space or the end.
 
@@ -65,8 +107,8 @@ def oldest_half(held: dict) -> dict:
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The memo holds at most ``memo`` chunks besides those of one slice of texts;
-    chunks over ``longest`` characters are never held.
+    The memo holds at most ``memo`` words or chunks besides those of one slice of texts;
+    any over ``longest`` characters are never held.
     """
 
     def __init__(self, path: str, memo: int = 400_000, longest: int = 64):
@@ -76,18 +118,37 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cut, suffix = cut_by(spec), spec["model"].get("end_of_word_suffix")
+        vocab = spec["model"]["vocab"]
+        #: whether an id ends a word
+        self.ends = np.zeros(1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]), bool)
+        self.ends[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo, self.longest, self.held = memo, longest, {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, encoded as one text and cut after the ids that end words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(words):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[chunks_of(s) for s in segments(x)] if len(x) > 1_000_000 else [chunks_of(x)] for x in texts]
+        cut = self.cut
+        parts = [[cut(s) for s in segments(x)] if len(x) > 1_000_000 else [cut(x)] for x in texts]
         held = self.held
         new = list({c for x in parts for p in x for c in p if c not in held})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            held.update(zip(some, self._ids(some)))
+        words = [c for c in new if WORD.fullmatch(c)] if cut is words_of else []
+        single = set(words)
+        for some, ids in ((words, self._word_ids), ([c for c in new if c not in single], self._ids)):
+            for at in range(0, len(some), 20_000):
+                held.update(zip(some[at : at + 20_000], ids(some[at : at + 20_000])))
         get = held.__getitem__
         out = [b"".join([b"".join(map(get, p)) for p in x]) for x in parts]
         for c in new:

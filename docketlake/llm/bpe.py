@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.common import text_slices
-from docketlake.llm.subwords import WHITE, chunks_of, oldest_half, parts_of
+from docketlake.llm.subwords import WHITE, cut_by, oldest_half, parts_of
 
 #: The splitting pattern of the vocabulary, without its white space.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -99,6 +99,7 @@ class BpeModel:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        self.cut = cut_by(spec)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = {self._inner(t): k for t, k in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -398,16 +399,17 @@ class BpeCodec:
             if not cut:
                 yield from self._parts(text, a, b)
                 continue
-            chunks, held = chunks_of(text if b - a == len(text) else text[a:b]), self.held
+            chunks, held = self.model.cut(text if b - a == len(text) else text[a:b]), self.held
             for c in set(chunks).difference(held):
                 if len(c) <= self.longest:
                     held[c] = self._entry(c)
             try:
-                found = [held[c] for c in chunks]
+                found = [x for x in map(held.__getitem__, chunks) if x[0]]
             except KeyError:
-                found = [held[c] if c in held else self._entry(c) for c in chunks]
-            if found := [x for x in found if x[0]]:
-                yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]), b"".join([x[2] for x in found])
+                found = [x for x in (held[c] if c in held else self._entry(c) for c in chunks) if x[0]]
+            if found:
+                ids, shown, running = zip(*found)
+                yield b"".join(ids), b" ".join(shown), b"".join(running)
             if len(held) > self.memo:
                 self.held = oldest_half(held)
 

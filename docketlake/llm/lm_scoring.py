@@ -38,6 +38,20 @@ LOG10 = math.log(10)
 SLICE = 512  # ids whose embeddings travel together
 
 
+def _exp(x: np.ndarray, there: np.ndarray | None = None) -> None:
+    """exp of ``x`` in its place, up to a factor a row (of the last axis), which keeps it in range.
+
+    Places that are not ``there`` become 0.
+    """
+    if x.max() > 60 or x.min() < -60:
+        if there is not None:
+            np.copyto(x, np.float32(-1e9), where=~there)
+        x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    if there is not None:
+        x *= there
+
+
 class AttentionModel:
     """Weights of the layer; see ``tables`` for what scoring uses of them."""
 
@@ -96,37 +110,56 @@ class AttentionModel:
         return np.bincount(ids, minlength=self.v)
 
     def _step(self, tokens: np.ndarray, lens: np.ndarray, rate: float) -> None:
-        p = self.p
+        """One batch. Matrices that meet the same rows lie side by side, so each product is made
+        once: an id's query, key, value and a one; a place's attended value, embedding and a one.
+
+        Attention stays unnormalized (``s``): its sums come with the values, by the column of
+        ones, and the backward pass takes them with the gradients of what was attended.
+        """
+        p, (n, t) = self.p, (len(tokens), WINDOW)
         far, masked = self.distances()
-        ok = np.arange(WINDOW)[None, :] < lens[:, None] - 1
-        inp, want = tokens[:, :-1], self.classes[tokens[:, 1:]]
-        x = p["x"][inp]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["val"]
-        s = q @ k.transpose(0, 2, 1) * KEY**-0.5 + p["rel"][far]
-        s[:, masked] = -1e9
-        s = np.exp(s - s.max(2, keepdims=True))
-        s /= s.sum(2, keepdims=True)
-        a = s @ v
-        z = a @ p["out"] + x @ p["direct"] + p["bias"]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        d = z
-        np.put_along_axis(d, want[:, :, None], np.take_along_axis(d, want[:, :, None], 2) - 1, 2)
-        d *= ok[:, :, None] / np.float32(max(1, len(tokens)))
-        d2, x2 = d.reshape(-1, CLASSES), x.reshape(-1, WIDTH)
-        g = {"out": a.reshape(-1, WIDTH).T @ d2, "direct": x2.T @ d2, "bias": d2.sum(0)}
-        da = d @ p["out"].T
-        dp = da @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = s * (dp - (dp * s).sum(2, keepdims=True))
-        g["rel"] = np.bincount(far[~masked], ds.sum(0)[~masked], WINDOW).astype(np.float32)
-        ds *= KEY**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["val"] = x2.T @ dq.reshape(-1, KEY), x2.T @ dk.reshape(-1, KEY), x2.T @ dv.reshape(-1, WIDTH)
-        dx = (d @ p["direct"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["val"].T).reshape(-1, WIDTH)
-        ids, order = inp.reshape(-1), np.argsort(inp.reshape(-1), kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-        rows, gx = ids[order][edge], np.add.reduceat(dx[order], edge)
+        ok = ((np.arange(t) < lens[:, None] - 1) / np.float32(max(1, n))).astype(np.float32).reshape(-1)
+        inp, want = tokens[:, :-1].reshape(-1), self.classes[tokens[:, 1:].reshape(-1)]
+        scale, value = np.float32(KEY**-0.5), 2 * KEY
+        own = np.concatenate([p["q"] * scale, p["k"], p["val"]], axis=1)
+        top = np.concatenate([p["out"], p["direct"], p["bias"][None, :]])
+        y = np.ones((n * t, 2 * WIDTH + 1), np.float32)
+        x = p["x"].take(inp, axis=0)
+        y[:, WIDTH:-1] = x
+        h = np.ones((n, t, value + WIDTH + 1), np.float32)
+        h[:, :, :-1] = (x @ own).reshape(n, t, -1)
+        q, k, v = h[:, :, :KEY], h[:, :, KEY:value], h[:, :, value:]
+        s = q @ k.transpose(0, 2, 1)
+        s += p["rel"][far]
+        _exp(s, ~masked)
+        a = (s @ v).reshape(n * t, -1)
+        total = a[:, -1:]
+        y[:, :WIDTH] = a[:, :-1] / total
+        d = y @ top
+        _exp(d)
+        d *= (ok / (d @ np.ones(CLASSES, np.float32)))[:, None]
+        d.reshape(-1)[np.arange(n * t) * CLASSES + want] -= ok
+        g_top, dy = y.T @ d, d @ top[:-1].T
+        da = np.empty((n * t, WIDTH + 1), np.float32)
+        np.divide(dy[:, :WIDTH], total, out=da[:, :-1])
+        np.negative(np.einsum("ij,ij->i", da[:, :-1], y[:, :WIDTH]), out=da[:, -1])
+        da = da.reshape(n, t, -1)
+        dh = np.empty((n, t, value + WIDTH), np.float32)
+        dh[:, :, value:] = s.transpose(0, 2, 1) @ da[:, :, :-1]
+        s *= da @ v.transpose(0, 2, 1)  # now the gradients of what exp was taken of
+        dh[:, :, :KEY], dh[:, :, KEY:value] = s @ k, s.transpose(0, 2, 1) @ q
+        dh = dh.reshape(n * t, -1)
+        g_own = x.T @ dh
+        g = {
+            "out": g_top[:WIDTH], "direct": g_top[WIDTH:-1], "bias": g_top[-1], "rel": np.bincount(far.reshape(-1), s.sum(0).reshape(-1), WINDOW).astype(np.float32),
+            "q": g_own[:, :KEY] * scale, "k": g_own[:, KEY:value], "val": g_own[:, value:],
+        }
+        dx = dh @ own.T
+        dx += dy[:, WIDTH:]
+        order = np.argsort(inp.astype(np.uint16), kind="stable")
+        ids = inp[order]
+        edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows, gx = ids[edge], np.add.reduceat(dx.take(order, axis=0), edge)
         self.sums["x"][rows] += gx * gx
         p["x"][rows] -= rate * gx / np.sqrt(self.sums["x"][rows])
         for name, w in g.items():
@@ -188,6 +221,7 @@ def attention_scores(ids: list[np.ndarray], t: dict[str, np.ndarray], start: int
     # logits that no text can bring near overflow need no shift before exp
     most = lambda x: float(np.abs(x).max())
     value = 2 * KEY  # an id's row holds its query, key, value and embedding
+    head, tail = np.ones((WINDOW, 1), np.float32), np.ones(CLASSES, np.float32)  # sums as products, which are faster than sums of short rows
     small = most(t["rows"][:, :KEY]) * most(t["rows"][:, KEY:value]) * KEY + most(t["rel"]) < 60 and most(t["rows"][:, value:]) * most(t["top"]) * 2 * WIDTH + most(t["bias"]) < 60
     for k in range(0, len(doc), block):
         own, w = doc[k : k + block], nth[k : k + block]
@@ -200,16 +234,17 @@ def attention_scores(ids: list[np.ndarray], t: dict[str, np.ndarray], start: int
         if not small:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        x[:, :, value : value + WIDTH] = s @ x[:, :, value : value + WIDTH]
+        attended = s @ x[:, :, value : value + WIDTH]
+        attended /= s.reshape(-1, WINDOW).dot(head).reshape(*inp.shape, 1)
+        x[:, :, value : value + WIDTH] = attended
         z = x.reshape(-1, value + 2 * WIDTH)[:, value:] @ t["top"]
         z += t["bias"]
         z = z.reshape(*inp.shape, CLASSES)
         if not small:
             z -= z.max(2, keepdims=True)
-        want = np.take_along_axis(z, t["class"][nxt][:, :, None], 2)[:, :, 0]
+        want = z.take(np.arange(inp.size).reshape(inp.shape) * CLASSES + t["class"].take(nxt))
         np.exp(z, out=z)
-        logp = want - np.log(z.sum(2)) + t["within"][t["class"][inp], nxt]
+        logp = want - np.log(z.reshape(-1, CLASSES).dot(tail)).reshape(inp.shape) + t["within"].take(t["class"].take(inp) * t["within"].shape[1] + nxt)
         # all of a text's first window counts, then what lies beyond the overlap
         used = (at[:, None] + place < lens[own][:, None]) & ((w == 0)[:, None] | (place >= WINDOW - STRIDE))
         out += np.bincount(own, np.where(used, logp, 0).sum(1), len(ids))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketlake.llm.common import integral, releasing, text_slices, written
+from docketlake.llm.common import freed_shuffles, integral, releasing, text_slices, written
 from docketlake.llm.exact_dedup import block_filter, passing
 from docketlake.llm.shingles import mixed, shingle_set
 
@@ -255,15 +255,22 @@ def linked_components(links: DataFrame, label: str = "components") -> DataFrame:
     return comps.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
 
 
+def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that a block filter of the pairs' ids can't rule out."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("digest", F.col("id").cast("string"))
+    return passing(sets.withColumn("digest", F.col("id").cast("string")), block_filter(ids), True).drop("digest")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs that share prefix tokens under each order and are similar.
 
     The prefixes under the further orders are intersected first; only what is left
-    meets its sets' tokens.
+    meets its sets' tokens, and tokens of other sets are not sent.
     """
     side = lambda s, *cols: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", *cols)])
     both = lambda rows, *cols: rows.join(side("x", *cols), F.col("a") == F.col("x_id")).join(side("y", *cols), F.col("b") == F.col("y_id"))
-    near = both(pairs, "o2", "o3").filter(F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")).select("a", "b")
+    near = written(both(pairs, "o2", "o3").filter(F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")).select("a", "b"), "near")
+    sets = _sets_of(near, sets)
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     return both(near, "n", "tokens").withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
 
@@ -316,7 +323,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = classes.select("set_id", F.col("rep").alias("component_id"), "n_class")
     if total:
         buckets = max(1, math.ceil(total * 0.3 / tokens_per_bucket)) * 8
-        comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds)
+        with freed_shuffles(docs.sparkSession):
+            comps = _set_components(docs, classes, id_col, text_col, words, percent, buckets, pivots, rounds)
         if comps is not None:
             names = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_id", "component_id")
             labelled = labelled.withColumnRenamed("component_id", "own").join(names, "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"), "n_class")
@@ -334,7 +342,8 @@ def _set_components(docs, classes, id_col, text_col, words, percent, buckets, pi
     alive = written(alive.select("set_id", F.monotonically_increasing_id().alias("id"), "n", "rep", F.col("rep").cast("string").alias("digest")), "alive")
     tagged = _texts(docs, id_col, text_col).withColumn("digest", F.col("id").cast("string"))
     texts = passing(tagged, block_filter(alive), True).join(alive.select(F.col("rep").alias("id")).distinct(), "id")
-    sets = _arrays(texts, words, percent).join(alive.select("set_id", "id", "n"), "set_id").drop("set_id").dropDuplicates(["id"])
+    # copies go before the join, so that tokens are sent once
+    sets = _arrays(texts, words, percent).dropDuplicates(["set_id"]).join(alive.select("set_id", "id", "n"), "set_id").drop("set_id")
     sets = written(sets, "sets")
 
     tokens = sets.select("id", "n", F.explode("tokens").alias("token"))

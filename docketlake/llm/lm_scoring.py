@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import text_slices, written
-from docketlake.llm.shingles import mixed, word_hashes
+from docketlake.llm.common import releasing, text_slices, written
+from docketlake.llm.shingles import distinct_hashes, mixed
 from docketlake.llm.subwords import chunk_encoder
 
 WINDOW, STRIDE, WIDTH, KEY, CLASSES = 32, 28, 16, 8, 48
 LOG10 = math.log(10)
 SLICE = 512  # ids whose embeddings travel together
+_ONES = np.ones(CLASSES, np.float32)
 
 
 def _exp(x: np.ndarray, there: np.ndarray | None = None) -> None:
@@ -52,6 +53,34 @@ def _exp(x: np.ndarray, there: np.ndarray | None = None) -> None:
         x *= there
 
 
+_PLACES = np.arange(WINDOW)
+_BACK = _PLACES[:, None] - _PLACES[None, :]
+_AFTER, _BACK = _BACK < 0, np.maximum(_BACK, 0)
+_ROOM: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int) -> np.ndarray:
+    """An array of this shape with any content. Those of a name share their memory, which stays
+    with the worker, as mapping it anew for each block costs time."""
+    size = math.prod(shape)
+    if name not in _ROOM or _ROOM[name].size < size:
+        _ROOM[name] = np.empty(size, np.float32)
+    return _ROOM[name][:size].reshape(shape)
+
+
+def _exp_back(s: np.ndarray, rel: np.ndarray, first: int = 0) -> None:
+    """exp of ``s`` plus what ``rel`` gives for the distance, up to a factor a row; 0 for later places.
+
+    ``s`` has the places from ``first`` on, against all.
+    """
+    if max(s.max(), -s.min()) + np.abs(rel).max() < 60:
+        np.exp(s, out=s)
+        s *= np.where(_AFTER, np.float32(0), np.exp(rel)[_BACK])[first:]
+    else:
+        s += rel[_BACK][first:]
+        _exp(s, ~_AFTER[first:])
+
+
 class AttentionModel:
     """Weights of the layer; see ``tables`` for what scoring uses of them."""
 
@@ -68,10 +97,6 @@ class AttentionModel:
         #: running sums of squared gradients
         self.sums = {k: np.full_like(w, 1e-4) for k, w in self.p.items()}
 
-    def distances(self) -> tuple[np.ndarray, np.ndarray]:
-        d = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        return np.maximum(d, 0), d < 0
-
     def set_classes(self, near: np.ndarray, rounds: int = 12, seed: int = 7) -> None:
         """Clusters ids by their counts in contexts (contexts x ids); also the first embeddings."""
         count = near.sum(0)
@@ -117,7 +142,6 @@ class AttentionModel:
         ones, and the backward pass takes them with the gradients of what was attended.
         """
         p, (n, t) = self.p, (len(tokens), WINDOW)
-        far, masked = self.distances()
         ok = ((np.arange(t) < lens[:, None] - 1) / np.float32(max(1, n))).astype(np.float32).reshape(-1)
         inp, want = tokens[:, :-1].reshape(-1), self.classes[tokens[:, 1:].reshape(-1)]
         scale, value = np.float32(KEY**-0.5), 2 * KEY
@@ -130,8 +154,7 @@ class AttentionModel:
         h[:, :, :-1] = (x @ own).reshape(n, t, -1)
         q, k, v = h[:, :, :KEY], h[:, :, KEY:value], h[:, :, value:]
         s = q @ k.transpose(0, 2, 1)
-        s += p["rel"][far]
-        _exp(s, ~masked)
+        _exp_back(s, p["rel"])
         a = (s @ v).reshape(n * t, -1)
         total = a[:, -1:]
         y[:, :WIDTH] = a[:, :-1] / total
@@ -151,7 +174,7 @@ class AttentionModel:
         dh = dh.reshape(n * t, -1)
         g_own = x.T @ dh
         g = {
-            "out": g_top[:WIDTH], "direct": g_top[WIDTH:-1], "bias": g_top[-1], "rel": np.bincount(far.reshape(-1), s.sum(0).reshape(-1), WINDOW).astype(np.float32),
+            "out": g_top[:WIDTH], "direct": g_top[WIDTH:-1], "bias": g_top[-1], "rel": np.bincount(_BACK.reshape(-1), s.sum(0).reshape(-1), WINDOW).astype(np.float32),
             "q": g_own[:, :KEY] * scale, "k": g_own[:, KEY:value], "val": g_own[:, value:],
         }
         dx = dh @ own.T
@@ -206,51 +229,53 @@ class AttentionModel:
         }
 
 
-def attention_scores(ids: list[np.ndarray], t: dict[str, np.ndarray], start: int, end: int, block: int = 256) -> np.ndarray:
-    """log10 probability of each text, its end included; overlapping windows in batches."""
+def attention_scores(ids: list[np.ndarray], t: dict[str, np.ndarray], start: int, end: int, block: int = 128) -> np.ndarray:
+    """log10 probability of each text, its end included; overlapping windows in blocks.
+
+    All of a text's first window counts, then what lies beyond the overlap: other places are not computed.
+    """
     lens = np.array([len(x) + 1 for x in ids])
     gaps = np.zeros(WINDOW + 1, np.int64)
     flat = np.concatenate([y for x in ids for y in ([start], x.astype(np.int64), [end])] + [gaps])
     base = np.cumsum(lens + 1) - lens - 1
-    n = 1 + np.maximum(0, -(-(lens - WINDOW) // STRIDE))
+    n = np.maximum(0, -(-(lens - WINDOW) // STRIDE))
     doc = np.repeat(np.arange(len(ids)), n)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    d = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    rel = np.where(d < 0, np.float32(-1e9), t["rel"][np.maximum(d, 0)]).astype(np.float32)
-    out, place = np.zeros(len(ids)), np.arange(WINDOW)
-    # logits that no text can bring near overflow need no shift before exp
-    most = lambda x: float(np.abs(x).max())
+    at = (1 + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    out = np.zeros(len(ids))
+    top = np.concatenate([t["top"][WIDTH:], t["bias"][None, :], t["top"][:WIDTH]])
     value = 2 * KEY  # an id's row holds its query, key, value and embedding
-    head, tail = np.ones((WINDOW, 1), np.float32), np.ones(CLASSES, np.float32)  # sums as products, which are faster than sums of short rows
-    small = most(t["rows"][:, :KEY]) * most(t["rows"][:, KEY:value]) * KEY + most(t["rel"]) < 60 and most(t["rows"][:, value:]) * most(t["top"]) * 2 * WIDTH + most(t["bias"]) < 60
-    for k in range(0, len(doc), block):
-        own, w = doc[k : k + block], nth[k : k + block]
-        at = w * STRIDE
-        tokens = flat[(base[own] + at)[:, None] + np.arange(WINDOW + 1)[None, :]]
-        inp, nxt = tokens[:, :-1], tokens[:, 1:]
-        x = t["rows"].take(inp, axis=0)
-        s = x[:, :, :KEY] @ x[:, :, KEY:value].transpose(0, 2, 1)
-        s += rel
-        if not small:
-            s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        attended = s @ x[:, :, value : value + WIDTH]
-        attended /= s.reshape(-1, WINDOW).dot(head).reshape(*inp.shape, 1)
-        x[:, :, value : value + WIDTH] = attended
-        z = x.reshape(-1, value + 2 * WIDTH)[:, value:] @ t["top"]
-        z += t["bias"]
-        z = z.reshape(*inp.shape, CLASSES)
-        if not small:
-            z -= z.max(2, keepdims=True)
-        want = z.take(np.arange(inp.size).reshape(inp.shape) * CLASSES + t["class"].take(nxt))
-        np.exp(z, out=z)
-        logp = want - np.log(z.reshape(-1, CLASSES).dot(tail)).reshape(inp.shape) + t["within"].take(t["class"].take(inp) * t["within"].shape[1] + nxt)
-        # all of a text's first window counts, then what lies beyond the overlap
-        used = (at[:, None] + place < lens[own][:, None]) & ((w == 0)[:, None] | (place >= WINDOW - STRIDE))
-        out += np.bincount(own, np.where(used, logp, 0).sum(1), len(ids))
+    for own, begin, first in ((np.arange(len(ids)), np.zeros(len(ids), np.int64), 0), (doc, at, WINDOW - STRIDE)):
+        places = np.arange(first, WINDOW)
+        for k in range(0, len(own), block):
+            some, lead = own[k : k + block], begin[k : k + block]
+            tokens = flat[(base[some] + lead)[:, None] + np.arange(WINDOW + 1)]
+            used = lead[:, None] + places < lens[some][:, None]
+            out += np.bincount(some, np.where(used, _log_shares(tokens, t, top, first, value), 0).sum(1), len(ids))
     return out / LOG10
 
 
+def _log_shares(tokens: np.ndarray, t: dict[str, np.ndarray], top: np.ndarray, first: int, value: int) -> np.ndarray:
+    """Log probabilities of the ids of windows after their places from ``first`` on."""
+    n, size = len(tokens), WINDOW - first
+    m = n * size
+    inp, nxt, now = tokens[:, :-1], tokens[:, first + 1 :], tokens[:, first:-1]
+    h = t["rows"].take(inp, axis=0, out=_room("h", n, WINDOW, value + 2 * WIDTH), mode="clip")
+    s = np.matmul(h[:, first:, :KEY], h[:, :, KEY:value].transpose(0, 2, 1), out=_room("s", n, size, WINDOW))
+    _exp_back(s, t["rel"], first)
+    a = np.matmul(s, h[:, :, value : value + WIDTH], out=_room("a", n, size, WIDTH))
+    a *= 1 / s.reshape(m, WINDOW).dot(_ONES[:WINDOW]).reshape(n, size, 1)
+    y = _room("y", n, size, 2 * WIDTH + 1)
+    y[:, :, :WIDTH], y[:, :, WIDTH], y[:, :, WIDTH + 1 :] = h[:, first:, value + WIDTH :], 1, a
+    z = np.matmul(y.reshape(m, -1), top, out=_room("d", m, CLASSES))
+    want = z.take(np.arange(0, m * CLASSES, CLASSES).reshape(n, size) + t["class"].take(nxt))
+    if max(z.max(), -z.min()) >= 60:
+        most = z.max(1, keepdims=True)
+        z -= most
+        want -= most.reshape(n, size)
+    np.exp(z, out=z)
+    return want - np.log(z.dot(_ONES)).reshape(n, size) + t["within"].take(t["class"].take(now) * t["within"].shape[1] + nxt)
+
+
 def subword_ids(docs: DataFrame, tokenizer_path: str, common: np.ndarray, common_log: np.ndarray, memo: int) -> DataFrame:
     """``docs`` (id, learn, text) with key, n_words, sums over common words, the rarer words and ids in place of text.
 
@@ -261,24 +286,22 @@ def subword_ids(docs: DataFrame, tokenizer_path: str, common: np.ndarray, common
         encoder = chunk_encoder(tokenizer_path, memo)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at, texts in text_slices(batch, "text"):
-                sums, rare = [], []
-                for x in texts:
-                    h = word_hashes(x)
-                    hit = np.zeros(len(h), bool)
-                    log = 0.0
-                    if len(h) and len(common):
-                        place = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                        hit = common[place] == h
-                        log = float(common_log[place[hit]].sum())
-                    sums.append((key, len(h), log, int(hit.sum())))
-                    rare.append(h[~hit].tobytes())
-                    key += 1
-                cols = [pa.array(c, t) for c, t in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
-                cols += [pa.array(c, pa.binary()) for c in (rare, [_narrow(x) for x in encoder.encode(texts)])]
+            for at, texts in text_slices(batch, "text", chars=1_000_000, rows=512):
+                h, codes, n_words = distinct_hashes(texts)
+                hit, log = np.zeros(len(h), bool), np.zeros(len(h))
+                if len(h) and len(common):
+                    place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    hit = common[place] == h
+                    log[hit] = common_log[place[hit]]
+                owner, hit, log = np.repeat(np.arange(len(texts)), n_words), hit[codes], log[codes]
+                known = np.bincount(owner[hit], minlength=len(texts))
+                rare, cuts = h[codes[~hit]].tobytes(), (8 * np.cumsum([0, *(n_words - known)])).tolist()
+                cols = [pa.array(key + np.arange(len(texts))), pa.array(n_words), pa.array(np.bincount(owner, log, len(texts)).astype(np.float64)), pa.array(known)]
+                key += len(texts)
+                cols += [pa.array(c, pa.binary()) for c in ([rare[a:b] for a, b in zip(cuts, cuts[1:])], [_narrow(x) for x in encoder.encode(texts)])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in ("id", "learn")), *cols], names=["id", "learn", "key", "n_words", "common_log", "common_known", "words", "ids"])
 
-    return docs.select("id", "learn", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, learn boolean, key long, n_words long, common_log double, common_known long, words binary, ids binary")
+    return docs.select("id", "learn", "text").mapInArrow(releasing(run), f"id {docs.schema['id'].dataType.simpleString()}, learn boolean, key long, n_words long, common_log double, common_known long, words binary, ids binary")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -342,7 +365,7 @@ def pair_counts(rows: DataFrame, model: AttentionModel, slots: np.ndarray, back:
 
     schema = "slot int, ids binary, n binary"
     out = np.zeros((n_slots, v), np.int64)
-    for r in rows.select("ids").mapInArrow(partial, schema).repartition("slot").mapInArrow(added, schema).collect():
+    for r in rows.select("ids").mapInArrow(releasing(partial), schema).repartition("slot").mapInArrow(added, schema).collect():
         out[r["slot"], np.frombuffer(r["ids"], np.uint32)] = np.frombuffer(r["n"], np.int64)
     return out
 
@@ -420,7 +443,7 @@ def train(rows: DataFrame, model: AttentionModel, rounds: int = 3, per_task: int
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "weights", "data"])
 
         dealt = windows.filter(F.col("round") == step).select("tokens", "lens").repartition(tasks, F.xxhash64("tokens"))
-        for r in dealt.mapInArrow(run, schema).repartition("slice").mapInArrow(added, schema).collect():
+        for r in dealt.mapInArrow(releasing(run), schema).repartition("slice").mapInArrow(added, schema).collect():
             model.take(r["slice"], r["data"], np.frombuffer(r["weights"], np.int64))
     return model
 
@@ -440,9 +463,9 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for _, texts in text_slices(batch, "text"):
-                h, c = np.unique(np.concatenate([word_hashes(x) for x in texts]), return_counts=True)
-                held.append((h, c))
+            for _, texts in text_slices(batch, "text", chars=1_000_000, rows=512):
+                h, codes, _ = distinct_hashes(texts)
+                held.append((h, np.bincount(codes, minlength=len(h))))
                 size += len(h)
                 if size > 2_000_000:
                     held = [merged()]
@@ -453,7 +476,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield batch_of(*merged())
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(releasing(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 _DEALT = "bucket long, kind int, keys binary, sizes binary, words binary, times binary"
@@ -649,7 +672,7 @@ def lm_scores(docs: DataFrame, learn: Column, tokenizer_path: str, id_col: str =
 
     names = ["id", "key", "n_words", "common_log", "common_known"]
     schema = f"id {rows.schema['id'].dataType.simpleString()}, key long, n_words long, common_log double, common_known long, score double"
-    scored = rows.select(*names, "ids").mapInArrow(score, schema).join(rare, "key", "left")
+    scored = rows.select(*names, "ids").mapInArrow(releasing(score), schema).join(rare, "key", "left")
     n_tokens = F.col("n_words") + 1
     log = F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + math.log10(n_docs + smooth) - n_tokens * math.log10(total + smooth * (distinct + 1))
     known = F.col("common_known") + F.coalesce("rare_known", F.lit(0)) + int(n_docs > 0)

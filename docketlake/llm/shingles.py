@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from docketlake.llm.subwords import distinct
+
 _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _SEED.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,12 +41,28 @@ def word_hashes(text: str) -> np.ndarray:
         return np.empty(0, np.uint64)
     inside = np.concatenate([[False], ~_WHITE[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
+    return _hashes(data, edges[::2], edges[1::2])
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power, dtype=np.uint64)])
     return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
 
 
+def distinct_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, number of each word among them, words of each text) of many texts."""
+    data = np.frombuffer("\n".join(texts).encode("utf-8", "replace").lower(), np.uint8)
+    inside = ~_WHITE.take(data)
+    start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])) if len(data) else np.empty(0, np.int64)
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+    codes, words, cuts = distinct(data, inside, start)
+    h = _hashes(words, cuts[:-1], cuts[1:])
+    begin = np.cumsum([0, *(len(x.encode("utf-8", "replace")) + 1 if not x.isascii() else len(x) + 1 for x in texts)])
+    return h, codes, np.diff(np.searchsorted(start, begin))
+
+
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes; a text with fewer words has one for the whole sequence.
 

@@ -5,7 +5,7 @@ space, the ids of a text are the ids of these chunks in order, so each distinct
 chunk is encoded once and then taken from a memo of bounded size. Where the
 tokenizer splits texts into words as ``SPLIT`` says, texts of Latin-1 characters are
 cut into these words at once: there are fewer of them than chunks, as a word stands
-beside many marks.
+beside many marks. Many such texts are cut together, and each distinct word is looked up once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 #: White space of Unicode, as the tokenizer's normalizer and splitter know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,6 +44,37 @@ _REST = _latin(lambda c: c not in "\t\n\x0b\x0c\r \x85\xa0" and unicodedata.cate
 #: A word of Latin-1 characters, which composition leaves as they are.
 WORD = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[{_REST}]+")
 
+#: Kinds of the Latin-1 characters: white space, letters, numerals (each a word of its own), others.
+_KINDS = np.zeros(256, np.uint8)
+for _k, _chars in enumerate((_L, _N, _REST), 1):
+    _KINDS[[k for k in range(256) if re.fullmatch(f"[{_chars}]", chr(k))]] = _k
+_APOSTROPHE = ord("'")
+
+
+def distinct(data: np.ndarray, kept: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that begin at ``bounds`` of the bytes ``kept``: each one's number among the distinct ones, their bytes and where these are cut."""
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(kept, dtype=np.int32)]).take(np.append(bounds, len(data)))
+    found = pa.Array.from_buffers(pa.binary(), len(bounds), [None, pa.py_buffer(offsets), pa.py_buffer(data.compress(kept))]).dictionary_encode()
+    _, cuts, words = found.dictionary.buffers()
+    cuts = np.frombuffer(cuts, np.int32)[: len(found.dictionary) + 1]
+    return found.indices.to_numpy(), np.frombuffer(words, np.uint8)[: cuts[-1]], cuts
+
+
+def latin_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of lower-cased Latin-1 text are in words, and where words begin, as ``WORD`` finds them."""
+    kind = _KINDS.take(data)
+    edge = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)]) if len(data) else np.zeros(0, bool)
+    mark = np.flatnonzero((data == _APOSTROPHE) & edge)
+    a, b = (np.concatenate([data, np.zeros(2, np.uint8)])[mark + k] for k in (1, 2))
+    one, two = np.isin(a, np.frombuffer(b"stmd", np.uint8)), np.zeros(len(mark), bool)
+    for x, y in (b"re", b"ve", b"ll"):
+        two |= (a == x) & (b == y)
+    edge[mark[one | two] + 1] = False
+    after = np.concatenate([mark[one] + 2, mark[two] + 3])
+    edge[after[after < len(data)]] = True
+    kept = kind > 0
+    return kept, np.flatnonzero(edge & kept)
+
 
 def chunks_of(text: str) -> list[str]:
     """The chunks of a text; A-Z are lower-cased where that changes no id.
@@ -132,7 +164,7 @@ class ChunkEncoder:
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of single words, encoded as one text and cut after the ids that end words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         if len(ends) != len(words):
             return self._ids(words)
@@ -140,6 +172,50 @@ class ChunkEncoder:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.cut is not words_of:
+            return self._encode(texts)
+        latin: list[bytes | None] = []
+        for x in texts:
+            try:
+                latin.append(x.lower().encode("latin-1") if len(x) <= 1_000_000 and "<|" not in x else None)
+            except UnicodeEncodeError:
+                latin.append(None)
+        rest, some = iter(self._encode([x for x, y in zip(texts, latin) if y is None])), iter(self._latin_ids([y for y in latin if y is not None]))
+        return [next(rest if y is None else some) for y in latin]
+
+    def _latin_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts: each distinct word is looked up once."""
+        if not texts:
+            return []
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        kept, bounds = latin_words(data)
+        if not len(bounds):
+            return [b""] * len(texts)
+        codes, text, cuts = distinct(data, kept, bounds)
+        text, cuts, held = text.tobytes().decode("latin-1"), cuts.tolist(), self.held
+        words = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        found = list(map(held.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            for at in range(0, len(new), 20_000):
+                held.update(zip(new[at : at + 20_000], self._word_ids(new[at : at + 20_000])))
+            found = [held[w] if x is None else x for w, x in zip(words, found)]
+        flat, size = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        for w in new:
+            if len(w) > self.longest:
+                del held[w]
+        if len(held) > self.memo:
+            self.held = oldest_half(held)
+        n = size.take(codes)
+        ends = np.cumsum(n)
+        place = np.repeat(((np.cumsum(size) - size).take(codes) - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat.take(place).tobytes()
+        begin = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        parts = (4 * np.concatenate([[0], ends])[np.searchsorted(bounds, begin)]).tolist()
+        return [ids[a:b] for a, b in zip(parts, parts[1:])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = self.cut
         parts = [[cut(s) for s in segments(x)] if len(x) > 1_000_000 else [cut(x)] for x in texts]
         held = self.held

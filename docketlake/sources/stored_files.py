@@ -1,11 +1,16 @@
 """Stored files as a Spark data source: ``format("stored_files")``.
 
-Reading lists the files under ``path`` and puts them into partitions of about
+Reading lists the files under ``path`` and puts them into packs of about
 ``partition_bytes``, so that many small files share a task and large ones have one of
-their own; contents are read in the tasks. Filters on ``file_type`` and ``length``
-are applied to the listing, so files that they exclude are never opened. A file over
-``most_bytes`` (2 GB, the most a cell can hold) gives a row with an error and no
-content. The same source is a stream: a batch has the files changed since the last.
+their own; of over ``most_partitions`` packs, neighbours share a task. Contents are read
+in the tasks. Filters on ``file_type`` and ``length`` are applied to the listing, so files
+that they exclude are never opened. A file over ``most_bytes`` (2 GB, the most a cell can
+hold) gives a row with an error and no content. The same source is a stream: a batch has
+the files changed since the last.
+
+``stored_files`` lists the folders in tasks when it is called, a folder a row, and writes
+the packs to a folder that all executors share; the driver gets counts. The format by
+itself, and the stream, list on the driver when they are planned.
 
 Writing takes rows (path, content). Tasks write under a hidden staging folder of the
 job, with a list of their objects beside these; what a task sends to the driver is the
@@ -20,10 +25,12 @@ Paths are those of any file system that pyarrow opens.
 
 from __future__ import annotations
 
+import json
+import os
 import posixpath
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,8 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from docketlake.sources.folders import new_folder
+
 SCHEMA = "path string, modificationTime timestamp, length long, content binary, file_type string, error string"
-PARTITION_BYTES, OPEN_BYTES, MOST_BYTES = 64 << 20, 1 << 20, (1 << 31) - 1
+PARTITION_BYTES, OPEN_BYTES, MOST_BYTES, MOST_PARTITIONS = 64 << 20, 1 << 20, (1 << 31) - 1, 1000
+PACKED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("changed", pa.int64())])
 STAGING = ".staging-"
 _COMPARED = {LessThan: lambda x, y: x < y, LessThanOrEqual: lambda x, y: x <= y, GreaterThan: lambda x, y: x > y, GreaterThanOrEqual: lambda x, y: x >= y, EqualTo: lambda x, y: x == y}
 
@@ -50,6 +60,11 @@ class Files(InputPartition):
     files: list[Stored] = field(default_factory=list)
 
 
+@dataclass
+class Packs(InputPartition):
+    spans: list[tuple[str, int, int]]  # file of packs, first, end
+
+
 def file_type(path: str) -> str:
     """The lower-cased part of a name behind its last dot; the name itself without one."""
     return posixpath.basename(path).rsplit(".", 1)[-1].lower()
@@ -81,7 +96,134 @@ def packed(files: list[Stored], partition_bytes: int) -> list[Files]:
     return out
 
 
-def _rows(path: str, files: list[Stored], most_bytes: int, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _in_folder(at: pafs.FileSystem, folder: str, below: str) -> Iterator[tuple[Stored, bool]]:
+    """What is right in a folder, and whether it is a folder; without hidden ones. Local folders are not held."""
+    start = f"{below}/" if below else ""
+    if not isinstance(at, pafs.LocalFileSystem):
+        for f in at.get_file_info(pafs.FileSelector(f"{folder}/{below}".rstrip("/"), allow_not_found=True)):
+            if f.base_name[:1] not in "._" and f.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield Stored(start + f.base_name, f.size or 0, f.mtime_ns or 0), f.type == pafs.FileType.Directory
+        return
+    try:
+        entries = os.scandir(f"{folder}/{below}")
+    except FileNotFoundError:
+        return
+    with entries:
+        for e in entries:
+            if e.name[:1] in "._":
+                continue
+            try:
+                if e.is_dir():
+                    yield Stored(start + e.name, 0, 0), True
+                elif e.is_file():
+                    yield Stored(start + e.name, (known := e.stat()).st_size, known.st_mtime_ns), False
+            except FileNotFoundError:
+                pass  # deleted since it was listed
+
+
+def _pack_folders(path: str, out: str, partition_bytes: int, folders: Iterable[str]) -> tuple[str, int, int]:
+    """Lists folders into a file of packs, one a batch, and their folders into another: name of both, packs, folders."""
+    (at, folder), (to, held) = opened(path), opened(out)
+    name, packs, inner, room = uuid.uuid4().hex, 0, 0, 0
+    pack: list[Stored] = []
+    deeper: list[str] = []
+
+    def columns(files: list[Stored]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([getattr(f, n) for f in files], k) for n, k in zip(PACKED.names, PACKED.types)], schema=PACKED)
+
+    def below(names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["folder"])
+
+    with to.open_output_stream(f"{held}/{name}.packs") as a, pa.ipc.new_file(a, PACKED) as told, to.open_output_stream(f"{held}/{name}.folders") as b, pa.ipc.new_stream(b, below([]).schema) as next_:
+        for from_ in folders:
+            for f, is_folder in _in_folder(at, folder, from_):
+                if is_folder:
+                    deeper.append(f.path)
+                    inner += 1
+                    if len(deeper) >= 10_000:
+                        next_.write_batch(below(deeper))
+                        deeper = []
+                    continue
+                cost = f.size + OPEN_BYTES
+                if pack and cost > room:
+                    told.write_batch(columns(pack))
+                    pack, packs = [], packs + 1
+                room = (room if pack else max(partition_bytes, cost)) - cost
+                pack.append(f)
+        if pack:
+            told.write_batch(columns(pack))
+            packs += 1
+        if deeper:
+            next_.write_batch(below(deeper))
+    return name, packs, inner
+
+
+def listing(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> str:
+    """Lists the files under a folder in tasks, level by level; the folder of their packs.
+
+    The driver gets a name and two counts of each task. One folder is listed by one task.
+    """
+    out, tasks = new_folder(spark, "listing"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at, held = opened(out)
+    at.create_dir(held, recursive=True)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = opened(out)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with at.open_input_stream(f"{held}/{name}.folders") as f, pa.ipc.open_stream(f) as told:
+                    yield from told
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = (x for b in batches for x in b.column(0).to_pylist())
+        first = next(folders, None)
+        if first is not None:
+            done = _pack_folders(path, out, partition_bytes, (x for some in ((first,), folders) for x in some))
+            yield pa.RecordBatch.from_pylist([dict(zip(("name", "packs", "inner"), done))])
+
+    found: list[tuple[str, int]] = []
+    level, n = spark.createDataFrame([("",)], "folder string").coalesce(1), 1
+    while n:
+        made = level.mapInArrow(list_, "name string, packs long, inner long").collect()
+        found += [(r["name"], r["packs"]) for r in made if r["packs"]]
+        names, n = [(r["name"],) for r in made if r["inner"]], sum(r["inner"] for r in made)
+        if n:
+            level = spark.createDataFrame(names, "name string").mapInArrow(inner, "folder string").repartition(min(n, tasks))
+    with at.open_output_stream(f"{held}/listed") as f:
+        f.write(json.dumps(found).encode())
+    return out
+
+
+def _spans(found: list[tuple[str, int]], most: int) -> list[Packs]:
+    """Packs in order in partitions of equal numbers, ``most`` at most."""
+    total = sum(n for _, n in found)
+    count, left = min(most, total), list(reversed(found))
+    out, first = [], 0
+    for k in range(count):
+        want, spans = total * (k + 1) // count - total * k // count, []
+        while want:
+            name, n = left[-1]
+            took = min(want, n - first)
+            spans.append((name, first, first + took))
+            want, first = want - took, first + took
+            if first == n:
+                left.pop()
+                first = 0
+        out.append(Packs(spans))
+    return out
+
+
+def _packed_files(listing: str, spans: list[tuple[str, int, int]]) -> Iterator[Stored]:
+    """The files of packs, a pack held at a time."""
+    at, held = opened(listing)
+    for name, first, end in spans:
+        with at.open_input_file(f"{held}/{name}.packs") as f, pa.ipc.open_file(f) as told:
+            for k in range(first, end):
+                for row in zip(*(c.to_pylist() for c in told.get_batch(k).columns)):
+                    yield Stored(*row)
+
+
+def _rows(path: str, files: Iterable[Stored], most_bytes: int, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     at, folder = opened(path)
     held: list[tuple] = []
     size = 0
@@ -113,6 +255,7 @@ class FilesReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.partition_bytes, self.most_bytes = int(options.get("partition_bytes", PARTITION_BYTES)), int(options.get("most_bytes", MOST_BYTES))
+        self.listing, self.most_partitions = options.get("listing"), int(options.get("most_partitions", MOST_PARTITIONS))
         self.kept: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -131,10 +274,17 @@ class FilesReader(DataSourceReader):
         return True
 
     def partitions(self):
-        return packed([f for f in listed(self.path) if self._keeps(f)], self.partition_bytes) or [Files()]
+        if self.listing:
+            at, held = opened(self.listing)
+            with at.open_input_stream(f"{held}/listed") as f:
+                return _spans(json.loads(f.read()), self.most_partitions) or [Files()]
+        packs = packed([f for f in listed(self.path) if self._keeps(f)], self.partition_bytes) or [Files()]
+        share = -(-len(packs) // self.most_partitions)
+        return [Files([f for p in packs[k : k + share] for f in p.files]) for k in range(0, len(packs), share)]
 
     def read(self, partition):
-        return _rows(self.path, partition.files, self.most_bytes)
+        files = partition.files if isinstance(partition, Files) else (f for f in _packed_files(self.listing, partition.spans) if self._keeps(f))
+        return _rows(self.path, files, self.most_bytes)
 
 
 class FilesStream(DataSourceStreamReader):
@@ -305,9 +455,10 @@ def register(spark: SparkSession) -> None:
 
 
 def stored_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """path (below the root), modificationTime, length, content, file_type, error of each file."""
+    """path (below the root), modificationTime, length, content, file_type, error of each file there now."""
     register(spark)
-    return spark.read.format("stored_files").options(**options).load(path)
+    packs = listing(spark, path, int(options.get("partition_bytes", PARTITION_BYTES)))
+    return spark.read.format("stored_files").options(**options, listing=packs).load(path)
 
 
 def upload(objects: DataFrame, path: str, upsert: bool = False) -> None:
